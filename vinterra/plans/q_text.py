@@ -24,8 +24,9 @@ _RUN = sql_str("[\\-" + _regex_escape_class(PUNCT_TO_SPACE) + WS_CLASS + "]+")
 _EDGE = sql_str("^[" + WS_CLASS + "]+|[" + WS_CLASS + "]+$")
 
 
-def _normalize_sql(expr: str) -> str:
-    return f"coalesce(trim(regexp_replace(lower({expr}), {_RUN}, ' ', 'g')), '')"
+def _normalize_sql(expr: str, null_as_empty: bool = True) -> str:
+    core = f"trim(regexp_replace(lower({expr}), {_RUN}, ' ', 'g'))"
+    return f"coalesce({core}, '')" if null_as_empty else core
 
 
 def _drop_years_sql(expr: str) -> str:
