@@ -1,3 +1,294 @@
-"""Queries registered in this module."""
+"""Crawl-response and region-page queries.
+
+Pages: ``pages(page_id, url, html)``; the slug is the site word of the URL
+and the link prefix is ``/`` (the given pages link to ``/<word>``).
+Queries needing an HTML container walk (breadcrumbs, parents, children,
+records, tree, statistics) have no SQL oracle; ``tests/test_pages.py`` checks
+them against a stdlib ``html.parser`` brute force on real pages.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vinterra.operators.pages import (
+    HIERARCHY_ORDER,
+    KNOWN_HIERARCHIES,
+    MAJOR_REGION_KEYWORDS,
+    SUB_REGION_KEYWORDS,
+    COUNTRY_KEYWORDS,
+    breadcrumb_parents,
+    extraction_stats,
+    hierarchy_tree,
+    region_children,
+    region_name,
+    region_parents,
+    region_records,
+    rule_parents,
+    text_pattern_parents,
+    visible_text,
+)
+from vinterra.operators.rankings import concat_intervals
+from vinterra.plans import standins
+from vinterra.plans.q_tables import CRAWL_INTERVALS
+from vinterra.plans.registry import query, rounded, sql_str
+from vinterra.sources.crawl import dominant_grape, flatten_responses, request_plan
+from vinterra.sources.tables import table
+
+LINK_PREFIX = "/"
+PAGE_SIZE = 25
+_SLUG_RE = r"^[a-z]+://(?:www\.|m\.|blog\.)?([^./]+)"
+
+
+def _pages(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", F.regexp_extract("url", _SLUG_RE, 1).alias("slug"), "html")
+
+
+_PAGES_SQL = f"pg AS (SELECT page_id, regexp_extract(url, {sql_str(_SLUG_RE)}, 1) AS slug, html FROM pages)"
+
+_UNESCAPE = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"),
+             ("&nbsp;", " "), ("&amp;", "&")]
+
+
+def _unescape_sql(e: str) -> str:
+    for a, b in _UNESCAPE:
+        e = f"replace({e}, {sql_str(a)}, {sql_str(b)})"
+    return e
+
+
+def _strip_sql(e: str) -> str:
+    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+
+
+# S4 ------------------------------------------------------------------------------------------------
+def _cents_text():
+    """Price text from integer cents (float formatting rounds differently per engine)."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+
+
+_CENTS_SQL = "CAST(round(o_totalprice * 100) AS BIGINT)"
+_CENTS_TEXT_SQL = f"CAST({_CENTS_SQL} // 100 AS VARCHAR) || '.' || lpad(CAST({_CENTS_SQL} % 100 AS VARCHAR), 2, '0')"
+
+
+def _responses(spark, d):
+    o = table(spark, d, "orders")
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    grape = F.lower(F.regexp_replace("o_orderpriority", "^[0-9]-", ""))
+    k = F.col("o_orderkey")
+    style = F.when(F.pmod(k, F.lit(17)) == 0, F.lit("null")).otherwise(
+        F.concat(F.lit('{"grapes": [{"seo_name": "'), grape, F.lit('"}]}'))
+    )
+    year = F.when(F.pmod(k, F.lit(13)) == 0, F.lit("null")).otherwise(F.year("o_orderdate").cast("string"))
+    price = F.when(F.pmod(k, F.lit(11)) == 0, F.lit("")).otherwise(
+        F.concat(F.lit(', "price": {"amount": '), _cents_text(), F.lit("}"))
+    )
+    match = F.concat(
+        F.lit('{"vintage": {"wine": {"winery": {"name": "Winery '), F.col("c_nationkey").cast("string"),
+        F.lit('"}, "name": "Cuvée '), F.col("o_orderpriority"),
+        F.lit('", "region": {"seo_name": "'), F.lower("c_name"), F.lit('"}, "style": '), style,
+        F.lit('}, "statistics": {"ratings_average": 4.'), F.pmod(k, F.lit(10)).cast("string"),
+        F.lit(', "ratings_count": '), F.col("o_custkey").cast("string"),
+        F.lit(', "wine_ratings_average": 3.'), F.pmod(F.col("o_custkey"), F.lit(10)).cast("string"),
+        F.lit(', "wine_ratings_count": '), (F.col("o_custkey") * 2).cast("string"),
+        F.lit('}, "year": '), year, F.lit("}"), price, F.lit("}"),
+    )
+    m = o.join(c, o.o_custkey == c.c_custkey).select(F.floor(k / PAGE_SIZE).alias("page"), k.alias("o_orderkey"), match.alias("match"))
+    total = o.select(F.count(F.lit(1))).scalar()
+    # A page holds at most PAGE_SIZE matches, so collecting one page is bounded.
+    grouped = m.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "match"))).alias("ms"))
+    body = F.array_join(F.transform("ms", lambda x: x["match"]), ", ")
+    return grouped.select(
+        "page",
+        F.concat(F.lit('{"explore_vintage": {"records_matched": '), total.cast("string"), F.lit(', "matches": ['), body, F.lit("]}}")).alias("response"),
+    )
+
+
+_GRAPE_SQL = "lower(regexp_replace(o_orderpriority, '^[0-9]-', ''))"
+_RESP_SQL = f"""m AS (
+  SELECT o_orderkey // {PAGE_SIZE} AS page, o_orderkey,
+         '{{"vintage": {{"wine": {{"winery": {{"name": "Winery ' || CAST(c_nationkey AS VARCHAR)
+         || '"}}, "name": "Cuvée ' || o_orderpriority
+         || '", "region": {{"seo_name": "' || lower(c_name) || '"}}, "style": '
+         || CASE WHEN o_orderkey % 17 = 0 THEN 'null' ELSE '{{"grapes": [{{"seo_name": "' || {_GRAPE_SQL} || '"}}]}}' END
+         || '}}, "statistics": {{"ratings_average": 4.' || CAST(o_orderkey % 10 AS VARCHAR)
+         || ', "ratings_count": ' || CAST(o_custkey AS VARCHAR)
+         || ', "wine_ratings_average": 3.' || CAST(o_custkey % 10 AS VARCHAR)
+         || ', "wine_ratings_count": ' || CAST(o_custkey * 2 AS VARCHAR)
+         || '}}, "year": ' || CASE WHEN o_orderkey % 13 = 0 THEN 'null' ELSE CAST(year(o_orderdate) AS VARCHAR) END || '}}'
+         || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE ', "price": {{"amount": ' || {_CENTS_TEXT_SQL} || '}}' END
+         || '}}' AS match
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+resp AS (
+  SELECT page, '{{"explore_vintage": {{"records_matched": ' || CAST((SELECT count(*) FROM orders) AS VARCHAR)
+         || ', "matches": [' || string_agg(match, ', ' ORDER BY o_orderkey) || ']}}}}' AS response
+  FROM m GROUP BY page),
+ms AS (
+  SELECT page, generate_subscripts(arr, 1) - 1 AS match_pos, unnest(arr) AS mj
+  FROM (SELECT page, json_extract(response, '$.explore_vintage.matches[*]') AS arr FROM resp))"""
+
+_PATHS = [
+    "$.vintage.wine.winery.name", "$.vintage.wine.name", "$.vintage.year", "$.vintage.statistics.ratings_average",
+    "$.vintage.statistics.ratings_count", "$.vintage.statistics.wine_ratings_average",
+    "$.vintage.statistics.wine_ratings_count", "$.vintage.wine.region.seo_name", "$.price.amount",
+    "$.vintage.wine.style.grapes",
+]
+
+
+def _js(path: str) -> str:
+    return f"json_extract_string(mj, '{path}')"
+
+
+@query(
+    "crawl_flatten",
+    f"""WITH {_RESP_SQL}
+        SELECT CAST(page AS BIGINT) AS page, CAST(match_pos AS INTEGER) AS match_pos,
+               {_js('$.vintage.wine.winery.name')} AS Winery,
+               coalesce({_js('$.vintage.wine.name')}, 'None') || ' ' || coalesce({_js('$.vintage.year')}, 'None') AS Wine,
+               TRY_CAST({_js('$.vintage.year')} AS BIGINT) AS vintage,
+               round(TRY_CAST({_js('$.vintage.statistics.ratings_average')} AS DOUBLE), 6) AS vintage_rating,
+               TRY_CAST({_js('$.vintage.statistics.ratings_count')} AS BIGINT) AS vintage_rating_count,
+               round(TRY_CAST({_js('$.vintage.statistics.wine_ratings_average')} AS DOUBLE), 6) AS wine_rating,
+               TRY_CAST({_js('$.vintage.statistics.wine_ratings_count')} AS BIGINT) AS wine_rating_count,
+               {_js('$.vintage.wine.region.seo_name')} AS region,
+               round(TRY_CAST({_js('$.price.amount')} AS DOUBLE), 6) AS price,
+               {_js('$.vintage.wine.style.grapes[0].seo_name')} AS grape
+        FROM ms WHERE {' AND '.join(f"json_extract(mj, '{p}') IS NOT NULL" for p in _PATHS)}""",
+)
+def crawl_flatten(spark, d):
+    flat = flatten_responses(_responses(spark, d), "response", keep=("page",))
+    out = flat.withColumn("grape", dominant_grape("cepages")).drop("cepages")
+    return rounded(out.withColumn("page", F.col("page").cast("bigint")))
+
+
+# S5 ------------------------------------------------------------------------------------------------
+@query(
+    "crawl_plan",
+    f"""WITH {standins.WINES_SQL},
+        iv AS (SELECT * FROM (VALUES {', '.join(f'({i}, {float(lo)}, {float(hi)})' for i, (lo, hi) in enumerate(CRAWL_INTERVALS))}) t(interval_id, lo, hi)),
+        tot AS (SELECT iv.interval_id, count(*) AS records_matched FROM wines w JOIN iv
+                ON w.price / 1000.0 >= iv.lo AND w.price / 1000.0 <= iv.hi GROUP BY iv.interval_id)
+        SELECT interval_id, records_matched, {PAGE_SIZE} AS per_page, CAST(p.page AS INTEGER) AS page
+        FROM tot, generate_series(1, CAST(ceil(records_matched / {PAGE_SIZE}.0) AS BIGINT)) p(page)""",
+)
+def crawl_plan(spark, d):
+    w = standins.wines(spark, d).withColumn("price", F.col("price") / F.lit(1000.0))
+    totals = concat_intervals(w, CRAWL_INTERVALS).groupBy("interval_id").agg(F.count(F.lit(1)).alias("records_matched"))
+    return request_plan(totals.withColumn("per_page", F.lit(PAGE_SIZE)))
+
+
+# P19 -----------------------------------------------------------------------------------------------
+_TITLE_RAW_SQL = "regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '<[^>]*>', '', 'g')"
+_TITLE_SQL = _strip_sql(_unescape_sql(_TITLE_RAW_SQL))
+_TITLE_CUT_SQL = _strip_sql("regexp_replace(" + _TITLE_SQL + ", " + sql_str(r"\s*\|\s*.*$") + ", '')")
+_H1_SQL = (
+    "array_to_string(list_transform(string_split_regex(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1), '<[^>]*>'),"
+    f" lambda p: {_strip_sql(_unescape_sql('p'))}), '')"
+)
+_SLUG_TITLE_SQL = (
+    "array_to_string(list_transform(regexp_extract_all(replace(slug, '-', ' '), '(\\p{L}+|[^\\p{L}]+)'),"
+    " lambda p: CASE WHEN regexp_matches(p, '^\\p{L}') THEN upper(p[1]) || lower(p[2:]) ELSE p END), '')"
+)
+
+
+@query(
+    "page_name",
+    f"""WITH {_PAGES_SQL},
+        t AS (SELECT page_id, slug, {_TITLE_CUT_SQL} AS title, regexp_matches(html, '(?is)<title\\b[^>]*>') AS has_title,
+                     {_H1_SQL} AS h1, regexp_matches(html, '(?is)<h1\\b[^>]*>') AS has_h1 FROM pg)
+        SELECT page_id, slug,
+               CASE WHEN has_h1 AND length(h1) > 0 AND NOT contains(lower(h1), 'wine') AND length(h1) < 50 THEN h1
+                    WHEN has_title AND length(title) > 2 THEN title
+                    ELSE {_SLUG_TITLE_SQL} END AS name
+        FROM t""",
+)
+def page_name(spark, d):
+    p = _pages(spark, d)
+    return p.select("page_id", "slug", region_name("html", "slug").alias("name"))
+
+
+def _joined(c):
+    return F.array_join(c, " | ")
+
+
+# P20 -----------------------------------------------------------------------------------------------
+@query("page_links")
+def page_links(spark, d):
+    p = _pages(spark, d).withColumn("parents", breadcrumb_parents("html", "slug", LINK_PREFIX))
+    return p.select("page_id", "slug", F.size("parents").alias("n_parents"), _joined("parents").alias("parents"))
+
+
+# P21 -----------------------------------------------------------------------------------------------
+@query("page_text_parents")
+def page_text_parents(spark, d):
+    p = _pages(spark, d).withColumn("parents", text_pattern_parents(visible_text("html"), "slug"))
+    return p.select("page_id", "slug", F.size("parents").alias("n_parents"), _joined("parents").alias("parents"))
+
+
+# P22 -----------------------------------------------------------------------------------------------
+_TEXT_SQL = _unescape_sql(
+    "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+)
+_RULE_KEYWORDS = {COUNTRY_KEYWORDS[0]: COUNTRY_KEYWORDS[1], **MAJOR_REGION_KEYWORDS, **SUB_REGION_KEYWORDS}
+_DETECTED_SQL = "list_filter([" + ", ".join(
+    "CASE WHEN " + " OR ".join(f"contains(low, {sql_str(k)})" for k in _RULE_KEYWORDS[label]) + f" THEN {sql_str(label)} END"
+    for label in HIERARCHY_ORDER
+) + "], lambda x: x IS NOT NULL)"
+_KNOWN_SQL = "CASE slug " + " ".join(
+    f"WHEN {sql_str(k)} THEN [{', '.join(sql_str(x) for x in v)}]" for k, v in KNOWN_HIERARCHIES.items()
+) + " END"
+
+
+@query(
+    "page_rules",
+    f"""WITH {_PAGES_SQL}, t AS (SELECT page_id, slug, lower({_TEXT_SQL}) AS low FROM pg),
+        r AS (SELECT page_id, slug, coalesce({_KNOWN_SQL}, {_DETECTED_SQL}) AS parents FROM t)
+        SELECT page_id, slug, CAST(len(parents) AS INTEGER) AS n_parents, array_to_string(parents, ' | ') AS parents FROM r""",
+)
+def page_rules(spark, d):
+    p = _pages(spark, d).withColumn("parents", rule_parents(visible_text("html"), "slug"))
+    return p.select("page_id", "slug", F.size("parents").alias("n_parents"), _joined("parents").alias("parents"))
+
+
+# P23 -----------------------------------------------------------------------------------------------
+@query("page_parents")
+def page_parents(spark, d):
+    p = _pages(spark, d).withColumn("parents", region_parents("html", "slug", LINK_PREFIX))
+    return p.select("page_id", "slug", F.size("parents").alias("n_parents"), _joined("parents").alias("parents"))
+
+
+# P24 -----------------------------------------------------------------------------------------------
+@query("page_children")
+def page_children(spark, d):
+    p = _pages(spark, d).withColumn("parents", region_parents("html", "slug", LINK_PREFIX))
+    p = p.withColumn("children", region_children("html", "slug", "parents", LINK_PREFIX))
+    return p.select("page_id", "slug", F.size("children").alias("n_children"), _joined("children").alias("children"))
+
+
+# P25 -----------------------------------------------------------------------------------------------
+def _records(spark, d):
+    return region_records(_pages(spark, d), "html", "slug", LINK_PREFIX)
+
+
+@query("region_record")
+def region_record(spark, d):
+    r = _records(spark, d)
+    return r.select(
+        "page_id", "slug", "name", _joined("parents").alias("parents"), _joined("children").alias("children"),
+        "full_hierarchy", "hierarchy_depth", "source",
+    )
+
+
+# A10 -----------------------------------------------------------------------------------------------
+@query("region_tree")
+def region_tree(spark, d):
+    t = hierarchy_tree(_records(spark, d), order="page_id")
+    return t.select("path", "parent_path", "depth", "slug", _joined("children").alias("children"), "hierarchy_depth")
+
+
+# A9 ------------------------------------------------------------------------------------------------
+@query("extraction_stats")
+def extraction_stats_q(spark, d):
+    r = _records(spark, d).withColumn("ok", F.col("name").isNotNull())
+    return extraction_stats(r)
