@@ -61,8 +61,8 @@ def to_lambert93(lat, lon) -> tuple[Column, Column]:
     """WGS84 degrees -> Lambert-93 metres (x, y)."""
     phi = F.radians(as_col(lat))
     lam = F.radians(as_col(lon))
-    esin = F.lit(L93_E) * F.sin(phi)
-    iso = F.log(F.tan(F.lit(math.pi / 4) + phi / 2) * F.pow((1 - esin) / (1 + esin), F.lit(L93_E / 2)))
+    # isometric latitude; ((1 - es)/(1 + es))^(e/2) = exp(-e * atanh(es))
+    iso = F.log(F.tan(F.lit(math.pi / 4) + phi / 2)) - F.lit(L93_E) * F.atanh(F.lit(L93_E) * F.sin(phi))
     r = F.lit(L93_C) * F.exp(-F.lit(L93_N) * iso)
     gamma = F.lit(L93_N) * (lam - F.lit(math.radians(L93_LON0_DEG)))
     return F.lit(L93_XS) + r * F.sin(gamma), F.lit(L93_YS) - r * F.cos(gamma)
@@ -77,18 +77,18 @@ def from_lambert93(x, y) -> tuple[Column, Column]:
     gamma = F.atan2(dx, -dy)
     lon = F.degrees(F.lit(math.radians(L93_LON0_DEG)) + gamma / F.lit(L93_N))
     iso = -F.log(r / F.lit(L93_C)) / F.lit(L93_N)
+    # phi_{k+1} = 2 atan(((1 + e sin phi)/(1 - e sin phi))^(e/2) exp(L)) - pi/2, written
+    # with atanh so that every iteration references phi once (linear expression size)
     phi = 2 * F.atan(F.exp(iso)) - F.lit(math.pi / 2)
     for _ in range(_INVERSE_ITERATIONS):
-        esin = F.lit(L93_E) * F.sin(phi)
-        phi = 2 * F.atan(F.pow((1 + esin) / (1 - esin), F.lit(L93_E / 2)) * F.exp(iso)) - F.lit(math.pi / 2)
+        phi = 2 * F.atan(F.exp(F.lit(L93_E) * F.atanh(F.lit(L93_E) * F.sin(phi)) + iso)) - F.lit(math.pi / 2)
     return F.degrees(phi), lon
 
 
 def lambert93_sql(lat: str, lon: str) -> tuple[str, str]:
     """Forward projection as SQL text (oracle side)."""
     phi, lam = f"radians({lat})", f"radians({lon})"
-    esin = f"({L93_E} * sin({phi}))"
-    iso = f"ln(tan({math.pi / 4} + {phi} / 2) * pow((1 - {esin}) / (1 + {esin}), {L93_E / 2}))"
+    iso = f"(ln(tan({math.pi / 4} + {phi} / 2)) - {L93_E} * atanh({L93_E} * sin({phi})))"
     r = f"({L93_C} * exp(-{L93_N} * {iso}))"
     gamma = f"({L93_N} * ({lam} - {math.radians(L93_LON0_DEG)}))"
     return f"({L93_XS} + {r} * sin({gamma}))", f"({L93_YS} - {r} * cos({gamma}))"
@@ -102,6 +102,5 @@ def lambert93_inverse_sql(x: str, y: str) -> tuple[str, str]:
     iso = f"(-ln({r} / {L93_C}) / {L93_N})"
     phi = f"(2 * atan(exp({iso})) - {math.pi / 2})"
     for _ in range(_INVERSE_ITERATIONS):
-        esin = f"({L93_E} * sin({phi}))"
-        phi = f"(2 * atan(pow((1 + {esin}) / (1 - {esin}), {L93_E / 2}) * exp({iso})) - {math.pi / 2})"
+        phi = f"(2 * atan(exp({L93_E} * atanh({L93_E} * sin({phi})) + {iso})) - {math.pi / 2})"
     return f"degrees({phi})", lon
