@@ -51,16 +51,21 @@ def with_clean_name(polys: DataFrame, out: str = "denom_clean") -> DataFrame:
 
 def read_geojson(spark, path: str) -> DataFrame:
     """GeoJSON FeatureCollection of (Multi)Polygons -> one row per polygon part
-    with the feature properties and ``rings``."""
-    raw = spark.read.option("multiLine", True).json(path)
-    feats = raw.select(F.explode("features").alias("f"))
-    geom_json = F.to_json(F.col("f.geometry"))
-    typ = F.get_json_object(geom_json, "$.type")
-    coords = F.get_json_object(geom_json, "$.coordinates")
+    with the feature properties (as text) and ``rings``.
+
+    ``properties`` and ``geometry`` are read as raw JSON text (an explicit
+    schema: inference would merge 3- and 4-level coordinate arrays into
+    strings); the geometry is parsed by its type."""
+    raw = spark.read.option("multiLine", True).schema("features array<struct<properties:string, geometry:string>>").json(path)
+    feats = raw.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+    keys = [r[0] for r in feats.select(F.explode(F.json_object_keys("properties"))).distinct().collect()]  # property names
+    typ = F.get_json_object("geometry", "$.type")
+    coords = F.get_json_object("geometry", "$.coordinates")
     poly_rings = F.from_json(coords, "array<array<array<double>>>")
     multi_rings = F.from_json(coords, "array<array<array<array<double>>>>")
     parts = F.when(typ == "Polygon", F.array(poly_rings)).when(typ == "MultiPolygon", multi_rings)
-    props = feats.select("f.properties.*", F.posexplode(parts).alias("part", "_r"))
+    props = feats.select(*[F.get_json_object("properties", f"$.{k}").alias(k) for k in sorted(keys)],
+                         F.posexplode(parts).alias("part", "_r"))
     as_struct = F.transform("_r", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return props.withColumn("rings", as_struct).drop("_r")
 
