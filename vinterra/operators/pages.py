@@ -132,8 +132,14 @@ def stripped_text(fragment) -> Column:
     return F.array_join(F.transform(pieces, lambda p: strip_ws(unescape_html(p))), "")
 
 
+def _element(tag: str) -> str:
+    """An element's inner HTML: up to its closing tag, or to the end of the
+    input when the page is truncated (a parser closes it implicitly)."""
+    return rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)"
+
+
 def _first_element(html, tag: str) -> Column:
-    return F.regexp_extract(as_col(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+    return F.regexp_extract(as_col(html), _element(tag), 1)
 
 
 def _has_element(html, tag: str) -> Column:
@@ -174,8 +180,8 @@ def _containers(html: Column, selector: str) -> Column:
         attr, sub = selector[1:-1].split("*=")
         return F.regexp_extract_all(html, F.lit(_attr_contains(attr, sub.strip("\"'"))), 2)
     outer, inner = selector.split()
-    outers = F.regexp_extract_all(html, F.lit(rf"(?is)<{outer}\b[^>]*>(.*?)</{outer}\s*>"), 1)
-    return F.flatten(F.transform(outers, lambda o: F.regexp_extract_all(o, F.lit(rf"(?is)<{inner}\b[^>]*>(.*?)</{inner}\s*>"), 1)))
+    outers = F.regexp_extract_all(html, F.lit(_element(outer)), 1)
+    return F.flatten(F.transform(outers, lambda o: F.regexp_extract_all(o, F.lit(_element(inner)), 1)))
 
 
 def _prefix_links(fragment: Column, prefix: str) -> Column:
@@ -287,7 +293,7 @@ def region_children(html, slug, parents, prefix: str = DEFAULT_LINK_PREFIX, limi
     ``limit`` distinct in page order."""
     h = as_col(html)
     main = _first_element(h, "main")
-    body = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*)</body\s*>", 1)
+    body = _first_element(h, "body")
     scope = F.when(_has_element(h, "main"), main).when(_has_element(h, "body"), body)
     hrefs = F.transform(_prefix_links(F.coalesce(scope, F.lit("")), prefix), lambda l: l["href"])
     tails = F.transform(hrefs, lambda x: F.element_at(F.split(x, "\\Q" + prefix + "\\E"), -1))
