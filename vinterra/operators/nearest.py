@@ -5,22 +5,25 @@ Plan
 Left rows are first reduced to their distinct ``(year, lat, lon)`` points
 (wines share region points; partial aggregation makes a hot point cheap).
 Points and stations are placed on the unit sphere and bucketed into cube cells
-of side ``h`` (a chord length).  Each station is replicated into the 27 cells
-around its own, so an equi-join on ``(year, cell)`` hands every point all
-stations of its 3x3x3 block.  A station outside the block is more than ``h``
-away from the point (one coordinate alone differs by more than ``h``), hence:
-
-* a best candidate at chord distance <= h is the exact nearest station;
+of side ``h / 2`` (``h`` a chord length).  Each station is replicated into the
+5x5x5 cells around its own, so an equi-join on ``(year, cell)`` hands every
+point all stations of its block.  A station outside the block is more than
+``h`` away from the point (one coordinate alone differs by more than ``h``), hence:
+
+* a best candidate at chord distance <= h is the exact nearest station, so
+  candidates farther than h are cut inside the join (a cheap squared-chord
+  test on unit vectors) before any trigonometry or aggregation;
 * **drop** mode (hard radius) needs one level with ``h = chord(max_km)``;
 * **null** mode (soft radius: every point needs the true nearest distance)
-  doubles ``h`` for the points still unresolved until ``h >= 2`` (the whole
-  sphere), cutting lineage between levels with a reliable checkpoint.
+  grows ``h`` fourfold for the points still unresolved until ``h >= 2`` (the
+  whole sphere), cutting lineage between levels with a reliable checkpoint.
 
-No broadcast is forced: the exploded station side is usually small and AQE
-turns the join into a broadcast hash join from runtime sizes; when it is big
-the join stays a shuffled join on ``(year, cell)`` and AQE's skew handling
-splits a hot cell.  The per-point ``min(struct(dist, station))`` groups by keys
-that include the join keys, so it reuses the join's partitioning.
+The station-year table (a small dimension) is materialised once; its
+exploded cells are broadcast when a row count shows they fit, otherwise the
+join is shuffled on ``(year, cell)`` and AQE's skew handling splits a hot cell.
+Distinct points are hash-partitioned on ``(year, lat, lon)`` over the
+configured parallelism; with the broadcast plan the per-point
+``min(struct(dist, station))`` then needs no further exchange.
 
 Ties go to the smallest station id (the reference picks arbitrarily).
 """
@@ -37,7 +40,20 @@ from pyspark.sql import functions as F
 from vinterra.functions.geo import haversine_km, km_to_chord, unit_xyz
 from vinterra.session import cut_lineage
 
-_OFFSETS = list(itertools.product((-1, 0, 1), repeat=3))
+# Cells of side h / CELL_SPLIT with a (2 * CELL_SPLIT + 1)^3 neighbourhood: any
+# station outside it differs from the point by more than h in one coordinate.
+# 2 covers ~30% less sphere surface per point than 1 (27 cells of side h).
+CELL_SPLIT = 2
+_OFFSETS = list(itertools.product(range(-CELL_SPLIT, CELL_SPLIT + 1), repeat=3))
+# relative slack on the chord pre-filter so float rounding never drops a
+# candidate that the exact great-circle test would accept
+_CHORD_SLACK = 1e-9
+# The exploded station cells are broadcast only up to this many rows (checked
+# with a count on the materialised station table); beyond it both sides are
+# shuffled on (year, cell).
+BROADCAST_STATION_CELLS = 4_000_000
+# search radius growth per level for points still unresolved (soft radius)
+_GROWTH = 4.0
 
 
 def expand_years(regions: DataFrame, start: int, end: int, year_col: str = "year") -> DataFrame:
@@ -45,26 +61,45 @@ def expand_years(regions: DataFrame, start: int, end: int, year_col: str = "year
     return regions.withColumn(year_col, F.explode(F.sequence(F.lit(start), F.lit(end - 1))))
 
 
-def _cells(xyz: tuple[Column, Column, Column], h: float) -> list[Column]:
-    return [F.floor(c / F.lit(h)).cast("long") for c in xyz]
+def _cells(xyz: tuple[Column, Column, Column], cell: float) -> list[Column]:
+    return [F.floor(c / F.lit(cell)).cast("long") for c in xyz]
 
 
 def _station_cells(stations: DataFrame, h: float) -> DataFrame:
-    """Stations with their 27 neighbour cells exploded (``_cx, _cy, _cz``)."""
-    cx, cy, cz = _cells(unit_xyz("_s_lat", "_s_lon"), h)
-    block = F.array(
-        *[F.struct((cx + dx).alias("_cx"), (cy + dy).alias("_cy"), (cz + dz).alias("_cz")) for dx, dy, dz in _OFFSETS]
+    """Stations with unit vectors and their neighbour cells exploded.  The
+    offsets are one constant array (folded to a literal), added after the
+    explode -- a per-offset computed struct array would outgrow codegen."""
+    sx, sy, sz = unit_xyz("_s_lat", "_s_lon")
+    cx, cy, cz = _cells((sx, sy, sz), h / CELL_SPLIT)
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dx, dy, dz in _OFFSETS])
+    own = stations.select(
+        "_year", "_station", "_s_lat", "_s_lon", sx.alias("_sx"), sy.alias("_sy"), sz.alias("_sz"),
+        cx.alias("_ox"), cy.alias("_oy"), cz.alias("_oz"),
     )
-    return stations.select("_year", "_station", "_s_lat", "_s_lon", F.explode(block).alias("_cell")).select(
-        "_year", "_station", "_s_lat", "_s_lon", "_cell._cx", "_cell._cy", "_cell._cz"
+    return own.select("*", F.explode(offsets).alias("_o")).select(
+        "_year", "_station", "_s_lat", "_s_lon", "_sx", "_sy", "_sz",
+        (F.col("_ox") + F.col("_o.dx")).alias("_cx"), (F.col("_oy") + F.col("_o.dy")).alias("_cy"),
+        (F.col("_oz") + F.col("_o.dz")).alias("_cz"),
     )
 
 
-def _best_at_level(points: DataFrame, stations: DataFrame, h: float, outer: bool) -> DataFrame:
-    """Per point: ``_best = min(struct(dist_km, station))`` among its block."""
-    cx, cy, cz = _cells(unit_xyz("_lat", "_lon"), h)
-    pts = points.withColumns({"_cx": cx, "_cy": cy, "_cz": cz})
-    cand = pts.join(_station_cells(stations, h), ["_year", "_cx", "_cy", "_cz"], "left" if outer else "inner")
+def _best_at_level(points: DataFrame, stations: DataFrame, h: float, outer: bool, broadcast: bool) -> DataFrame:
+    """Per point: ``_best = min(struct(dist_km, station))`` among the stations
+    of its neighbourhood within chord distance ``h`` (NULL if none)."""
+    px, py, pz = unit_xyz("_lat", "_lon")
+    cx, cy, cz = _cells((px, py, pz), h / CELL_SPLIT)
+    pts = points.withColumns({"_px": px, "_py": py, "_pz": pz}).withColumns({"_cx": cx, "_cy": cy, "_cz": cz})
+    st = _station_cells(stations, h)
+    if broadcast:
+        st = F.broadcast(st)
+    chord2 = (F.pow(pts["_px"] - st["_sx"], 2) + F.pow(pts["_py"] - st["_sy"], 2) + F.pow(pts["_pz"] - st["_sz"], 2))
+    cond = (
+        (pts["_year"] == st["_year"]) & (pts["_cx"] == st["_cx"]) & (pts["_cy"] == st["_cy"]) & (pts["_cz"] == st["_cz"])
+        & (chord2 <= F.lit(h * h * (1 + _CHORD_SLACK)))
+    )
+    cand = pts.join(st, cond, "left" if outer else "inner").select(
+        pts["_year"], pts["_cx"], pts["_cy"], pts["_cz"], "_lat", "_lon", "_station", "_s_lat", "_s_lon"
+    )
     dist = haversine_km("_lat", "_lon", "_s_lat", "_s_lon")
     best = F.min(F.when(F.col("_station").isNotNull(), F.struct(dist.alias("d"), F.col("_station").alias("s"))))
     return cand.groupBy("_year", "_cx", "_cy", "_cz", "_lat", "_lon").agg(best.alias("_best")).select(
@@ -72,7 +107,8 @@ def _best_at_level(points: DataFrame, stations: DataFrame, h: float, outer: bool
     )
 
 
-def nearest_points(points: DataFrame, stations: DataFrame, max_km: float, exact_beyond_radius: bool) -> DataFrame:
+def nearest_points(points: DataFrame, stations: DataFrame, max_km: float, exact_beyond_radius: bool,
+                   broadcast: bool = False) -> DataFrame:
     """Nearest station for distinct points ``(_year, _lat, _lon)``.
 
     Returns ``(_year, _lat, _lon, _station, _dist)``.  Without
@@ -81,14 +117,14 @@ def nearest_points(points: DataFrame, stations: DataFrame, max_km: float, exact_
     """
     h = km_to_chord(max_km)
     if not exact_beyond_radius:
-        best = _best_at_level(points, stations, h, outer=False)
+        best = _best_at_level(points, stations, h, outer=False, broadcast=broadcast)
         return best.where(F.col("_dist") <= F.lit(max_km))
 
     resolved: list[DataFrame] = []
     pending = points
     while True:
         whole_sphere = h >= 2.0
-        best = cut_lineage(_best_at_level(pending, stations, h, outer=True))
+        best = cut_lineage(_best_at_level(pending, stations, h, outer=True, broadcast=broadcast))
         reach_km = math.inf if whole_sphere else 2.0 * 6371.0 * math.asin(h / 2.0)
         done = best.where(F.col("_station").isNotNull() & (F.col("_dist") <= F.lit(reach_km)))
         resolved.append(done)
@@ -99,7 +135,7 @@ def nearest_points(points: DataFrame, stations: DataFrame, max_km: float, exact_
         )
         if pending.isEmpty():
             break
-        h = min(2.0 * h, 2.0)
+        h = min(_GROWTH * h, 2.0)
     out = resolved[0]
     for part in resolved[1:]:
         out = out.unionByName(part)
@@ -139,42 +175,49 @@ def attach_nearest(
         raise ValueError(f"mode must be 'drop' or 'null', got {mode!r}")
     station_out = station_out or station_col
 
-    st = stations.where(
-        F.col(station_lat).isNotNull()
-        & F.col(station_lon).isNotNull()
-        & F.col(year).isNotNull()
-        & ~F.isnan(station_lat)
-        & ~F.isnan(station_lon)
-    )
-    st_keys = st.select(
-        F.col(year).cast("int").alias("_year"),
-        F.col(station_col).alias("_station"),
-        F.col(station_lat).cast("double").alias("_s_lat"),
-        F.col(station_lon).cast("double").alias("_s_lon"),
+    metric_cols = list(metrics) if metrics is not None else [
+        c for c in stations.columns if c not in (station_lat, station_lon, year, station_col)
+    ]
+    # the station-year table is a small dimension: materialise it once so that
+    # its size check, the search and the metric lookup do not recompute it
+    st = cut_lineage(
+        stations.where(
+            F.col(station_lat).isNotNull() & F.col(station_lon).isNotNull() & F.col(year).isNotNull()
+            & ~F.isnan(station_lat) & ~F.isnan(station_lon)
+        ).select(
+            F.col(year).cast("int").alias("_year"),
+            F.col(station_col).alias("_station"),
+            F.col(station_lat).cast("double").alias("_s_lat"),
+            F.col(station_lon).cast("double").alias("_s_lon"),
+            *metric_cols,
+        )
     )
+    st_keys = st.select("_year", "_station", "_s_lat", "_s_lon")
+    broadcast = st_keys.count() * len(_OFFSETS) <= BROADCAST_STATION_CELLS
 
     lft = left.where(
         F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(year).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
     )
+    # distinct points, spread over the configured parallelism: the fan-out of
+    # the cell join is much larger than the points' bytes suggest, so the
+    # partition count is not left to size-based coalescing
+    n_parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = lft.select(
         F.col(year).cast("int").alias("_year"),
         F.col(lat).cast("double").alias("_lat"),
         F.col(lon).cast("double").alias("_lon"),
-    ).distinct()
-    best = nearest_points(points, st_keys, max_km, exact_beyond_radius=(mode == "null"))
+    ).repartition(n_parts, "_year", "_lat", "_lon").distinct()
+    # points of a year without any station can never match (they vanish, Q9):
+    # drop them before searching (the year list is tiny)
+    points = points.join(F.broadcast(st_keys.select("_year").distinct()), "_year", "left_semi")
+    best = nearest_points(points, st_keys, max_km, exact_beyond_radius=(mode == "null"), broadcast=broadcast)
 
     if payload == "station":
         found = best.select(
             "_year", "_lat", "_lon", F.col("_station").alias(station_out), F.col("_dist").alias(dist_col)
         )
     elif payload == "all":
-        metric_cols = list(metrics) if metrics is not None else [
-            c for c in stations.columns if c not in (station_lat, station_lon, year, station_col)
-        ]
-        st_metrics = st.select(
-            F.col(year).cast("int").alias("_year"), F.col(station_col).alias("_station"), *metric_cols
-        )
-        joined = best.join(st_metrics, ["_year", "_station"], "left")
+        joined = best.join(st.select("_year", "_station", *metric_cols), ["_year", "_station"], "left")
         within = F.col("_dist") <= F.lit(max_km)
         keep = [F.when(within, F.col("_station")).alias(station_out)] + [
             F.when(within, F.col(c)).alias(c) for c in metric_cols

@@ -110,6 +110,12 @@ _ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and apply ``body`` to it (``body`` may refer to
+    it several times): a one-element array mapped by a lambda."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
 def unescape_html(c) -> Column:
     """HTML entity decoding (commons-text, JVM)."""
     return F.java_method(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), as_col(c))
@@ -149,13 +155,18 @@ def _has_element(html, tag: str) -> Column:
 # P19 ------------------------------------------------------------------------------------------
 def region_name(html, slug) -> Column:
     """Name: title-cased slug, else the ``<title>`` before any ``|`` (if longer
-    than 2), else the ``<h1>`` text when it is short and not about "wine"."""
+    than 2), else the ``<h1>`` text when it is short and not about "wine".
+    Title and h1 texts are each computed once."""
     default = title_case(F.regexp_replace(as_col(slug), "-", " "))
     title = strip_ws(F.regexp_replace(unescape_html(stripped_title(html)), r"\s*\|\s*.*$", ""))
-    with_title = F.when(_has_element(html, "title") & (F.length(title) > 2), title).otherwise(default)
+    title_ok = _let(title, lambda t: F.when(F.length(t) > 2, t))
     h1 = stripped_text(_first_element(html, "h1"))
-    h1_ok = _has_element(html, "h1") & (F.length(h1) > 0) & ~F.lower(h1).contains("wine") & (F.length(h1) < NAME_MAX_LEN)
-    return F.when(h1_ok, h1).otherwise(with_title)
+    h1_ok = _let(h1, lambda t: F.when((F.length(t) > 0) & ~F.lower(t).contains("wine") & (F.length(t) < NAME_MAX_LEN), t))
+    return F.coalesce(
+        F.when(_has_element(html, "h1"), h1_ok),
+        F.when(_has_element(html, "title"), title_ok),
+        default,
+    )
 
 
 def stripped_title(html) -> Column:
@@ -200,7 +211,13 @@ def _prefix_links(fragment: Column, prefix: str) -> Column:
 
 def breadcrumb_parents(html, slug, prefix: str = DEFAULT_LINK_PREFIX, selectors: Sequence[str] = BREADCRUMB_SELECTORS) -> Column:
     """First container (selector priority, then document order) with at least
-    one prefix link whose non-empty texts differ from the slug."""
+    one prefix link whose non-empty texts differ from the slug (empty if none)."""
+    return F.coalesce(_breadcrumbs_or_null(html, slug, prefix, selectors), F.array().cast("array<string>"))
+
+
+def _breadcrumbs_or_null(html, slug, prefix: str, selectors: Sequence[str] = BREADCRUMB_SELECTORS) -> Column:
+    """As ``breadcrumb_parents`` but NULL when nothing is found; selectors are
+    tried lazily (``coalesce`` stops at the first hit)."""
     h, s = as_col(html), as_col(slug)
     per_selector = []
     for sel in selectors:
@@ -209,7 +226,7 @@ def breadcrumb_parents(html, slug, prefix: str = DEFAULT_LINK_PREFIX, selectors:
             lambda c: F.filter(F.transform(_prefix_links(c, prefix), lambda l: stripped_text(l["inner"])), lambda t: (t != "") & (t != s)),
         )
         per_selector.append(F.try_element_at(F.filter(names, lambda n: F.size(n) > 0), F.lit(1)))
-    return F.coalesce(*per_selector, F.array().cast("array<string>"))
+    return F.coalesce(*per_selector)
 
 
 # P21 ------------------------------------------------------------------------------------------
@@ -229,7 +246,11 @@ def _valid_groups(regex: Column, n_groups: int, name: Column, stops: Column):
 
 def text_pattern_parents(text, slug) -> Column:
     """First pattern (in order) with a match leaving valid parts: stripped,
-    non-empty, shorter than 30, not the name, not a stop word."""
+    non-empty, shorter than 30, not the name, not a stop word (empty if none)."""
+    return F.coalesce(_text_parents_or_null(text, slug), F.array().cast("array<string>"))
+
+
+def _text_parents_or_null(text, slug) -> Column:
     t = as_col(text)
     name = title_case(F.regexp_replace(as_col(slug), "-", " "))
     quoted = _regex_quote(name)
@@ -248,7 +269,7 @@ def text_pattern_parents(text, slug) -> Column:
         found.append(
             F.try_element_at(F.filter(F.transform(matches, _valid_groups(regex, n_groups, name, stops)), lambda g: F.size(g) > 0), F.lit(1))
         )
-    return F.coalesce(*found, F.array().cast("array<string>"))
+    return F.coalesce(*found)
 
 
 # P22 ------------------------------------------------------------------------------------------
@@ -270,18 +291,19 @@ def rule_parents(text, slug) -> Column:
     return F.coalesce(F.try_element_at(known, s), detected)
 
 
-# P23 ------------------------------------------------------------------------------------------
-def _non_empty(a: Column) -> Column:
-    return F.when(F.size(a) > 0, a)
+def _rules_or_null(text, slug) -> Column:
+    return _let(rule_parents(text, slug), lambda a: F.when(F.size(a) > 0, a))
 
 
+# P23 ------------------------------------------------------------------------------------------
 def region_parents(html, slug, prefix: str = DEFAULT_LINK_PREFIX) -> Column:
-    """Breadcrumbs, else text patterns, else rules, else empty."""
+    """Breadcrumbs, else text patterns, else rules, else empty -- evaluated
+    lazily: later methods run only for pages where the earlier ones fail."""
     text = visible_text(html)
     return F.coalesce(
-        _non_empty(breadcrumb_parents(html, slug, prefix)),
-        _non_empty(text_pattern_parents(text, slug)),
-        _non_empty(rule_parents(text, slug)),
+        _breadcrumbs_or_null(html, slug, prefix),
+        _text_parents_or_null(text, slug),
+        _rules_or_null(text, slug),
         F.array().cast("array<string>"),
     )
 

@@ -99,46 +99,62 @@ def _ring_sums(ring: Column) -> Column:
     )
 
 
-def area_moments(rings: Column) -> Column:
-    """Polygon area moments in projected metres: shell area counted positive,
-    holes negative whatever their orientation; plus vertex sums for the
-    zero-area fallback.  Shoelace terms are taken relative to the polygon's
-    first vertex (no cancellation between large coordinates), then moved back.
-    Returns struct(area, mx, my, n, sx, sy) with absolute moments."""
-    proj = project_rings(rings)
-    first = F.element_at(F.element_at(proj, 1), 1)
-    x0, y0 = first["x"], first["y"]
-    local = F.transform(proj, lambda ring: F.transform(ring, lambda p: F.struct((p["x"] - x0).alias("x"), (p["y"] - y0).alias("y"))))
-    per_ring = F.transform(
-        local,
-        lambda ring, i: F.struct(
-            _ring_sums(ring).alias("s"), F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("role"),
-            F.size(ring).alias("n"),
-            F.aggregate(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1))), F.lit(0.0), lambda a, p: a + p["x"]).alias("sx"),
-            F.aggregate(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1))), F.lit(0.0), lambda a, p: a + p["y"]).alias("sy"),
+_MOMENT_FIELDS = ("area", "mx", "my", "n", "sx", "sy")
+
+
+def with_area_moments(df: DataFrame, rings: str = "rings", out: str = "_m") -> DataFrame:
+    """Polygon area moments in projected metres as struct column ``out``:
+    (area, mx, my, n, sx, sy).  Shell area counts positive, holes negative
+    whatever their orientation; n/sx/sy are vertex sums for the zero-area
+    fallback.  Shoelace terms are taken relative to the polygon's first vertex
+    (no cancellation between large coordinates), then moved back.
+
+    Each stage is its own column: higher-order functions are interpreted, and
+    staging stops the projected rings or the ring sums from being recomputed
+    for every reference (Catalyst does not inline expensive expressions twice)."""
+    staged = df.withColumn("_proj", project_rings(F.col(rings)))
+    staged = staged.withColumn("_o", F.element_at(F.element_at("_proj", 1), 1))
+    staged = staged.withColumn(
+        "_local",
+        F.transform("_proj", lambda ring: F.transform(
+            ring, lambda p: F.struct((p["x"] - F.col("_o.x")).alias("x"), (p["y"] - F.col("_o.y")).alias("y")))),
+    )
+    staged = staged.withColumn(
+        "_rings",
+        F.transform(
+            "_local",
+            lambda ring, i: F.struct(
+                _ring_sums(ring).alias("s"), F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("role"),
+                F.size(ring).alias("n"),
+                F.aggregate(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1))), F.lit(0.0), lambda a, p: a + p["x"]).alias("sx"),
+                F.aggregate(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1))), F.lit(0.0), lambda a, p: a + p["y"]).alias("sy"),
+            ),
         ),
     )
 
     def signed(r: Column, what: str) -> Column:
         # |A_r| * centroid_r = sign(2A) * role * (sum c*) / 6 ; area = role * |2A| / 2
-        sgn = F.signum(r["s"]["a2"])
         if what == "area":
             return r["role"] * F.abs(r["s"]["a2"]) / 2.0
-        return r["role"] * sgn * r["s"][what] / 6.0
-
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("area", "mx", "my", "n", "sx", "sy")])
-    rel = F.aggregate(
-        per_ring, zero,
-        lambda acc, r: F.struct(
-            (acc["area"] + signed(r, "area")).alias("area"),
-            (acc["mx"] + signed(r, "cx")).alias("mx"),
-            (acc["my"] + signed(r, "cy")).alias("my"),
-            (acc["n"] + F.greatest(r["n"] - 1, F.lit(1)).cast("double")).alias("n"),
-            (acc["sx"] + r["sx"]).alias("sx"),
-            (acc["sy"] + r["sy"]).alias("sy"),
+        return r["role"] * F.signum(r["s"]["a2"]) * r["s"][what] / 6.0
+
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in _MOMENT_FIELDS])
+    staged = staged.withColumn(
+        "_rel",
+        F.aggregate(
+            "_rings", zero,
+            lambda acc, r: F.struct(
+                (acc["area"] + signed(r, "area")).alias("area"),
+                (acc["mx"] + signed(r, "cx")).alias("mx"),
+                (acc["my"] + signed(r, "cy")).alias("my"),
+                (acc["n"] + F.greatest(r["n"] - 1, F.lit(1)).cast("double")).alias("n"),
+                (acc["sx"] + r["sx"]).alias("sx"),
+                (acc["sy"] + r["sy"]).alias("sy"),
+            ),
         ),
     )
-    return F.struct(
+    x0, y0, rel = F.col("_o.x"), F.col("_o.y"), F.col("_rel")
+    moments = F.struct(
         rel["area"].alias("area"),
         (rel["mx"] + x0 * rel["area"]).alias("mx"),
         (rel["my"] + y0 * rel["area"]).alias("my"),
@@ -146,6 +162,7 @@ def area_moments(rings: Column) -> Column:
         (rel["sx"] + x0 * rel["n"]).alias("sx"),
         (rel["sy"] + y0 * rel["n"]).alias("sy"),
     )
+    return staged.withColumn(out, moments).drop("_proj", "_o", "_local", "_rings", "_rel")
 
 
 def centroid_from_moments(area: Column, mx: Column, my: Column, n: Column, sx: Column, sy: Column) -> tuple[Column, Column]:
@@ -157,9 +174,12 @@ def centroid_from_moments(area: Column, mx: Column, my: Column, n: Column, sx: C
 
 def polygon_centroids(polys: DataFrame, rings: str = "rings") -> DataFrame:
     """A3 + P18: area centroid in Lambert-93, returned as ``lat``/``lon`` (WGS84)."""
-    m = polys.withColumn("_m", area_moments(F.col(rings)))
-    lat, lon = centroid_from_moments(*(F.col(f"_m.{k}") for k in ("area", "mx", "my", "n", "sx", "sy")))
-    return m.withColumns({"lat": lat, "lon": lon}).drop("_m")
+    m = with_area_moments(polys, rings, "_m")
+    xy = m.withColumn("_xy", F.struct(
+        F.when(F.col("_m.area") != 0, F.col("_m.mx") / F.col("_m.area")).otherwise(F.col("_m.sx") / F.col("_m.n")).alias("x"),
+        F.when(F.col("_m.area") != 0, F.col("_m.my") / F.col("_m.area")).otherwise(F.col("_m.sy") / F.col("_m.n")).alias("y")))
+    lat, lon = from_lambert93(F.col("_xy.x"), F.col("_xy.y"))
+    return xy.withColumns({"lat": lat, "lon": lon}).drop("_m", "_xy")
 
 
 # A2 -------------------------------------------------------------------------------------------
@@ -179,7 +199,7 @@ def dissolve(polys: DataFrame, by: str = "app", order: str = "poly_id", attrs: S
     -- and one attribute row per ``by`` (attributes of the first polygon in
     ``order``, area moments summed over the parts, part count)."""
     parts = polys.select(by, F.col(order).alias("part"), "rings")
-    mom = polys.withColumn("_m", area_moments(F.col("rings")))
+    mom = with_area_moments(polys, "rings", "_m")
     attributes = mom.groupBy(by).agg(
         *[F.min_by(a, order).alias(a) for a in attrs],
         F.count(F.lit(1)).alias("n_parts"),
