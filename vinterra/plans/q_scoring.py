@@ -87,8 +87,8 @@ def accuracy_f1_auc(spark, d):
 @query(
     "confusion",
     f"""WITH {_SCORED_SQL}
-        SELECT count_if(y_true = 0 AND y_pred = 0) AS tn, count_if(y_true = 0 AND y_pred = 1) AS fp,
-               count_if(y_true = 1 AND y_pred = 0) AS fn, count_if(y_true = 1 AND y_pred = 1) AS tp FROM sc""",
+        SELECT CAST(count_if(y_true = 0 AND y_pred = 0) AS BIGINT) AS tn, CAST(count_if(y_true = 0 AND y_pred = 1) AS BIGINT) AS fp,
+               CAST(count_if(y_true = 1 AND y_pred = 0) AS BIGINT) AS fn, CAST(count_if(y_true = 1 AND y_pred = 1) AS BIGINT) AS tp FROM sc""",
 )
 def confusion(spark, d):
     return confusion_counts(scored_docs(spark, d))
@@ -123,11 +123,12 @@ _LSE_SQL = "(m + ln(list_sum(list_transform(lgt, lambda x: exp(x - m)))))"
                       CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
                       CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM per),
         f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pr)
-        SELECT CAST(c AS VARCHAR) AS "row", round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM f
-        UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), sum(support) FROM f
-        UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM f
+        SELECT CAST(c AS VARCHAR) AS "row", round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+               CAST(support AS BIGINT) AS support FROM f
+        UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+        UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM f
         UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-                         round(sum(f1 * support) / sum(support), 6), sum(support) FROM f""",
+                         round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""",
 )
 def class_report(spark, d):
     lg = logits_table(spark, d).select(F.col("label").alias("y_true"), argmax("logits").alias("y_pred"))
