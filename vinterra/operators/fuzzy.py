@@ -69,16 +69,51 @@ def partial_ratio(s1: str, s2: str) -> float:
     return max((200.0 * _lcs_len(s1, w) / (m + len(w)) for w in _windows(s2, m)), default=0.0)
 
 
+def _piece_bounds(m: int, threshold: int) -> list[tuple[int, int]]:
+    """(start, end) of the D + 1 near-equal pieces of a string of length m."""
+    d = -(-2 * m * (100 - threshold) // 100) - 1      # largest integer below 2m(100-t)/100
+    n_pieces = min(d + 1, m)
+    return [(i * m // n_pieces, (i + 1) * m // n_pieces) for i in range(n_pieces)]
+
+
 def exceeds(s1: str, s2: str, threshold: int) -> bool:
-    """``partial_ratio(s1, s2) > threshold`` decided in exact integer arithmetic."""
+    """``partial_ratio(s1, s2) > threshold`` decided in exact integer arithmetic.
+
+    Only windows containing a verbatim piece of the shorter string are scored:
+    any window above the threshold contains one (the blocking argument, applied
+    per pair), so a pair without a piece occurrence is rejected at once."""
     if len(s1) > len(s2):
         s1, s2 = s2, s1
-    m = len(s1)
+    m, n = len(s1), len(s2)
     if m == 0:
         return (100 if not s2 else 0) > threshold
     if s1 in s2:
         return 100 > threshold
-    return any(200 * _lcs_len(s1, w) > threshold * (m + len(w)) for w in _windows(s2, m))
+    if threshold < 50:
+        return any(200 * _lcs_len(s1, w) > threshold * (m + len(w)) for w in _windows(s2, m))
+    starts: set[int] = set()       # full windows s2[s:s+m]
+    prefixes: set[int] = set()     # s2[:i], i < m
+    suffixes: set[int] = set()     # s2[j:], n - j < m
+    for a, b in _piece_bounds(m, threshold):
+        piece, size = s1[a:b], b - a
+        if size == 0:
+            continue
+        p = s2.find(piece)
+        while p >= 0:
+            starts.update(range(max(p + size - m, 0), min(p, n - m) + 1))
+            prefixes.update(range(max(p + size, 1), m))
+            suffixes.update(range(max(n - m + 1, 1), p + 1))
+            p = s2.find(piece, p + 1)
+    for i in sorted(prefixes):
+        if i < m and 200 * _lcs_len(s1, s2[:i]) > threshold * (m + i):
+            return True
+    for st in sorted(starts):
+        if 200 * _lcs_len(s1, s2[st : st + m]) > threshold * 2 * m:
+            return True
+    for j in sorted(suffixes):
+        if 200 * _lcs_len(s1, s2[j:]) > threshold * (m + n - j):
+            return True
+    return False
 
 
 def max_edits_below(m: Column, threshold: int) -> Column:
@@ -86,6 +121,11 @@ def max_edits_below(m: Column, threshold: int) -> Column:
     return F.ceil(m * F.lit(2 * (100 - threshold)) / F.lit(100.0)).cast("int") - 1
 
 
+def max_piece_length(threshold: int) -> int:
+    """Upper bound of the piece lengths for any string length at ``threshold``."""
+    return -(-50 // (100 - threshold)) if threshold < 100 else 1
+
+
 def _pieces(s: Column, m: Column, n_pieces: Column) -> Column:
     """``n_pieces`` near-equal consecutive pieces of ``s``."""
     return F.transform(
@@ -103,18 +143,15 @@ def _candidates(short: DataFrame, long: DataFrame, threshold: int) -> DataFrame:
     pieces = blocked.select("s", F.explode(F.array_distinct(_pieces(F.col("s"), m, d + 1))).alias("piece")).select(
         "s", "piece", F.length("piece").alias("q"), m.alias("_m")
     )
-    lengths = [r[0] for r in pieces.select("q").distinct().collect()]  # a handful of small ints
-    if not lengths:
-        grams = long.limit(0).select("l", F.lit(0).alias("q"), F.lit("").alias("gram"), F.length("l").alias("_n"))
-    else:
-        qs = F.array(*[F.lit(q) for q in sorted(lengths)])
-        with_q = long.select("l", F.explode(qs).alias("q"))
-        grams = with_q.select(
-            "l", "q",
-            F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("l") - F.col("q") + 1, F.lit(1))),
-                                  lambda j: F.substring("l", j, F.col("q")))).alias("gram"),
-            F.length("l").alias("_n"),
-        )
+    # piece lengths are bounded by the threshold alone: m / (D + 1) <= 50 / (100 - t)
+    qs = F.array(*[F.lit(q) for q in range(1, max_piece_length(threshold) + 1)])
+    with_q = long.select("l", F.explode(qs).alias("q"))
+    grams = with_q.select(
+        "l", "q",
+        F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("l") - F.col("q") + 1, F.lit(1))),
+                              lambda j: F.substring("l", j, F.col("q")))).alias("gram"),
+        F.length("l").alias("_n"),
+    )
     pairs = pieces.join(grams, (pieces.q == grams.q) & (pieces.piece == grams.gram)).where(F.col("_m") <= F.col("_n"))
     return pairs.select("s", "l").distinct()
 
