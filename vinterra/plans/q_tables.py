@@ -57,9 +57,8 @@ viv AS (
 
 
 def _aoc(spark, d):
-    c = table(spark, d, "customer").where(F.pmod(F.col("c_custkey"), F.lit(2)) == 0)
-    r = standins.regions(spark, d)
-    return c.join(r, c.c_name == r.region).select(
+    r = standins.regions(spark, d, extra=("c_custkey",)).where(F.pmod(F.col("c_custkey"), F.lit(2)) == 0)
+    return r.select(
         normalize_text("region").alias("denom_clean"),
         (F.col("latitude") + F.lit(0.5)).alias("lat"),
         (F.col("longitude") - F.lit(0.5)).alias("lon"),
@@ -74,9 +73,7 @@ _AOC_SQL = f"""aoc AS (
 def _corrections(spark, d):
     """Correction file: shouted, padded keys; dirty longitudes (en-dash minus,
     narrow no-break space); some unusable rows; some keys corrected twice."""
-    c = table(spark, d, "customer").where(F.pmod(F.col("c_custkey"), F.lit(3)) == 0)
-    r = standins.regions(spark, d)
-    base = c.join(r, c.c_name == r.region)
+    base = standins.regions(spark, d, extra=("c_custkey",)).where(F.pmod(F.col("c_custkey"), F.lit(3)) == 0)
     lon_txt = F.when(
         F.col("longitude") < 0, F.concat(F.lit("–"), F.format_string("%.4f", F.abs(F.col("longitude"))))
     ).otherwise(F.concat(F.format_string("%.4f", F.col("longitude")), F.lit(" ")))

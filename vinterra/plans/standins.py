@@ -33,8 +33,11 @@ def _coord_sql(key: str, mult: int, base: float, span: int) -> str:
 
 
 # regions -------------------------------------------------------------------------
-def regions(spark: SparkSession, d: str) -> DataFrame:
+def regions(spark: SparkSession, d: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Regions from ``customer``; ``extra`` keeps customer columns alongside
+    (so callers never join the regions back to their source)."""
     return table(spark, d, "customer").select(
+        *extra,
         F.col("c_name").alias("region"),
         _coord("c_custkey", REGION_LAT_MULT, LAT_BASE, LAT_SPAN).alias("latitude"),
         _coord("c_custkey", REGION_LON_MULT, LON_BASE, LON_SPAN).alias("longitude"),
