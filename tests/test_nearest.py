@@ -86,3 +86,24 @@ def test_far_station_found_in_soft_mode(spark):
     left = spark.createDataFrame([(2020, 45.0, 1.0)], "year int, latitude double, longitude double")
     r = attach_nearest(left, wx, max_km=40, mode="null").first()
     assert r.station is None and r.m is None and r.dist_km == pytest.approx(_hav(45, 1, 55, 1), abs=1e-9)
+
+
+@pytest.mark.parametrize("mode", ["drop", "null"])
+def test_shuffled_path_matches_broadcast(spark, monkeypatch, mode):
+    import vinterra.operators.nearest as N
+
+    regions = standins.regions(spark, SF001)
+    weather = standins.weather(spark, SF001)
+    ry = expand_years(regions, 1995, 1998)
+    cols = ["region", "year", "station", "dist_km", "hot_days"]
+    bc = sorted(tuple(r) for r in attach_nearest(ry, weather, max_km=150.0, mode=mode).select(*cols).collect())
+    monkeypatch.setattr(N, "BROADCAST_STATION_CELLS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = attach_nearest(ry, weather, max_km=150.0, mode=mode)
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(tuple(r) for r in shuffled.select(*cols).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == bc and len(rows) > 0
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan or mode == "null"  # the cell join is shuffled

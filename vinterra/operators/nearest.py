@@ -51,7 +51,7 @@ _CHORD_SLACK = 1e-9
 # The exploded station cells are broadcast only up to this many rows (checked
 # with a count on the materialised station table); beyond it both sides are
 # shuffled on (year, cell).
-BROADCAST_STATION_CELLS = 4_000_000
+BROADCAST_STATION_CELLS = 1_000_000  # ~80 MB of (year, station, coordinates, cell)
 # search radius growth per level for points still unresolved (soft radius)
 _GROWTH = 4.0
 
