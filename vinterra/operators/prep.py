@@ -91,7 +91,8 @@ def impute_mean(df: DataFrame, num_cols: Sequence[str], split_col: str = "split"
     coerced = df.withColumns({c: coerce_numeric(c) for c in num_cols})
     if fit_on == "train":
         train = coerced.where(F.col(split_col) == "train")
-        return coerced.withColumns({c: F.coalesce(F.col(c), train.select(F.avg(c)).scalar()) for c in num_cols})
+        means = train.select(F.struct(*[F.avg(c).alias(c) for c in num_cols])).scalar()  # one pass over train
+        return coerced.withColumns({c: F.coalesce(F.col(c), means[c]) for c in num_cols})
     # one row per split value (a handful), broadcast back to the rows
     means = coerced.groupBy(split_col).agg(*[F.avg(c).alias(f"_mean_{c}") for c in num_cols])
     joined = coerced.join(F.broadcast(means), split_col, "left")
@@ -217,10 +218,11 @@ def ordinal_encode(train: DataFrame, df: DataFrame, cat_cols: Sequence[str], unk
 def standardize(train: DataFrame, df: DataFrame, num_cols: Sequence[str], suffix: str = "") -> DataFrame:
     """``(x - mean) / std`` with the population std of ``train`` (1 where std is 0),
     statistics as scalar subqueries."""
+    stats = train.select(F.struct(*[F.avg(c).alias(f"m_{c}") for c in num_cols],
+                                  *[F.stddev_pop(c).alias(f"s_{c}") for c in num_cols])).scalar()  # one pass
     out = df
     for c in num_cols:
-        mean = train.select(F.avg(c)).scalar()
-        std = train.select(F.stddev_pop(c)).scalar()
+        mean, std = stats[f"m_{c}"], stats[f"s_{c}"]
         safe = F.when(std == 0, F.lit(1.0)).otherwise(std)
         out = out.withColumn(c + suffix, (F.col(c) - mean) / safe)
     return out

@@ -80,10 +80,12 @@ def top_share(df: DataFrame, col: str, share: float = 0.9) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """``bins`` equal-width bins between min and max (last bin closed),
-    zero-filled.  Min and max are scalar subqueries evaluated once."""
-    vals = df.where(F.col(col).isNotNull() & ~F.isnan(col)).select(F.col(col).cast("double").alias("_x"))
-    lo = vals.select(F.min("_x")).scalar()
-    hi = vals.select(F.max("_x")).scalar()
+    zero-filled.  Min and max come from one scalar subquery."""
+    # both passes (range, then counts) read one materialised column instead of
+    # recomputing the input's lineage twice
+    vals = cut_lineage(df.where(F.col(col).isNotNull() & ~F.isnan(col)).select(F.col(col).cast("double").alias("_x")))
+    stats = vals.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()  # one pass, reused
+    lo, hi = stats["lo"], stats["hi"]
     width = hi - lo
     idx = F.when(width > 0, F.least(F.floor((F.col("_x") - lo) / width * F.lit(bins)), F.lit(bins - 1))).otherwise(
         F.lit(0)
