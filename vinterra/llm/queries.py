@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinterra.llm import mixing, resharding, token_lengths
+from vinterra.llm import decontaminate, mixing, quality_rules, resharding, token_lengths, warc
 from vinterra.sources.tables import table
 
 #: The layout that ``op6`` starts from: documents filed by source into this many shards.
@@ -18,6 +18,16 @@ OLD_SHARDS = 12
 NEW_SHARDS = 16
 
 
+def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.captures(warc.read_warc(spark, archives, with_payload=False))
+
+
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
@@ -33,14 +43,25 @@ def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.suffix_sums(token_lengths.histogram(lengths))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_adaptive_quality": op2_adaptive_quality,
+    "op3_warc_salvage": op3_warc_salvage,
     "op4_pfair_mixing": op4_pfair_mixing,
     "op6_flow_resharding": op6_flow_resharding,
     "op7_length_histogram": op7_length_histogram,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_adaptive_quality": quality_rules.ORACLE,
+    "op3_warc_salvage": warc.ORACLE,
+    "op10_benchmark_decontamination": decontaminate.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
