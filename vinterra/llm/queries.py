@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinterra.llm import decontaminate, mixing, quality_rules, resharding, token_lengths, warc
+from vinterra.llm import decontaminate, mixing, quality_rules, resharding, token_lengths, warc, window_dedup
 from vinterra.sources.tables import table
 
 #: The layout that ``op6`` starts from: documents filed by source into this many shards.
@@ -43,6 +43,11 @@ def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.suffix_sums(token_lengths.histogram(lengths))
 
 
+def op9_rolling_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = window_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pfair_mixing": op4_pfair_mixing,
     "op6_flow_resharding": op6_flow_resharding,
     "op7_length_histogram": op7_length_histogram,
+    "op9_rolling_window_dedup": op9_rolling_window_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_adaptive_quality": quality_rules.ORACLE,
     "op3_warc_salvage": warc.ORACLE,
+    "op9_rolling_window_dedup": window_dedup.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
 
