@@ -10,7 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinterra.llm import decontaminate, mixing, quality_rules, resharding, token_lengths, warc, window_dedup
+from vinterra.llm import (
+    decontaminate,
+    license_scan,
+    line_spread,
+    mixing,
+    quality_rules,
+    resharding,
+    token_lengths,
+    warc,
+    window_dedup,
+)
 from vinterra.sources.tables import table
 
 #: The layout that ``op6`` starts from: documents filed by source into this many shards.
@@ -32,6 +42,10 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op5_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     layout = resharding.reshard(docs.select("doc_id", "text", "source"), F.xxhash64("source"), OLD_SHARDS, NEW_SHARDS)
@@ -43,6 +57,10 @@ def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.suffix_sums(token_lengths.histogram(lengths))
 
 
+def op8_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_boilerplate(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op9_rolling_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = window_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -56,8 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_adaptive_quality": op2_adaptive_quality,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_pfair_mixing": op4_pfair_mixing,
+    "op5_license_dice": op5_license_dice,
     "op6_flow_resharding": op6_flow_resharding,
     "op7_length_histogram": op7_length_histogram,
+    "op8_line_site_spread": op8_line_site_spread,
     "op9_rolling_window_dedup": op9_rolling_window_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
@@ -66,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_adaptive_quality": quality_rules.ORACLE,
     "op3_warc_salvage": warc.ORACLE,
+    "op5_license_dice": license_scan.oracle(),
+    "op8_line_site_spread": line_spread.ORACLE,
     "op9_rolling_window_dedup": window_dedup.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
