@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vinterra.llm import (
     decontaminate,
+    jaccard_join,
     license_scan,
     line_spread,
     mixing,
@@ -28,6 +29,10 @@ OLD_SHARDS = 12
 NEW_SHARDS = 16
 
 
+def op1_bayes_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(table(spark, sf_dir, "documents"))
+
+
 def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.verdicts(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -71,6 +76,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bayes_jaccard_join": op1_bayes_jaccard_join,
     "op2_adaptive_quality": op2_adaptive_quality,
     "op3_warc_salvage": op3_warc_salvage,
     "op4_pfair_mixing": op4_pfair_mixing,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op1_bayes_jaccard_join": jaccard_join.ORACLE,
     "op2_adaptive_quality": quality_rules.ORACLE,
     "op3_warc_salvage": warc.ORACLE,
     "op5_license_dice": license_scan.oracle(),
