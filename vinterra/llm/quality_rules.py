@@ -1,6 +1,6 @@
 """Quality rules with adaptive thresholds per language and source.
 
-Four shares of each text (symbols, duplicate lines, repeated words, mean word length) are put into
+Four shares of each text (symbols, characters in duplicate lines, repeated words, mean word length) are put into
 quantile sketches per (lang, source).  A sketch is a log-linear histogram: a value keeps its
 ``PRECISION`` leading bits, which bounds the relative error, and sketches merge by adding counts,
 so Spark builds them with one partial aggregation.  The quartiles read from a sketch give the
@@ -32,15 +32,16 @@ SPREAD = 3
 #: metric -> (least width of the upper fence above q75, of the lower one below q25; None: no lower fence)
 MARGINS = {
     "symbols_ppm": (30_000, None),
-    "dup_lines_ppm": (200_000, None),
-    "repeats_ppm": (200_000, None),
+    "dup_chars_ppm": (200_000, None),
+    "repeats_ppm": (300_000, None),
     "word_length_milli": (1_000, 1_000),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def with_counts(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with the counts of the text column: ``COUNTS`` and ``n_lines`` (lines with a word)."""
+    """``df`` with the counts of the text column: ``COUNTS``, and the characters of its
+    lines with a word (``line_chars``) and of those that repeat an earlier one (``dup_chars``)."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     # Each helper column that is used more than once has a projection of its own.
@@ -75,7 +76,8 @@ def with_counts(df: DataFrame, text: str) -> DataFrame:
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size("_l").cast("long").alias("n_lines"),
+        F.length(F.array_join("_l", "")).cast("long").alias("line_chars"),
+        (F.length(F.array_join("_l", "")) - F.length(F.array_join(F.array_distinct("_l"), ""))).cast("long").alias("dup_chars"),
         F.when(F.col("_g").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long").alias("n_repeat_words"),
     ).drop("_w", "_l", "_h", "_g")
 
@@ -87,7 +89,7 @@ def base_failed() -> Column:
 def _shares() -> dict[str, Column]:
     return {
         "symbols_ppm": F.expr("1000000 * n_symbols div greatest(word_chars, 1)"),
-        "dup_lines_ppm": F.expr("1000000 * n_dup_lines div greatest(n_lines, 1)"),
+        "dup_chars_ppm": F.expr("1000000 * dup_chars div greatest(line_chars, 1)"),
         "repeats_ppm": F.expr("1000000 * n_repeat_words div greatest(n_words, 1)"),
         "word_length_milli": F.expr("1000 * word_chars div greatest(n_words, 1)"),
     }
@@ -187,18 +189,19 @@ r AS (
 c AS (
   SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, length(array_to_string(l, ''))::BIGINT AS line_chars,
+         (length(array_to_string(l, '')) - length(array_to_string(list_distinct(l), '')))::BIGINT AS dup_chars,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN r USING (doc_id)),
 m AS (
   SELECT *, 1000000 * n_symbols // greatest(word_chars, 1) AS symbols_ppm,
-         1000000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines_ppm,
+         1000000 * dup_chars // greatest(line_chars, 1) AS dup_chars_ppm,
          1000000 * n_repeat_words // greatest(n_words, 1) AS repeats_ppm,
          1000 * word_chars // greatest(n_words, 1) AS word_length_milli,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 u AS (
   SELECT lang, source, 'symbols_ppm' AS metric, symbols_ppm AS v FROM m WHERE n_words > 0
-  UNION ALL SELECT lang, source, 'dup_lines_ppm', dup_lines_ppm FROM m WHERE n_words > 0
+  UNION ALL SELECT lang, source, 'dup_chars_ppm', dup_chars_ppm FROM m WHERE n_words > 0
   UNION ALL SELECT lang, source, 'repeats_ppm', repeats_ppm FROM m WHERE n_words > 0
   UNION ALL SELECT lang, source, 'word_length_milli', word_length_milli FROM m WHERE n_words > 0),
 s AS (
@@ -213,13 +216,13 @@ q AS (
 f AS (
   SELECT lang, source,
          max(q3 + 3 * (q3 - q1) + 30000) FILTER (metric = 'symbols_ppm') AS f1,
-         max(q3 + 3 * (q3 - q1) + 200000) FILTER (metric = 'dup_lines_ppm') AS f2,
-         max(q3 + 3 * (q3 - q1) + 200000) FILTER (metric = 'repeats_ppm') AS f3,
+         max(q3 + 3 * (q3 - q1) + 200000) FILTER (metric = 'dup_chars_ppm') AS f2,
+         max(q3 + 3 * (q3 - q1) + 300000) FILTER (metric = 'repeats_ppm') AS f3,
          max(q3 + 3 * (q3 - q1) + 1000) FILTER (metric = 'word_length_milli') AS f4,
          max(q1 - 3 * (q3 - q1) - 1000) FILTER (metric = 'word_length_milli') AS f5
   FROM q GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(symbols_ppm <= f1 AND dup_lines_ppm <= f2 AND repeats_ppm <= f3
+       NOT base_failed AND coalesce(symbols_ppm <= f1 AND dup_chars_ppm <= f2 AND repeats_ppm <= f3
          AND word_length_milli <= f4 AND word_length_milli >= f5, false) AS kept
 FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
 """
