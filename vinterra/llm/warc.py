@@ -33,6 +33,8 @@ MAX_RECORDS = 5000
 VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
 MAX_HEADER = 1 << 16
+#: Header fields that every record has, and has once.
+ONCE = {"warc-type", "warc-record-id", "content-length"}
 #: Date of capture in the records of tables that have none.
 CAPTURED = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -108,10 +110,15 @@ def parse_record(data: bytes, at: int = 0):
     headers = {}
     for row in data[at:stop].split(b"\r\n")[1:]:
         key, colon, value = row.partition(b":")
-        if not colon:
+        if not colon or b"\r" in row or b"\n" in row:
             return "bad header line"
-        headers[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    length = headers.get("content-length", "")
+        name = key.strip().lower().decode("latin-1")
+        if name in ONCE and name in headers:
+            return "two headers in one"
+        headers[name] = value.strip().decode("utf-8", "replace")
+    if not ONCE <= headers.keys():
+        return "header field missing"
+    length = headers["content-length"]
     if not (length.isascii() and length.isdigit()):
         return "no length"
     start = stop + 4
