@@ -89,15 +89,12 @@ def test_far_station_found_in_soft_mode(spark):
 
 
 @pytest.mark.parametrize("mode", ["drop", "null"])
-def test_shuffled_path_matches_broadcast(spark, monkeypatch, mode):
-    import vinterra.operators.nearest as N
-
+def test_shuffled_path_matches_broadcast(spark, mode):
     regions = standins.regions(spark, SF001)
     weather = standins.weather(spark, SF001)
     ry = expand_years(regions, 1995, 1998)
     cols = ["region", "year", "station", "dist_km", "hot_days"]
     bc = sorted(tuple(r) for r in attach_nearest(ry, weather, max_km=150.0, mode=mode).select(*cols).collect())
-    monkeypatch.setattr(N, "BROADCAST_STATION_CELLS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         shuffled = attach_nearest(ry, weather, max_km=150.0, mode=mode)
@@ -107,3 +104,34 @@ def test_shuffled_path_matches_broadcast(spark, monkeypatch, mode):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == bc and len(rows) > 0
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan or mode == "null"  # the cell join is shuffled
+
+
+def test_one_station_row_per_left_row(spark):
+    # two rows of one station and year at different places: the nearer one alone is attached
+    schema = "station string, year int, latitude double, longitude double, m double"
+    wx = spark.createDataFrame([("A", 2020, 45.0, 1.0, 1.0), ("A", 2020, 45.3, 1.0, 2.0), ("A", 2021, 45.0, 1.0, 3.0), ("A", 2020, 45.0, 1.0, 1.0)], schema)
+    left = spark.createDataFrame([(1, 2020, 45.01, 1.0), (2, 2020, 45.29, 1.0), (2, 2020, 45.29, 1.0)], "id int, year int, latitude double, longitude double")
+    for mode in ("drop", "null"):
+        out = attach_nearest(left, wx, max_km=100, mode=mode).collect()
+        assert sorted((r.id, r.m) for r in out) == [(1, 1.0), (2, 2.0), (2, 2.0)]
+
+
+def test_station_without_an_id_is_a_station(spark):
+    schema = "station string, year int, latitude double, longitude double, m double"
+    wx = spark.createDataFrame([(None, 2020, 45.0, 1.0, 1.0), ("B", 2020, 45.2, 1.0, 2.0), ("C", 2020, 46.0, 1.0, 3.0), (None, 2020, 46.0, 1.0, 4.0)], schema)
+    left = spark.createDataFrame([(1, 2020, 45.0, 1.0), (2, 2020, 46.0, 1.0)], "id int, year int, latitude double, longitude double")
+    for mode in ("drop", "null"):
+        out = {r.id: (r.station, r.m) for r in attach_nearest(left, wx, max_km=100, mode=mode).collect()}
+        assert out == {1: (None, 1.0), 2: ("C", 3.0)}  # an id wins a tie
+
+
+def test_points_are_reduced_before_the_exchange_and_hashed(spark):
+    wx = spark.createDataFrame([("A", 2020, 45.0, 1.0)], "station string, year int, latitude double, longitude double")
+    left = spark.createDataFrame([(2020, 45.0, 1.0)] * 3, "year int, latitude double, longitude double")
+    out = attach_nearest(left, wx, max_km=10, payload="station")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "SortAggregate" not in plan and "partial_min" in plan
+    lines = plan.splitlines()
+    distinct = [i for i, x in enumerate(lines) if "HashAggregate(keys=[_year" in x and "functions=[]" in x]
+    assert len(distinct) >= 2 and any("Exchange hashpartitioning" in x for x in lines[distinct[0] : distinct[1]])

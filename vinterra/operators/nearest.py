@@ -2,8 +2,12 @@
 
 Plan
 ----
-Left rows are first reduced to their distinct ``(year, lat, lon)`` points
-(wines share region points; partial aggregation makes a hot point cheap).
+Left rows are first reduced to their distinct ``(year, lat, lon)`` points: the
+partial aggregate runs before the exchange, so a hot point is one row per task.
+Station rows get a consecutive number in id order; the search carries only
+that number, the year and the coordinates, and metrics are attached by number
+at the end, so two rows of one station and year never multiply left rows.
+
 Points and stations are placed on the unit sphere and bucketed into cube cells
 of side ``h / 2`` (``h`` a chord length).  Each station is replicated into the
 5x5x5 cells around its own, so an equi-join on ``(year, cell)`` hands every
@@ -18,14 +22,13 @@ point all stations of its block.  A station outside the block is more than
   grows ``h`` fourfold for the points still unresolved until ``h >= 2`` (the
   whole sphere), cutting lineage between levels with a reliable checkpoint.
 
-The station-year table (a small dimension) is materialised once; its
-exploded cells are broadcast when a row count shows they fit, otherwise the
-join is shuffled on ``(year, cell)`` and AQE's skew handling splits a hot cell.
-Distinct points are hash-partitioned on ``(year, lat, lon)`` over the
-configured parallelism; with the broadcast plan the per-point
-``min(struct(dist, station))`` then needs no further exchange.
+The best candidate is the minimum of one decimal, distance in steps of
+``1 / _STEPS`` km followed by the station number, so the aggregate is a hash
+aggregate.  The join has no hint: AQE broadcasts the station cells when their
+measured size allows and splits a hot cell otherwise.
 
-Ties go to the smallest station id (the reference picks arbitrarily).
+Ties (distances that differ by less than a nanometre) go to the smallest
+station id, a NULL id last (the reference picks arbitrarily).
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vinterra.functions.geo import haversine_km, km_to_chord, unit_xyz
+from vinterra.operators.encode import consecutive_index
 from vinterra.session import cut_lineage
 
 # Cells of side h / CELL_SPLIT with a (2 * CELL_SPLIT + 1)^3 neighbourhood: any
@@ -48,10 +52,9 @@ _OFFSETS = list(itertools.product(range(-CELL_SPLIT, CELL_SPLIT + 1), repeat=3))
 # relative slack on the chord pre-filter so float rounding never drops a
 # candidate that the exact great-circle test would accept
 _CHORD_SLACK = 1e-9
-# The exploded station cells are broadcast only up to this many rows (checked
-# with a count on the materialised station table); beyond it both sides are
-# shuffled on (year, cell).
-BROADCAST_STATION_CELLS = 1_000_000  # ~80 MB of (year, station, coordinates, cell)
+# distances are compared in steps of 1 / _STEPS km; station numbers stay below _NUMBERS
+_STEPS = 2.0**40
+_NUMBERS = 10**13
 # search radius growth per level for points still unresolved (soft radius)
 _GROWTH = 4.0
 
@@ -73,66 +76,61 @@ def _station_cells(stations: DataFrame, h: float) -> DataFrame:
     cx, cy, cz = _cells((sx, sy, sz), h / CELL_SPLIT)
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dx, dy, dz in _OFFSETS])
     own = stations.select(
-        "_year", "_station", "_s_lat", "_s_lon", sx.alias("_sx"), sy.alias("_sy"), sz.alias("_sz"),
+        "_year", "_sid", "_s_lat", "_s_lon", sx.alias("_sx"), sy.alias("_sy"), sz.alias("_sz"),
         cx.alias("_ox"), cy.alias("_oy"), cz.alias("_oz"),
     )
     return own.select("*", F.explode(offsets).alias("_o")).select(
-        "_year", "_station", "_s_lat", "_s_lon", "_sx", "_sy", "_sz",
+        "_year", "_sid", "_s_lat", "_s_lon", "_sx", "_sy", "_sz",
         (F.col("_ox") + F.col("_o.dx")).alias("_cx"), (F.col("_oy") + F.col("_o.dy")).alias("_cy"),
         (F.col("_oz") + F.col("_o.dz")).alias("_cz"),
     )
 
 
-def _best_at_level(points: DataFrame, stations: DataFrame, h: float, outer: bool, broadcast: bool) -> DataFrame:
-    """Per point: ``_best = min(struct(dist_km, station))`` among the stations
-    of its neighbourhood within chord distance ``h`` (NULL if none)."""
+def _best_at_level(points: DataFrame, stations: DataFrame, h: float, outer: bool) -> DataFrame:
+    """Per point: the nearest station number ``_sid`` and its distance (to 1 / _STEPS km) among the
+    stations of its neighbourhood within chord distance ``h`` (NULL if none)."""
     px, py, pz = unit_xyz("_lat", "_lon")
     cx, cy, cz = _cells((px, py, pz), h / CELL_SPLIT)
     pts = points.withColumns({"_px": px, "_py": py, "_pz": pz}).withColumns({"_cx": cx, "_cy": cy, "_cz": cz})
     st = _station_cells(stations, h)
-    if broadcast:
-        st = F.broadcast(st)
     chord2 = (F.pow(pts["_px"] - st["_sx"], 2) + F.pow(pts["_py"] - st["_sy"], 2) + F.pow(pts["_pz"] - st["_sz"], 2))
     cond = (
         (pts["_year"] == st["_year"]) & (pts["_cx"] == st["_cx"]) & (pts["_cy"] == st["_cy"]) & (pts["_cz"] == st["_cz"])
         & (chord2 <= F.lit(h * h * (1 + _CHORD_SLACK)))
     )
-    cand = pts.join(st, cond, "left" if outer else "inner").select(
-        pts["_year"], pts["_cx"], pts["_cy"], pts["_cz"], "_lat", "_lon", "_station", "_s_lat", "_s_lon"
-    )
-    dist = haversine_km("_lat", "_lon", "_s_lat", "_s_lon")
-    best = F.min(F.when(F.col("_station").isNotNull(), F.struct(dist.alias("d"), F.col("_station").alias("s"))))
-    return cand.groupBy("_year", "_cx", "_cy", "_cz", "_lat", "_lon").agg(best.alias("_best")).select(
-        "_year", "_lat", "_lon", F.col("_best.d").alias("_dist"), F.col("_best.s").alias("_station")
+    cand = pts.join(st, cond, "left" if outer else "inner").select(pts["_year"], "_lat", "_lon", "_sid", "_s_lat", "_s_lon")
+    steps = F.floor(haversine_km("_lat", "_lon", "_s_lat", "_s_lon") * F.lit(_STEPS)).cast("decimal(17,0)")
+    ranked = steps * F.lit(_NUMBERS).cast("decimal(14,0)") + F.col("_sid").cast("decimal(14,0)")
+    best = cand.groupBy("_year", "_lat", "_lon").agg(F.min(ranked).alias("_best"))
+    return best.select(
+        "_year", "_lat", "_lon", (F.col("_best") % F.lit(_NUMBERS)).cast("long").alias("_sid"),
+        (F.floor(F.col("_best") / F.lit(_NUMBERS)).cast("double") / F.lit(_STEPS)).alias("_near"),
     )
 
 
-def nearest_points(points: DataFrame, stations: DataFrame, max_km: float, exact_beyond_radius: bool,
-                   broadcast: bool = False) -> DataFrame:
-    """Nearest station for distinct points ``(_year, _lat, _lon)``.
+def nearest_points(points: DataFrame, stations: DataFrame, max_km: float, exact_beyond_radius: bool) -> DataFrame:
+    """Nearest station for distinct points ``(_year, _lat, _lon)``; ``stations`` is
+    ``(_year, _sid, _s_lat, _s_lon)``.
 
-    Returns ``(_year, _lat, _lon, _station, _dist)``.  Without
-    ``exact_beyond_radius`` only points with a station within ``max_km`` are
-    returned; with it every point of a year that has stations is returned.
+    Returns ``(_year, _lat, _lon, _sid)``.  Without ``exact_beyond_radius`` only points with a
+    station within about ``max_km`` are returned (callers compare the exact distance); with it
+    every point of a year that has stations is returned.
     """
     h = km_to_chord(max_km)
     if not exact_beyond_radius:
-        best = _best_at_level(points, stations, h, outer=False, broadcast=broadcast)
-        return best.where(F.col("_dist") <= F.lit(max_km))
+        return _best_at_level(points, stations, h, outer=False).drop("_near")
 
     resolved: list[DataFrame] = []
     pending = points
     while True:
         whole_sphere = h >= 2.0
-        best = cut_lineage(_best_at_level(pending, stations, h, outer=True, broadcast=broadcast))
+        best = cut_lineage(_best_at_level(pending, stations, h, outer=True))
         reach_km = math.inf if whole_sphere else 2.0 * 6371.0 * math.asin(h / 2.0)
-        done = best.where(F.col("_station").isNotNull() & (F.col("_dist") <= F.lit(reach_km)))
-        resolved.append(done)
+        found = F.col("_sid").isNotNull() & (F.col("_near") <= F.lit(reach_km))
+        resolved.append(best.where(found).drop("_near"))
         if whole_sphere:
             break
-        pending = best.where(F.col("_station").isNull() | (F.col("_dist") > F.lit(reach_km))).select(
-            "_year", "_lat", "_lon"
-        )
+        pending = best.where(F.col("_sid").isNull() | ~found).select("_year", "_lat", "_lon")
         if pending.isEmpty():
             break
         h = min(_GROWTH * h, 2.0)
@@ -178,9 +176,8 @@ def attach_nearest(
     metric_cols = list(metrics) if metrics is not None else [
         c for c in stations.columns if c not in (station_lat, station_lon, year, station_col)
     ]
-    # the station-year table is a small dimension: materialise it once so that
-    # its size check, the search and the metric lookup do not recompute it
-    st = cut_lineage(
+    # numbered in id order and checkpointed: the number is stable, and ties go to the smallest id
+    st = consecutive_index(
         stations.where(
             F.col(station_lat).isNotNull() & F.col(station_lon).isNotNull() & F.col(year).isNotNull()
             & ~F.isnan(station_lat) & ~F.isnan(station_lon)
@@ -190,39 +187,36 @@ def attach_nearest(
             F.col(station_lat).cast("double").alias("_s_lat"),
             F.col(station_lon).cast("double").alias("_s_lon"),
             *metric_cols,
-        )
+        ),
+        [F.col("_station").asc_nulls_last(), "_year", "_s_lat", "_s_lon", *[F.col(f"`{c}`") for c in metric_cols]],
+        "_sid",
     )
-    st_keys = st.select("_year", "_station", "_s_lat", "_s_lon")
-    broadcast = st_keys.count() * len(_OFFSETS) <= BROADCAST_STATION_CELLS
+    st_keys = st.select("_year", "_sid", "_s_lat", "_s_lon")
 
     lft = left.where(
         F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(year).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
     )
-    # distinct points, spread over the configured parallelism: the fan-out of
-    # the cell join is much larger than the points' bytes suggest, so the
-    # partition count is not left to size-based coalescing
+    # distinct points, then spread over the configured parallelism: the fan-out of the cell join is
+    # much larger than the points' bytes suggest, so the count is not left to size-based coalescing
     n_parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = lft.select(
         F.col(year).cast("int").alias("_year"),
         F.col(lat).cast("double").alias("_lat"),
         F.col(lon).cast("double").alias("_lon"),
-    ).repartition(n_parts, "_year", "_lat", "_lon").distinct()
-    # points of a year without any station can never match (they vanish, Q9):
-    # drop them before searching (the year list is tiny)
-    points = points.join(F.broadcast(st_keys.select("_year").distinct()), "_year", "left_semi")
-    best = nearest_points(points, st_keys, max_km, exact_beyond_radius=(mode == "null"), broadcast=broadcast)
+    ).distinct().repartition(n_parts, "_year", "_lat", "_lon")
+    # points of a year without any station can never match (they vanish, Q9): dropped before searching
+    points = points.join(st_keys.select("_year").distinct(), "_year", "left_semi")
+    best = nearest_points(points, st_keys, max_km, exact_beyond_radius=(mode == "null"))
+    best = best.join(st.drop("_year"), "_sid").withColumn("_dist", haversine_km("_lat", "_lon", "_s_lat", "_s_lon"))
+    within = F.col("_dist") <= F.lit(max_km)
+    if mode == "drop":
+        best = best.where(within)
 
     if payload == "station":
-        found = best.select(
-            "_year", "_lat", "_lon", F.col("_station").alias(station_out), F.col("_dist").alias(dist_col)
-        )
+        found = best.select("_year", "_lat", "_lon", F.col("_station").alias(station_out), F.col("_dist").alias(dist_col))
     elif payload == "all":
-        joined = best.join(st.select("_year", "_station", *metric_cols), ["_year", "_station"], "left")
-        within = F.col("_dist") <= F.lit(max_km)
-        keep = [F.when(within, F.col("_station")).alias(station_out)] + [
-            F.when(within, F.col(c)).alias(c) for c in metric_cols
-        ]
-        found = joined.select("_year", "_lat", "_lon", *keep, F.col("_dist").alias(dist_col))
+        keep = [F.when(within, F.col("_station")).alias(station_out)] + [F.when(within, F.col(c)).alias(c) for c in metric_cols]
+        found = best.select("_year", "_lat", "_lon", *keep, F.col("_dist").alias(dist_col))
     else:
         raise ValueError(f"payload must be 'station' or 'all', got {payload!r}")
 
