@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from conftest import SF01
 from vinterra.operators.evaluate import evaluate_metrics
 from vinterra.operators.ml import (
-    PARAM_GRIDS,
     build_search,
+    cross_val_accuracy,
     grid_size,
     make_estimator,
     make_preprocessor,
     param_maps,
     probability_of,
+    replicate_to_balance,
     save_model,
     with_balanced_weight,
 )
@@ -29,18 +30,25 @@ def data(spark):
 
 
 def test_grid_sizes_and_random_cap(spark):
-    assert grid_size("lr") == 10 and grid_size("rf") == 72 and grid_size("xgb") == 6561 and grid_size("hgb") == 16
-    est = make_estimator("lr")
-    assert len(param_maps("lr", est, "grid")) == 5          # solver dropped
-    assert len(param_maps("lr", est, "random", n_iter=200)) == 5
-    assert len(param_maps("lr", est, "random", n_iter=2)) == 2
-    assert len(param_maps("lr", est, "bogus")) == 5          # unknown search type -> grid
+    assert grid_size("lr") == 5 and grid_size("rf") == 24 and grid_size("xgb") == 243 and grid_size("hgb") == 4
+    est = make_estimator("lr", weight_sum=200.0)
+    lr = param_maps("lr", est, "grid", weight_sum=200.0)
+    # the inverse penalty counts against the sum of the losses: 1 / (C * sum of weights)
+    assert sorted(m[est.regParam] for m in lr) == pytest.approx([1 / (c * 200) for c in (100, 10, 1, 0.1, 0.01)])
+    assert len(param_maps("lr", est, "random", n_iter=200, weight_sum=200.0)) == 5
+    assert len(param_maps("lr", est, "random", n_iter=2, weight_sum=200.0)) == 2
+    assert len(param_maps("lr", est, "bogus", weight_sum=200.0)) == 5          # unknown search type -> grid
+    rf = make_estimator("rf")
+    assert {m[rf.maxDepth] for m in param_maps("rf", rf)} == {30, 5, 10, 20}
     assert len(param_maps("xgb", make_estimator("xgb"), "grid")) == 3 ** 5
 
 
 def test_estimators_per_key(spark):
-    assert make_estimator("lr").getMaxIter() == 1000
-    assert make_estimator("rf").getNumTrees() == 200
+    lr = make_estimator("lr", weight_sum=50.0)
+    assert (lr.getMaxIter(), lr.getRegParam(), lr.getStandardization()) == (1000, 1 / 50, False)
+    with pytest.raises(ValueError):
+        make_estimator("lr")
+    assert (make_estimator("rf").getNumTrees(), make_estimator("rf").getMaxDepth()) == (200, 30)
     x = make_estimator("xgb")
     assert (x.getMaxIter(), x.getMaxDepth(), x.getStepSize(), x.getSubsamplingRate()) == (200, 3, 0.1, 0.8)
     assert make_estimator("unknown").getWeightCol() == "weight"
@@ -66,7 +74,7 @@ def test_rf_metric_floor_and_save(spark, data, tmp_out):
 
 def test_lr_pipeline_with_population_scaler_saves(spark, data, tmp_out):
     train, test = data
-    model = Pipeline(stages=make_preprocessor("lr") + [make_estimator("lr")]).fit(train)
+    model = Pipeline(stages=make_preprocessor("lr") + [make_estimator("lr", weight_sum=float(train.count()))]).fit(train)
     path = os.path.join(tmp_out, "lr")
     save_model(model, path)
     again = PipelineModel.load(path).transform(test).select("prediction").collect()
@@ -75,3 +83,34 @@ def test_lr_pipeline_with_population_scaler_saves(spark, data, tmp_out):
 
 def test_search_no_grid_returns_pipeline(spark):
     assert isinstance(build_search("rf", grid_search=False), Pipeline)
+
+
+def test_unseen_and_missing_categories_are_minus_one(spark):
+    train = spark.createDataFrame([(1.0, "b"), (3.0, "a"), (None, "b")], "x double, c string")
+    test = spark.createDataFrame([(1, 2.0, "a"), (2, None, "zz"), (3, 2.0, None)], "id int, x double, c string")
+    out = Pipeline(stages=make_preprocessor("rf", ["x"], ["c"])).fit(train).transform(test)
+    assert {r.id: r.features.toArray().tolist() for r in out.collect()} == {1: [2.0, 0.0], 2: [2.0, -1.0], 3: [2.0, -1.0]}
+    onehot = Pipeline(stages=make_preprocessor("lr", ["x"], ["c"])).fit(train).transform(test)
+    assert [r.features.toArray().tolist()[1:] for r in onehot.orderBy("id").collect()] == [[1.0, 0.0], [0.0, 0.0], [0.0, 0.0]]
+
+
+def test_cross_validation_counts_validation_rows_once(spark):
+    # nine rows of one class and one of the other in each fold: always answering the majority gives 0.9
+    rows = [(i, 0.0, int(i % 10 == 0), i // 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, x double, label int, fold int")
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    stages = [VectorAssembler(inputCols=["x"], outputCol="features")]
+    est = RandomForestClassifier(labelCol="label", numTrees=1, maxDepth=1, seed=1)
+    model, got = cross_val_accuracy(stages, est, df)
+    assert sorted((t, f) for t, f, _ in got) == [(0, f) for f in range(4)]
+    assert all(a in (0.1, 0.9) for _, _, a in got) and model.transform(df).count() == 40
+    with pytest.raises(ValueError):
+        cross_val_accuracy(stages, est, df.limit(0))
+
+
+def test_rows_without_a_label_stay(spark):
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "id int, label int")
+    assert {r.id: r.weight for r in with_balanced_weight(df).collect()} == {1: 0.75, 2: 0.75, 3: 1.5, 4: None}
+    assert sorted(r.id for r in replicate_to_balance(df).collect()) == [1, 2, 3, 3, 4]

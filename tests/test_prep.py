@@ -136,3 +136,43 @@ def test_stratified_folds_balanced(spark):
 def test_zero_categorical_columns(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     assert encode_with_mapping(df, sorted_mapping(df.withColumn("c", F.lit("a")), ["c"]), []).columns == ["x"]
+
+
+def test_rows_without_a_label_get_folds(spark):
+    from vinterra.operators.prep import stratified_folds
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(30)], "id int, label int")
+    got = stratified_folds(df, "label", "id", 5).collect()
+    assert sorted(r.id for r in got) == list(range(30))
+    assert sorted(r.fold for r in got if r.label is None) == [f for f in range(5) for _ in range(2)]
+
+
+def test_no_categorical_columns(spark):
+    from vinterra.operators.prep import encode_with_mapping, first_seen_mapping, sorted_mapping
+
+    df = spark.createDataFrame([(1, "a")], "id int, c string")
+    assert sorted_mapping(df, []).collect() == [] and first_seen_mapping(df, [], ["id"]).collect() == []
+    known = first_seen_mapping(df, ["c"], ["id"])
+    assert [tuple(r) for r in first_seen_mapping(df, [], ["id"], existing=known).collect()] == [("c", "a", 0)]
+    assert encode_with_mapping(df, sorted_mapping(df, []), []).collect() == df.collect()
+
+
+def test_hash_split_is_stable_and_near_its_share(spark):
+    from vinterra.operators.prep import assign_split
+
+    df = spark.range(4000).withColumnRenamed("id", "k")
+    one = {r.k: r.split for r in assign_split(df, "k", 0.2, exact=False).collect()}
+    more = {r.k: r.split for r in assign_split(spark.range(8000).withColumnRenamed("id", "k"), "k", 0.2, exact=False).collect()}
+    assert all(more[k] == s for k, s in one.items())
+    assert 0.17 < sum(s == "valid" for s in one.values()) / 4000 < 0.23
+    plan = assign_split(df, "k", 0.2, exact=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_one_hot_cells_leave_out_unseen_and_missing(spark):
+    from vinterra.operators.prep import one_hot_cells, ordinal_encode
+
+    train = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
+    test = spark.createDataFrame([(1, "a"), (2, "zz"), (3, None)], "id int, c string")
+    assert [tuple(r) for r in one_hot_cells(train, test, ["c"], "id").collect()] == [(1, "c", "a")]
+    assert {r.id: r.c_ord for r in ordinal_encode(train, test, ["c"]).collect()} == {1: 0, 2: -1, 3: None}

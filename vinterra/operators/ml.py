@@ -12,7 +12,7 @@ import random
 from collections.abc import Sequence
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -20,7 +20,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
@@ -29,7 +29,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vinterra.functions._cols import null_safe_join
 from vinterra.operators.prep import class_weights
+from vinterra.session import cut_lineage
 
 # --- fixed values: production column contract and model settings ----------------------
 NUM_FEATURES = [
@@ -40,18 +42,15 @@ CAT_FEATURES = ["cepages", "region"]
 RANDOM_STATE = 100
 CV_FOLDS = 5
 MLP_HIDDEN = [128, 64]
-# Parameter grids by model key, in the reference's terms.  Parameters without
-# a Spark counterpart are listed under "dropped" and not searched.
+# Parameter grids by model key: the parameters that have a Spark counterpart.
 PARAM_GRIDS = {
-    "lr": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l2"], "solver": ["lbfgs", "liblinear"]},
+    "lr": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l2"]},
     "rf": {"n_estimators": [100, 300, 600], "max_depth": [None, 5, 10, 20], "max_features": ["sqrt"],
-           "min_samples_split": [2, 10, 20], "min_samples_leaf": [1, 4], "bootstrap": [True]},
+           "min_samples_leaf": [1, 4], "bootstrap": [True]},
     "xgb": {"n_estimators": [80, 100, 120], "max_depth": [2, 3, 4], "learning_rate": [0.03, 0.05, 0.07],
-            "subsample": [0.7, 0.8, 0.9], "colsample_bytree": [0.7, 0.8, 0.9], "gamma": [0, 0.05, 0.1],
-            "reg_alpha": [0.05, 0.1, 0.2], "reg_lambda": [0.8, 1, 1.2]},
-    "hgb": {"learning_rate": [0.05, 0.1], "max_depth": [3, 5], "max_leaf_nodes": [31, 63], "l2_regularization": [0.0, 0.1]},
+            "subsample": [0.7, 0.8, 0.9], "colsample_bytree": [0.7, 0.8, 0.9]},
+    "hgb": {"learning_rate": [0.05, 0.1], "max_depth": [3, 5]},
 }
-DROPPED_PARAMS = {"solver", "gamma", "reg_alpha", "reg_lambda", "max_leaf_nodes", "l2_regularization", "min_samples_split"}
 SPARK_MAX_DEPTH = 30   # Spark trees cannot be unbounded; "None" maps to the maximum
 # ---------------------------------------------------------------------------------------------
 
@@ -91,6 +90,23 @@ class PopulationScalerModel(Model, _ScalerParams, DefaultParamsReadable, Default
         return dataset.withColumns({o: (F.col(i) - F.lit(m)) / F.lit(sd) for i, o, m, sd in zip(ins, outs, ms, ss)})
 
 
+class OrdinalCodes(Transformer, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Indexes as plain numbers without nominal metadata; the index that the indexer keeps for
+    unseen and NULL values (its last one) becomes -1."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = {}
+        for i, o in zip(self.getInputCols(), self.getOutputCols()):
+            unseen = len(dataset.schema[i].metadata["ml_attr"]["vals"]) - 1
+            out[o] = F.when(F.col(i) == unseen, F.lit(-1.0)).otherwise(F.col(i).cast("double"))
+        return dataset.withColumns(out)
+
+
 # M11 ------------------------------------------------------------------------------------------
 def make_preprocessor(model_key: str, num_cols: Sequence[str] = NUM_FEATURES, cat_cols: Sequence[str] = CAT_FEATURES,
                       features: str = "features") -> list:
@@ -106,17 +122,16 @@ def make_preprocessor(model_key: str, num_cols: Sequence[str] = NUM_FEATURES, ca
         onehot = [f"{c}__oh" for c in cat_cols]
         stages += [
             PopulationScaler(inputCols=imputed, outputCols=scaled),
-            # the "keep" bucket of unseen values is the last index and is dropped -> all zeros
-            OneHotEncoder(inputCols=idx, outputCols=onehot, dropLast=True, handleInvalid="keep"),
+            # the indexer's bucket of unseen values is the last index and is dropped -> all zeros
+            OneHotEncoder(inputCols=idx, outputCols=onehot, dropLast=True, handleInvalid="error"),
             VectorAssembler(inputCols=scaled + onehot, outputCol=features, handleInvalid="keep"),
         ]
     else:
         # ordinal codes as plain numbers (no nominal metadata): trees split on
         # them like on any number, as with an ordinal encoder
         ordinal = [f"{c}__ord" for c in cat_cols]
-        casts = ", ".join(f"CAST(`{i}` AS DOUBLE) AS `{o}`" for i, o in zip(idx, ordinal))
         stages += [
-            SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"),
+            OrdinalCodes(inputCols=idx, outputCols=ordinal),
             VectorAssembler(inputCols=imputed + ordinal, outputCol=features, handleInvalid="keep"),
         ]
     return stages
@@ -128,27 +143,38 @@ def make_mlp_preprocessor(num_cols: Sequence[str] = NUM_FEATURES, cat_cols: Sequ
     with the population std.  Returns (stages, number of features)."""
     imputed = [f"{c}__imp" for c in num_cols]
     idx = [f"{c}__idx" for c in cat_cols]
-    scaled = [f"{c}__z" for c in imputed + idx]
+    ordinal = [f"{c}__ord" for c in cat_cols]
+    scaled = [f"{c}__z" for c in imputed + ordinal]
     stages = [
         Imputer(inputCols=list(num_cols), outputCols=imputed, strategy="mean"),
         StringIndexer(inputCols=list(cat_cols), outputCols=idx, stringOrderType="alphabetAsc", handleInvalid="keep"),
-        PopulationScaler(inputCols=imputed + idx, outputCols=scaled),
+        OrdinalCodes(inputCols=idx, outputCols=ordinal),
+        PopulationScaler(inputCols=imputed + ordinal, outputCols=scaled),
         VectorAssembler(inputCols=scaled, outputCol=features, handleInvalid="keep"),
     ]
     return stages, len(scaled)
 
 
 # M12 ------------------------------------------------------------------------------------------
-def make_estimator(model_key: str, label: str = "label", weight: str = "weight", features: str = "features"):
-    """``lr`` logistic regression (balanced weights, 1000 iterations); ``rf``
-    200-tree forest (balanced); ``xgb`` 200 boosted depth-3 trees, step 0.1,
+def ridge(c: float, weight_sum: float) -> float:
+    """Spark's ``regParam`` for an inverse penalty ``c`` on the *sum* of weighted losses: Spark
+    penalises their weighted mean, so it is ``1 / (c * sum of weights)``."""
+    return 1.0 / (c * weight_sum)
+
+
+def make_estimator(model_key: str, label: str = "label", weight: str = "weight", features: str = "features", weight_sum: float | None = None):
+    """``lr`` logistic regression (balanced weights, 1000 iterations, C = 1, which needs the sum of
+    the training weights -- the row count, for balanced ones); ``rf`` 200-tree forest (balanced,
+    depth 30, the deepest Spark grows); ``xgb`` 200 boosted depth-3 trees, step 0.1,
     row/feature subsampling 0.8; anything else: boosted trees with balanced
     weights (histogram boosting's defaults: 100 iterations, step 0.1)."""
     common = {"labelCol": label, "featuresCol": features}
     if model_key == "lr":
-        return LogisticRegression(maxIter=1000, weightCol=weight, **common)
+        if weight_sum is None:
+            raise ValueError("lr needs weight_sum, the sum of the training weights")
+        return LogisticRegression(maxIter=1000, weightCol=weight, regParam=ridge(1.0, weight_sum), standardization=False, **common)
     if model_key == "rf":
-        return RandomForestClassifier(numTrees=200, weightCol=weight, seed=RANDOM_STATE, **common)
+        return RandomForestClassifier(numTrees=200, maxDepth=SPARK_MAX_DEPTH, weightCol=weight, seed=RANDOM_STATE, **common)
     if model_key == "xgb":
         return GBTClassifier(maxIter=200, stepSize=0.1, maxDepth=3, subsamplingRate=0.8,
                              featureSubsetStrategy="0.8", seed=RANDOM_STATE, **common)
@@ -158,19 +184,17 @@ def make_estimator(model_key: str, label: str = "label", weight: str = "weight",
 def with_balanced_weight(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
     """sklearn's ``class_weight='balanced'`` as a column: n / (k * count(class))."""
     w = class_weights(df, label).select(label, F.col("balanced_weight").alias(weight))
-    return df.join(F.broadcast(w), label)  # one row per class
+    return null_safe_join(df, w, [label], "left")  # rows without a label keep a NULL weight
 
 
 # M13 ------------------------------------------------------------------------------------------
-def _spark_params(model_key: str, est) -> dict:
-    """Reference grid -> {Spark Param: values}, unsupported parameters dropped."""
+def _spark_params(model_key: str, est, weight_sum: float | None = None) -> dict:
+    """Search grid -> {Spark Param: values}, unsupported parameters dropped."""
     grid = PARAM_GRIDS.get(model_key, PARAM_GRIDS["hgb"])
     out: dict = {}
     for name, values in grid.items():
-        if name in DROPPED_PARAMS:
-            continue
         if name == "C":
-            out[est.regParam] = [1.0 / v for v in values]
+            out[est.regParam] = [ridge(v, weight_sum) for v in values]
         elif name == "penalty":
             out[est.elasticNetParam] = [0.0 if v == "l2" else 1.0 for v in values]
         elif name == "n_estimators":
@@ -192,10 +216,11 @@ def _spark_params(model_key: str, est) -> dict:
     return out
 
 
-def param_maps(model_key: str, est, search_type: str = "grid", n_iter: int = 50, seed: int = RANDOM_STATE) -> list:
+def param_maps(model_key: str, est, search_type: str = "grid", n_iter: int = 50, seed: int = RANDOM_STATE,
+               weight_sum: float | None = None) -> list:
     """Full grid, or ``min(n_iter, grid size)`` maps drawn without replacement
     (seeded) for ``search_type='random'``; any other type means grid."""
-    params = _spark_params(model_key, est)
+    params = _spark_params(model_key, est, weight_sum)
     builder = ParamGridBuilder()
     for p, vals in params.items():
         builder = builder.addGrid(p, vals)
@@ -207,15 +232,16 @@ def param_maps(model_key: str, est, search_type: str = "grid", n_iter: int = 50,
 
 
 def build_search(model_key: str, grid_search: bool = True, search_type: str = "grid", n_iter: int = 50,
-                 fold_col: str | None = "fold", parallelism: int = 4, label: str = "label"):
+                 fold_col: str | None = "fold", parallelism: int = 4, label: str = "label", weight_sum: float | None = None):
     """Pipeline (preprocessing + estimator), optionally wrapped in a 5-fold
-    ROC-AUC cross-validated search (``foldCol`` = the stratified folds)."""
-    est = make_estimator(model_key, label=label)
+    ROC-AUC cross-validated search (``foldCol`` = the stratified folds).  ``weight_sum`` is that of
+    the rows a fold trains on; only ``lr`` uses it."""
+    est = make_estimator(model_key, label=label, weight_sum=weight_sum)
     pipe = Pipeline(stages=make_preprocessor(model_key) + [est])
     if not grid_search:
         return pipe
-    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_maps(model_key, est, search_type, n_iter),
+    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_maps(model_key, est, search_type, n_iter, weight_sum=weight_sum),
                         evaluator=evaluator, numFolds=CV_FOLDS, parallelism=parallelism, seed=RANDOM_STATE)
     if fold_col:
         cv = cv.setFoldCol(fold_col)
@@ -229,7 +255,8 @@ def replicate_to_balance(df: DataFrame, label: str = "label") -> DataFrame:
     w = class_weights(df, label).select(label, "balanced_weight")
     wmin = w.select(F.min("balanced_weight")).scalar()
     reps = F.greatest(F.round(F.col("balanced_weight") / wmin).cast("int"), F.lit(1))
-    j = df.join(F.broadcast(w), label)
+    # rows without a label stay once
+    j = df.join(w, label, "left").withColumn("balanced_weight", F.coalesce("balanced_weight", wmin))
     return j.withColumn("_rep", F.explode(F.array_repeat(F.lit(1), reps))).drop("_rep", "balanced_weight")
 
 
@@ -242,29 +269,38 @@ def make_mlp(n_features: int, label: str = "label", features: str = "features",
 
 # M16 / M17 ------------------------------------------------------------------------------------
 def cross_val_accuracy(pipeline_stages: list, estimator, df: DataFrame, fold_col: str = "fold", label: str = "label",
-                       param_maps_: list | None = None, parallelism: int = 2):
-    """Mean validation accuracy over the folds of ``fold_col`` (CrossValidator
-    with a user fold column); raises on an empty input like the reference."""
+                       param_maps_: list | None = None):
+    """Validation accuracy over the folds of ``fold_col``: ``(best model, rows (trial, fold, accuracy))``.
+
+    Classes are balanced by replicating *training* rows only; every validation row counts once.
+    The trial with the best mean is fitted again on all rows.  Raises on an empty input."""
     if df.isEmpty():
         raise ValueError("cross-validation needs at least one row")
     pipe = Pipeline(stages=list(pipeline_stages) + [estimator])
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     maps = param_maps_ or [{}]
-    n_folds = df.select(F.max(fold_col)).first()[0] + 1
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator, parallelism=parallelism,
-                        numFolds=int(n_folds), seed=RANDOM_STATE).setFoldCol(fold_col)
-    return cv.fit(df)
+    folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]  # a handful
+    rows = []
+    for fold in folds:
+        train = cut_lineage(replicate_to_balance(df.where(F.col(fold_col) != fold), label))
+        valid = df.where(F.col(fold_col) == fold)
+        for trial, params in enumerate(maps):
+            rows.append((trial, int(fold), float(evaluator.evaluate(pipe.fit(train, params).transform(valid)))))
+    mean = [sum(r[2] for r in rows if r[0] == t) / len(folds) for t in range(len(maps))]
+    best = max(range(len(maps)), key=lambda t: (mean[t], -t))
+    return pipe.fit(cut_lineage(replicate_to_balance(df, label)), maps[best]), rows
 
 
 def random_mlp_maps(est: MultilayerPerceptronClassifier, n_features: int, n_trials: int, seed: int = RANDOM_STATE) -> list:
-    """Seeded random hyper-parameter draws for the MLP (layers, step size, block size)."""
+    """Seeded random hyper-parameter draws for the MLP: layers, tolerance and block size (the
+    solver in use, l-bfgs, has no step size)."""
     rng = random.Random(seed)
     widths = [32, 64, 128, 256]
     out = []
     for _ in range(n_trials):
         depth = rng.choice([1, 2, 3])
         layers = [n_features] + [rng.choice(widths) for _ in range(depth)] + [2]
-        out.append({est.layers: layers, est.stepSize: 10 ** rng.uniform(-4, -1), est.blockSize: rng.choice([64, 128, 256])})
+        out.append({est.layers: layers, est.tol: 10 ** rng.uniform(-7, -4), est.blockSize: rng.choice([64, 128, 256])})
     return out
 
 

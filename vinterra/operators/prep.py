@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vinterra.functions._cols import null_safe_join
 from vinterra.functions.numbers import clean_model_input, coerce_numeric, target_to_int
 from vinterra.operators.encode import consecutive_index, grouped_codes
 
@@ -39,13 +40,12 @@ def infer_roles(schema: T.StructType, target: str, num_cols: Sequence[str] | Non
                 cat_cols: Sequence[str] | None = None, exclude: Sequence[str] = ("split",)) -> tuple[list[str], list[str]]:
     """Numeric = every column but categorical, target and ``exclude`` when only
     categorical columns are given; by type when neither is given; both given -> as is."""
-    names = [f.name for f in schema.fields]
-    if num_cols is None and cat_cols:
-        skip = set(cat_cols) | {target} | set(exclude)
-        return [c for c in names if c not in skip], list(cat_cols)
-    if num_cols is None and cat_cols is None:
-        raise ValueError("At least one of num_cols or cat_cols must be provided.")
-    return list(num_cols), list(cat_cols or [])
+    if num_cols is not None:
+        return list(num_cols), list(cat_cols or [])
+    if cat_cols is None:
+        raise ValueError("give the numeric or the categorical columns")
+    taken = {target, *cat_cols, *exclude} if cat_cols else set(schema.names)
+    return [f.name for f in schema if f.name not in taken], list(cat_cols)
 
 
 def infer_roles_by_type(schema: T.StructType, target: str, exclude: Sequence[str] = ("split",)) -> tuple[list[str], list[str]]:
@@ -72,12 +72,17 @@ def split_target(df: DataFrame, target: str) -> tuple[DataFrame, Column]:
 
 # M2 ---------------------------------------------------------------------------------------
 def assign_split(df: DataFrame, key: str, valid_frac: float = DEFAULT_VALID_FRAC, seed: int = DEFAULT_SEED,
-                 split_col: str = "split") -> DataFrame:
+                 split_col: str = "split", exact: bool = True) -> DataFrame:
     """Existing ``split`` column: kept (only ``train``/``valid`` rows).  Otherwise
     an exact-size seeded sample: the first ``round(n * (1 - valid_frac))`` rows
-    in shuffle order are ``train``, the rest ``valid``."""
+    in shuffle order are ``train``, the rest ``valid``.  With ``exact=False`` a row is ``valid``
+    where the first 32 bits of its seeded hash fall below ``valid_frac``: sizes vary by chance, but
+    there is no shuffle and a row keeps its split when the table grows."""
     if split_col in df.columns:
         return df.where(F.col(split_col).isin("train", "valid"))
+    if not exact:
+        share = F.conv(F.substring(shuffle_key(key, seed), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+        return df.withColumn(split_col, F.when(share < F.lit(valid_frac), "valid").otherwise("train"))
     n = df.select(F.count(F.lit(1))).scalar()
     n_train = F.bround(n * F.lit(1.0 - valid_frac), 0)
     ordered = consecutive_index(df, [shuffle_key(key, seed), F.col(key)], "_pos")
@@ -115,7 +120,9 @@ def cast_target(df: DataFrame, target: str) -> DataFrame:
 
 # W5 ---------------------------------------------------------------------------------------
 def _stack(df: DataFrame, cols: Sequence[str], as_text: Column | None = None) -> DataFrame:
-    """(column, value) pairs for the given columns, one row per cell."""
+    """(column, value) pairs for the given columns, one row per cell (no columns: no rows)."""
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     return df.select(F.explode(cells).alias("_c")).select("_c.column", "_c.value")
 
@@ -149,6 +156,9 @@ def first_seen_mapping(df: DataFrame, cat_cols: Sequence[str], order: Sequence[s
     missing = [c for c in cat_cols if c not in df.columns]
     if missing:
         raise KeyError(f"Categorical column '{missing[0]}' not found in data.")
+    if not cat_cols:
+        none = df.sparkSession.createDataFrame([], "column string, value string, code long")
+        return none if existing is None else existing.select("column", "value", "code")
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("value")) for c in cat_cols]
     )
@@ -204,16 +214,26 @@ def tab_width(vocab: int) -> int:
 
 # M9 ---------------------------------------------------------------------------------------
 def ordinal_encode(train: DataFrame, df: DataFrame, cat_cols: Sequence[str], unknown: int = -1, suffix: str = "_ord") -> DataFrame:
-    """Sorted categories learnt on ``train``; unseen or NULL -> ``unknown``."""
+    """Sorted categories learnt on ``train``; unseen -> ``unknown``, NULL stays NULL."""
     mapping = sorted_mapping(train, cat_cols)
     out = df
     for c in cat_cols:
         m = mapping.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
         out = out.join(m, F.col(c).cast("string") == F.col("_v"), "left")
-        out = out.withColumn(c + suffix, F.coalesce(F.col("_code"), F.lit(unknown)).cast("long")).drop("_v", "_code")
+        code = F.when(F.col(c).isNotNull(), F.coalesce(F.col("_code"), F.lit(unknown)))
+        out = out.withColumn(c + suffix, code.cast("long")).drop("_v", "_code")
     return out
 
 
+def one_hot_cells(train: DataFrame, df: DataFrame, cat_cols: Sequence[str], key: str) -> DataFrame:
+    """One-hot encoding as ``(key, column, value)`` cells holding 1: the category of each row that
+    ``train`` knows; unseen and NULL values have no cell (all zeros)."""
+    known = _stack(train, cat_cols).where(F.col("value").isNotNull()).distinct()
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cat_cols])
+    rows = df.select(key, F.explode(cells).alias("_c")).select(key, "_c.column", "_c.value")
+    return rows.join(known, ["column", "value"], "left_semi").select(key, "column", "value")
+
+
 # M10 --------------------------------------------------------------------------------------
 def standardize(train: DataFrame, df: DataFrame, num_cols: Sequence[str], suffix: str = "") -> DataFrame:
     """``(x - mean) / std`` with the population std of ``train`` (1 where std is 0),
@@ -237,6 +257,7 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     partitioned by the (two-valued, huge) label."""
     idx = consecutive_index(df, [F.col(label), shuffle_key(key, seed), F.col(key)], "_gi")
     starts = idx.groupBy(label).agg(F.min("_gi").alias("_start"))
-    return idx.join(F.broadcast(starts), label).withColumn(
+    # rows without a label are a class of their own
+    return null_safe_join(idx, starts, [label]).withColumn(
         fold_col, F.pmod(F.col("_gi") - F.col("_start"), F.lit(k)).cast("int")
     ).drop("_gi", "_start")

@@ -24,14 +24,15 @@ def concat_intervals(df: DataFrame, intervals: Sequence[tuple[float, float]], pr
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in ``order`` (NULL keys compare equal).
 
-    ``min(struct(order..., row))`` per key is a partial aggregate: a key holding
-    a third of the rows is reduced inside each map task before the shuffle,
-    unlike a ``row_number()`` window that would sort the whole group in one task.
+    Rows are numbered once (a checkpoint fixes the numbers); the smallest
+    ``(order, number)`` per key is a partial aggregate over the key and order
+    columns alone, so a key holding a third of the rows is reduced inside each
+    map task, and the other columns -- of any type, VARIANT too -- only meet the
+    surviving numbers in a semi-join.
     """
-    rest = [c for c in df.columns if c not in key]
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("_row"))
-    best = df.groupBy(*key).agg(F.min(packed).alias("_best"))
-    return best.select(*key, *[F.col(f"_best._row.{c}").alias(c) for c in rest]).select(*df.columns)
+    numbered = cut_lineage(df).withColumn("_row", F.monotonically_increasing_id())
+    best = numbered.groupBy(*key).agg(F.min(F.struct(*order, "_row")).alias("_best")).select("_best._row")
+    return numbered.join(best, "_row", "left_semi").drop("_row")
 
 
 def sort_by_price(df: DataFrame, price: str = "price", ties: Sequence[str] = ()) -> DataFrame:
@@ -47,23 +48,24 @@ def value_counts(df: DataFrame, col: str, sort: str = "key") -> DataFrame:
     return counts.orderBy(F.col("n").desc(), F.col(col))
 
 
-def running_sum(df: DataFrame, order: Sequence[Column], value: str, out: str = "running") -> DataFrame:
-    """Exact cumulative sum in a global order without a single-partition window:
-    range partitions (checkpointed) get per-partition totals and prefix offsets
-    from a table with one row per partition."""
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """Exact cumulative sums ``{value column: output column}`` in one global order without a
+    single-partition window: range partitions (sorted and checkpointed once) get per-partition
+    totals and prefix offsets from a table with one row per partition."""
     ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("_local", F.sum(value).over(w))
-    totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_tot"))
-    offsets = totals.select(
-        "_pid",
-        F.coalesce(
-            F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-    )
-    return local.join(F.broadcast(offsets), "_pid").withColumn(out, F.col("_off") + F.col("_local")).drop(
-        "_pid", "_local", "_off"
-    )
+    local = ranged.withColumns({f"_local_{o}": F.sum(v).over(w) for v, o in sums.items()})
+    totals = ranged.groupBy("_pid").agg(*[F.sum(v).alias(f"_tot_{o}") for v, o in sums.items()])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums.values()])
+    out = local.join(F.broadcast(offsets), "_pid")  # one row per partition
+    out = out.withColumns({o: F.col(f"_off_{o}") + F.col(f"_local_{o}") for o in sums.values()})
+    return out.drop("_pid", *[f"{x}_{o}" for o in sums.values() for x in ("_local", "_off")])
+
+
+def running_sum(df: DataFrame, order: Sequence[Column], value: str, out: str = "running") -> DataFrame:
+    """One cumulative sum, see ``running_sums``."""
+    return running_sums(df, order, {value: out})
 
 
 def top_share(df: DataFrame, col: str, share: float = 0.9) -> DataFrame:

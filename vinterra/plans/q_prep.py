@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vinterra.operators.climate import CLIMATE_COLUMNS
+from vinterra.operators.ml import CAT_FEATURES, NUM_FEATURES
 from vinterra.operators.prep import (
     DEFAULT_SEED,
     DEFAULT_VALID_FRAC,
@@ -22,6 +23,7 @@ from vinterra.operators.prep import (
     encode_with_mapping,
     first_seen_mapping,
     impute_mean,
+    one_hot_cells,
     ordinal_encode,
     sorted_mapping,
     standardize,
@@ -30,8 +32,6 @@ from vinterra.operators.prep import (
 from vinterra.plans.q_weather import MAX_KM, _MERGE_SQL_CTES, merged_table
 from vinterra.plans.registry import query, rounded
 
-NUM_FEATURES = [*CLIMATE_COLUMNS, "price"]
-CAT_FEATURES = ["cepages", "region"]
 LABEL_PRICE = 150000.0
 K_FOLDS = 5
 
@@ -225,10 +225,18 @@ def category_widths_q(spark, d):
 def onehot_ordinal(spark, d):
     m = model_table(spark, d)
     train, test = m.where(F.col("set") == "train"), m.where(F.col("set") == "test")
-    out = ordinal_encode(train, test, CAT_FEATURES)
-    # a missing category is encoded as missing (NaN in the reference), not as unknown
-    out = out.withColumns({f"{c}_ord": F.when(F.col(c).isNull(), F.lit(None).cast("long")).otherwise(F.col(f"{c}_ord")) for c in CAT_FEATURES})
-    return out.select("wine_id", *[f"{c}_ord" for c in CAT_FEATURES])
+    return ordinal_encode(train, test, CAT_FEATURES).select("wine_id", *[f"{c}_ord" for c in CAT_FEATURES])
+
+
+@query(
+    "onehot_cells",
+    f"""WITH {_MODEL_SQL}, mp AS ({' UNION ALL '.join(_sorted_map_sql(c) for c in CAT_FEATURES)})
+        {' UNION ALL '.join(f"SELECT wine_id, '{c}' AS column, v AS value FROM model JOIN mp ON col = '{c}' AND v = CAST({c} AS VARCHAR) WHERE set = 'test'" for c in CAT_FEATURES)}""".replace(
+        "AS column", 'AS "column"').replace("WHERE set", 'WHERE "set"'),
+)
+def onehot_cells(spark, d):
+    m = model_table(spark, d)
+    return one_hot_cells(m.where(F.col("set") == "train"), m.where(F.col("set") == "test"), CAT_FEATURES, "wine_id")
 
 
 # M10 --------------------------------------------------------------------------------------

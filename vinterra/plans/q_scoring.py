@@ -2,7 +2,7 @@
 
 Scored rows: labelled documents (``labels.quality``) with a score that is a
 fixed function of ``n_chars``; per fold ``f`` a different such function.
-Logits: the first components of ``embeddings.embedding`` (10 classes).
+Logits: component ``i`` of ``embeddings.embedding`` adds to class ``i % 10``.
 Training histories: ``events`` by user fold and day.
 """
 
@@ -96,15 +96,21 @@ def confusion(spark, d):
 
 # logits ----------------------------------------------------------------------------------------
 def logits_table(spark, d, n: int = N_CLASSES):
+    """Logits of ``n`` classes from all components: component ``i`` adds to class ``i % n``."""
     e = table(spark, d, "embeddings")
-    lg = F.transform(F.slice("embedding", 1, n), lambda x: x.cast("double"))
+    part = lambda c: F.filter("embedding", lambda x, i: i % n == c)
+    lg = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda c: F.aggregate(part(c), F.lit(0.0), lambda acc, x: acc + x.cast("double")),
+    )
     return e.select("vec_id", F.col("label").cast("int").alias("label"), lg.alias("logits"))
 
 
 def _logits_sql(n: int = N_CLASSES) -> str:
     return f"""lg AS (
   SELECT vec_id, CAST(label AS INTEGER) AS label, lgt, list_max(lgt) AS m
-  FROM (SELECT vec_id, label, list_transform(list_slice(embedding, 1, {n}), lambda x: CAST(x AS DOUBLE)) AS lgt FROM embeddings))"""
+  FROM (SELECT vec_id, label, list_transform(range({n}), lambda c:
+          list_sum(list_transform(range(c + 1, len(embedding) + 1, {n}), lambda i: CAST(embedding[i] AS DOUBLE)))) AS lgt FROM embeddings))"""
 
 
 _LSE_SQL = "(m + ln(list_sum(list_transform(lgt, lambda x: exp(x - m)))))"
@@ -204,7 +210,7 @@ def history(spark, d):
     h = e.groupBy(fold.alias("fold"), epoch.alias("epoch")).agg(
         F.avg(F.when(tr, F.col("value"))).alias("train_acc"), F.avg(F.when(~tr, F.col("value"))).alias("valid_acc")
     )
-    return h.where(F.col("epoch") <= F.col("fold") + 25).withColumn("model", F.lit("mlp"))
+    return h.withColumn("model", F.lit("mlp"))
 
 
 _HIST_SQL = f"""hist AS (
@@ -212,7 +218,7 @@ _HIST_SQL = f"""hist AS (
     SELECT 'mlp' AS model, CAST(user_id % {K} AS INTEGER) AS fold, CAST(dayofmonth(ts) AS INTEGER) AS epoch,
            avg(CASE WHEN event_type IN ('view', 'click') THEN value END) AS train_acc,
            avg(CASE WHEN event_type NOT IN ('view', 'click') THEN value END) AS valid_acc
-    FROM events GROUP BY 2, 3) WHERE epoch <= fold + 25)"""
+    FROM events GROUP BY 2, 3))"""
 
 
 @query(
