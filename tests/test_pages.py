@@ -215,3 +215,30 @@ def test_tree_and_stats(spark):
     assert tree["France > Bordeaux > A"].parent_path == "France > Bordeaux"
     st = extraction_stats(recs.withColumn("ok", F.lit(True))).first()
     assert (st.total_regions_processed, st.success_rate, st.regions_with_parents, st.max_hierarchy_depth, st.french_regions) == (3, "100.0%", 2, 2, 2)
+
+
+WILD = """<html><body><div class="nav"><div><a href=/wine-regions/france>France &amp; Co</a></div>
+<a data-href="/wine-regions/no" href="/elsewhere">no</a><a href='/wine-regions/bordeaux'>Bor<!-- x -->deaux&apos;s</a></div>
+<main><!-- <a href="/wine-regions/hidden">h</a> --><a href=/wine-regions/open>o</a><script>var x='<a href="/wine-regions/js">';</script>
+<div><p><a href="/wine-regions/deep?x#y">d<b> e </b></a></div><a HREF="/wine-regions/last" title='a>b'>l</a></main>
+<a href="/wine-regions/outside">out</a>"""
+
+
+def test_links_of_wild_markup(spark):
+    df = spark.createDataFrame([("s", WILD, 1), ("t", None, 2), ("u", "", 3), ("v", '<nav><ul><a href="/wine-regions/x1">X', 4)], "slug string, html string, i int")
+    out = {r.i: r for r in df.select("i", breadcrumb_parents("html", "slug").alias("p"), region_children("html", "slug", F.array().cast("array<string>")).alias("c")).collect()}
+    assert list(out[1].p) == ["France & Co", "Bordeaux's"]
+    assert list(out[1].c) == ["open", "deep", "last"]
+    assert [list(out[i].p) for i in (2, 3, 4)] == [[], [], ["X"]] and [list(out[i].c) for i in (2, 3, 4)] == [[], [], []]
+
+
+def test_selector_priority_beats_page_order(spark):
+    html = '<body><div class="navbar"><a href="/wine-regions/a1">A</a></div><ol class="x breadcrumb"><li><a href="/wine-regions/b1">B</a></ol>'
+    df = spark.createDataFrame([("s", html), ("B", html)], "slug string, html string")
+    got = {r.slug: list(r.p) for r in df.select("slug", breadcrumb_parents("html", "slug").alias("p")).collect()}
+    assert got == {"s": ["B"], "B": ["A"]}  # a container with only the page itself is passed over
+
+
+def test_apostrophe_entity(spark):
+    df = spark.createDataFrame([("s", "<title>L&apos;Etoile &amp;apos; | x</title>")], "slug string, html string")
+    assert df.select(region_name("html", "slug").alias("n")).first().n == "L'Etoile &apos;"

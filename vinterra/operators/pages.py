@@ -1,14 +1,10 @@
 """Region facts from crawled HTML pages.
 
-Every rule runs JVM-side on a ``(slug, html)`` table: containers and links
-are cut out with ``regexp_extract_all``, filtered and rebuilt with
-higher-order functions (``transform``/``filter``/``aggregate``), entities are
-decoded with commons-text via ``java_method``.  No row leaves the JVM.
-
-HTML is matched with regular expressions, not parsed into a tree: a container
-ends at the first closing tag of its own name, so a container nested in an
-element of the same tag name is cut short.  Crawled region pages do not nest
-their navigation lists that way.
+Text rules run JVM-side on a ``(slug, html)`` table as higher-order expressions
+(``transform``/``filter``/``aggregate``); entities are decoded with
+commons-text via ``java_method``.  Links and the containers they stand in need
+real nesting: one Arrow-batched pass of an HTML tokenizer per page
+(``vinterra.functions.html_links``) returns them.
 """
 
 from __future__ import annotations
@@ -19,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vinterra.functions._cols import as_col
+from vinterra.functions.html_links import page_walk
 from vinterra.functions.text import strip_ws, title_case
 
 # --- fixed values (must equal the reference for identical results) ---------------------
@@ -105,9 +102,6 @@ NAME_MAX_LEN = 50
 HIERARCHY_SEPARATOR = " > "
 # ---------------------------------------------------------------------------------------------
 
-_TAG = r"[A-Za-z][A-Za-z0-9]*"
-_ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']"
 
 
 def _let(value: Column, body) -> Column:
@@ -117,8 +111,9 @@ def _let(value: Column, body) -> Column:
 
 
 def unescape_html(c) -> Column:
-    """HTML entity decoding (commons-text, JVM)."""
-    return F.java_method(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), as_col(c))
+    """HTML entity decoding (commons-text, JVM; its HTML table lacks ``&apos;``)."""
+    text = F.replace(as_col(c), F.lit("&apos;"), F.lit("'"))
+    return F.java_method(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), text)
 
 
 def _regex_quote(c) -> Column:
@@ -175,58 +170,14 @@ def stripped_title(html) -> Column:
 
 
 # P20 ------------------------------------------------------------------------------------------
-def _class_token(token: str) -> str:
-    return rf"(?is)<({_TAG})\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{token}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1\s*>"
-
-
-def _attr_contains(attr: str, sub: str) -> str:
-    return rf"(?is)<({_TAG})\b[^>]*\b{attr}\s*=\s*[\"'][^\"']*{sub}[^\"']*[\"'][^>]*>(.*?)</\1\s*>"
-
-
-def _containers(html: Column, selector: str) -> Column:
-    """Inner HTML of the elements matching one of the supported selectors."""
-    if selector.startswith(".") and "[" not in selector:
-        return F.regexp_extract_all(html, F.lit(_class_token(selector[1:].replace("-", r"\-"))), 2)
-    if selector.startswith("["):
-        attr, sub = selector[1:-1].split("*=")
-        return F.regexp_extract_all(html, F.lit(_attr_contains(attr, sub.strip("\"'"))), 2)
-    outer, inner = selector.split()
-    outers = F.regexp_extract_all(html, F.lit(_element(outer)), 1)
-    return F.flatten(F.transform(outers, lambda o: F.regexp_extract_all(o, F.lit(_element(inner)), 1)))
-
-
-def _prefix_links(fragment: Column, prefix: str) -> Column:
-    """``<a>`` tags (attributes, inner html) whose href contains ``prefix``."""
-    anchors = F.regexp_extract_all(fragment, F.lit(_ANCHOR), 0)
-    pairs = F.transform(
-        anchors,
-        lambda a: F.struct(
-            F.regexp_extract(F.regexp_extract(a, _ANCHOR, 1), _HREF, 1).alias("href"),
-            F.regexp_extract(a, _ANCHOR, 2).alias("inner"),
-            F.regexp_extract(a, _ANCHOR, 1).rlike(_HREF).alias("has_href"),
-        ),
-    )
-    return F.filter(pairs, lambda p: p["has_href"] & (F.locate(prefix, p["href"]) > 0))
-
-
 def breadcrumb_parents(html, slug, prefix: str = DEFAULT_LINK_PREFIX, selectors: Sequence[str] = BREADCRUMB_SELECTORS) -> Column:
     """First container (selector priority, then document order) with at least
     one prefix link whose non-empty texts differ from the slug (empty if none)."""
-    return F.coalesce(_breadcrumbs_or_null(html, slug, prefix, selectors), F.array().cast("array<string>"))
-
-
-def _breadcrumbs_or_null(html, slug, prefix: str, selectors: Sequence[str] = BREADCRUMB_SELECTORS) -> Column:
-    """As ``breadcrumb_parents`` but NULL when nothing is found; selectors are
-    tried lazily (``coalesce`` stops at the first hit)."""
-    h, s = as_col(html), as_col(slug)
-    per_selector = []
-    for sel in selectors:
-        names = F.transform(
-            _containers(h, sel),
-            lambda c: F.filter(F.transform(_prefix_links(c, prefix), lambda l: stripped_text(l["inner"])), lambda t: (t != "") & (t != s)),
-        )
-        per_selector.append(F.try_element_at(F.filter(names, lambda n: F.size(n) > 0), F.lit(1)))
-    return F.coalesce(*per_selector)
+    return page_walk(as_col(html), as_col(slug), prefix, selectors)["names"]
+
+
+def _or_null(parents: Column) -> Column:
+    return F.when(F.size(parents) > 0, parents)
 
 
 # P21 ------------------------------------------------------------------------------------------
@@ -299,9 +250,13 @@ def _rules_or_null(text, slug) -> Column:
 def region_parents(html, slug, prefix: str = DEFAULT_LINK_PREFIX) -> Column:
     """Breadcrumbs, else text patterns, else rules, else empty -- evaluated
     lazily: later methods run only for pages where the earlier ones fail."""
+    return _parents(breadcrumb_parents(html, slug, prefix), html, slug)
+
+
+def _parents(crumbs: Column, html, slug) -> Column:
     text = visible_text(html)
     return F.coalesce(
-        _breadcrumbs_or_null(html, slug, prefix),
+        _or_null(crumbs),
         _text_parents_or_null(text, slug),
         _rules_or_null(text, slug),
         F.array().cast("array<string>"),
@@ -313,12 +268,11 @@ def region_children(html, slug, parents, prefix: str = DEFAULT_LINK_PREFIX, limi
     """Slugs after the prefix in links of ``<main>`` (else ``<body>``), query and
     fragment cut, without self/parents, longer than 1 char, no '/', first
     ``limit`` distinct in page order."""
-    h = as_col(html)
-    main = _first_element(h, "main")
-    body = _first_element(h, "body")
-    scope = F.when(_has_element(h, "main"), main).when(_has_element(h, "body"), body)
-    hrefs = F.transform(_prefix_links(F.coalesce(scope, F.lit("")), prefix), lambda l: l["href"])
-    tails = F.transform(hrefs, lambda x: F.element_at(F.split(x, "\\Q" + prefix + "\\E"), -1))
+    return _children(page_walk(as_col(html), as_col(slug), prefix, BREADCRUMB_SELECTORS)["targets"], slug, parents, prefix, limit)
+
+
+def _children(targets: Column, slug, parents, prefix: str, limit: int = MAX_CHILDREN) -> Column:
+    tails = F.transform(targets, lambda x: F.element_at(F.split(x, "\\Q" + prefix + "\\E"), -1))
     slugs = F.transform(tails, lambda x: F.split(F.split(x, r"\?").getItem(0), "#").getItem(0))
     excluded = F.concat(F.array(as_col(slug)), F.transform(as_col(parents), lambda p: F.regexp_replace(F.lower(p), " ", "-")))
     ok = F.filter(slugs, lambda x: (x != "") & (F.length(x) > 1) & ~x.contains("/"))
@@ -328,10 +282,11 @@ def region_children(html, slug, parents, prefix: str = DEFAULT_LINK_PREFIX, limi
 # P25 ------------------------------------------------------------------------------------------
 def region_records(pages: DataFrame, html: str = "html", slug: str = "slug", prefix: str = DEFAULT_LINK_PREFIX,
                    source: str = "html_pages") -> DataFrame:
-    """One record per page: slug, name, parents, children, full_hierarchy, depth."""
-    named = pages.withColumns({"name": region_name(html, slug), "parents": region_parents(html, slug, prefix)})
-    rec = named.withColumn("children", region_children(html, slug, "parents", prefix))
-    return rec.drop(html).withColumns(
+    """One record per page: slug, name, parents, children, full_hierarchy, depth (links are read once)."""
+    walked = pages.withColumn("_walk", page_walk(F.col(html), F.col(slug), prefix, BREADCRUMB_SELECTORS))
+    named = walked.withColumns({"name": region_name(html, slug), "parents": _parents(F.col("_walk.names"), html, slug)})
+    rec = named.withColumn("children", _children(F.col("_walk.targets"), slug, "parents", prefix))
+    return rec.drop(html, "_walk").withColumns(
         {
             "full_hierarchy": F.array_join(F.concat("parents", F.array("name")), HIERARCHY_SEPARATOR),
             "hierarchy_depth": F.size("parents"),
