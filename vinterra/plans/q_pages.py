@@ -2,9 +2,10 @@
 
 Pages: ``pages(page_id, url, html)``; the slug is the site word of the URL
 and the link prefix is ``/`` (the given pages link to ``/<word>``).
-Queries needing an HTML container walk (breadcrumbs, parents, children,
-records, tree, statistics) have no SQL oracle; ``tests/test_pages.py`` checks
-them against a stdlib ``html.parser`` brute force on real pages.
+Oracles of the link queries use that the given pages carry their links in one
+``nav ul`` each (never none, so text patterns and rules are not reached there);
+wild markup is in ``tests/test_pages.py``.  Text patterns need a regular
+expression built from each row and have no SQL oracle.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from vinterra.operators.pages import (
     HIERARCHY_ORDER,
     KNOWN_HIERARCHIES,
+    MAX_CHILDREN,
     MAJOR_REGION_KEYWORDS,
     SUB_REGION_KEYWORDS,
     COUNTRY_KEYWORDS,
@@ -192,17 +194,15 @@ _SLUG_TITLE_SQL = (
 )
 
 
-@query(
-    "page_name",
-    f"""WITH {_PAGES_SQL},
-        t AS (SELECT page_id, slug, {_TITLE_CUT_SQL} AS title, regexp_matches(html, '(?is)<title\\b[^>]*>') AS has_title,
-                     {_H1_SQL} AS h1, regexp_matches(html, '(?is)<h1\\b[^>]*>') AS has_h1 FROM pg)
-        SELECT page_id, slug,
+_NAME_SQL = f"""SELECT page_id, slug,
                CASE WHEN has_h1 AND length(h1) > 0 AND NOT contains(lower(h1), 'wine') AND length(h1) < 50 THEN h1
                     WHEN has_title AND length(title) > 2 THEN title
                     ELSE {_SLUG_TITLE_SQL} END AS name
-        FROM t""",
-)
+        FROM (SELECT page_id, slug, {_TITLE_CUT_SQL} AS title, regexp_matches(html, '(?is)<title\\b[^>]*>') AS has_title,
+                     {_H1_SQL} AS h1, regexp_matches(html, '(?is)<h1\\b[^>]*>') AS has_h1 FROM pg)"""
+
+
+@query("page_name", f"WITH {_PAGES_SQL} {_NAME_SQL}")
 def page_name(spark, d):
     p = _pages(spark, d)
     return p.select("page_id", "slug", region_name("html", "slug").alias("name"))
@@ -213,7 +213,23 @@ def _joined(c):
 
 
 # P20 -----------------------------------------------------------------------------------------------
-@query("page_links")
+_LINKS_SQL = f"""{_PAGES_SQL},
+box AS (
+  SELECT page_id, slug, html,
+         regexp_extract_all(regexp_extract(html, '(?is)<nav\\b[^>]*>.*?<ul\\b[^>]*>(.*?)(?:</ul\\s*>|\\z)', 1),
+                            '(?is)<a\\b[^>]*\\bhref="[^"]*/[^"]*"[^>]*>(.*?)</a\\s*>', 1) AS inner_html,
+         regexp_extract_all(regexp_replace(regexp_extract(html, '(?is)<body\\b[^>]*>(.*)', 1), '(?s)<!--.*?-->', '', 'g'),
+                            '(?is)<a\\b[^>]*\\bhref="([^"]*/[^"]*)"', 1) AS targets
+  FROM pg),
+par AS (
+  SELECT page_id, slug, html, targets,
+         [x for x in [{_strip_sql(_unescape_sql("regexp_replace(l, '<[^>]*>', '', 'g')"))} for l in inner_html] if x <> '' and x <> slug] AS parents
+  FROM box)"""
+_PARENTS_SQL = f"""WITH {_LINKS_SQL}
+        SELECT page_id, slug, CAST(len(parents) AS INTEGER) AS n_parents, array_to_string(parents, ' | ') AS parents FROM par"""
+
+
+@query("page_links", _PARENTS_SQL)
 def page_links(spark, d):
     p = _pages(spark, d).withColumn("parents", breadcrumb_parents("html", "slug", LINK_PREFIX))
     return p.select("page_id", "slug", F.size("parents").alias("n_parents"), _joined("parents").alias("parents"))
@@ -252,14 +268,30 @@ def page_rules(spark, d):
 
 
 # P23 -----------------------------------------------------------------------------------------------
-@query("page_parents")
+@query("page_parents", _PARENTS_SQL)
 def page_parents(spark, d):
     p = _pages(spark, d).withColumn("parents", region_parents("html", "slug", LINK_PREFIX))
     return p.select("page_id", "slug", F.size("parents").alias("n_parents"), _joined("parents").alias("parents"))
 
 
 # P24 -----------------------------------------------------------------------------------------------
-@query("page_children")
+_CHILDREN_SQL = f"""{_LINKS_SQL},
+tg AS (SELECT page_id, slug, parents, unnest(targets) AS t, unnest(range(len(targets))) AS i FROM par),
+ch AS (SELECT page_id, slug, parents, i, regexp_replace(regexp_replace(string_split(t, '/')[-1], '(?s)\\?.*$', ''), '(?s)#.*$', '') AS c FROM tg),
+fc AS (
+  SELECT page_id, c, min(i) AS i FROM ch
+  WHERE length(c) > 1 AND c <> slug AND NOT list_contains([replace(lower(x), ' ', '-') for x in parents], c) GROUP BY page_id, c),
+kid AS (
+  SELECT page_id, list(c ORDER BY i) AS children
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM fc) WHERE k <= {MAX_CHILDREN} GROUP BY page_id),
+pc AS (SELECT par.*, coalesce(children, []) AS children FROM par LEFT JOIN kid USING (page_id))"""
+
+
+@query(
+    "page_children",
+    f"""WITH {_CHILDREN_SQL}
+        SELECT page_id, slug, CAST(len(children) AS INTEGER) AS n_children, array_to_string(children, ' | ') AS children FROM pc""",
+)
 def page_children(spark, d):
     p = _pages(spark, d).withColumn("parents", region_parents("html", "slug", LINK_PREFIX))
     p = p.withColumn("children", region_children("html", "slug", "parents", LINK_PREFIX))
@@ -271,7 +303,18 @@ def _records(spark, d):
     return region_records(_pages(spark, d), "html", "slug", LINK_PREFIX)
 
 
-@query("region_record")
+_RECORDS_SQL = f"""{_CHILDREN_SQL},
+nm AS ({_NAME_SQL}),
+rec AS (SELECT pc.*, name, list_append(parents, name) AS path FROM pc JOIN (SELECT page_id, name FROM nm) USING (page_id))"""
+
+
+@query(
+    "region_record",
+    f"""WITH {_RECORDS_SQL}
+        SELECT page_id, slug, name, array_to_string(parents, ' | ') AS parents, array_to_string(children, ' | ') AS children,
+               array_to_string(path, ' > ') AS full_hierarchy, CAST(len(parents) AS INTEGER) AS hierarchy_depth, 'html_pages' AS source
+        FROM rec""",
+)
 def region_record(spark, d):
     r = _records(spark, d)
     return r.select(
@@ -281,14 +324,32 @@ def region_record(spark, d):
 
 
 # A10 -----------------------------------------------------------------------------------------------
-@query("region_tree")
+@query(
+    "region_tree",
+    f"""WITH {_RECORDS_SQL},
+        nd AS (SELECT *, [x for x in path if x <> ''] AS full_path FROM rec),
+        pre AS (SELECT *, full_path[1:i] AS node FROM (SELECT *, unnest(range(1, len(full_path) + 1)) AS i FROM nd)),
+        g AS (SELECT node, arg_max(struct_pack(s := slug, c := children, d := len(parents)), page_id) FILTER (len(node) = len(full_path)) AS meta
+              FROM pre GROUP BY node)
+        SELECT array_to_string(node, ' > ') AS path, CASE WHEN len(node) > 1 THEN array_to_string(node[:-2], ' > ') END AS parent_path,
+               CAST(len(node) AS INTEGER) AS depth, meta.s AS slug, array_to_string(meta.c, ' | ') AS children,
+               CAST(meta.d AS INTEGER) AS hierarchy_depth FROM g""",
+)
 def region_tree(spark, d):
     t = hierarchy_tree(_records(spark, d), order="page_id")
     return t.select("path", "parent_path", "depth", "slug", _joined("children").alias("children"), "hierarchy_depth")
 
 
 # A9 ------------------------------------------------------------------------------------------------
-@query("extraction_stats")
+@query(
+    "extraction_stats",
+    f"""WITH {_RECORDS_SQL}
+        SELECT count(*) AS total_regions_processed, count(name) AS successful_extractions,
+               printf('%.1f%%', count(name) * 100.0 / count(*)) AS success_rate,
+               count(*) FILTER (len(parents) > 0) AS regions_with_parents, count(*) FILTER (len(children) > 0) AS regions_with_children,
+               CAST(max(len(parents)) AS INTEGER) AS max_hierarchy_depth,
+               count(*) FILTER (list_contains(parents, 'France')) AS french_regions FROM rec""",
+)
 def extraction_stats_q(spark, d):
     r = _records(spark, d).withColumn("ok", F.col("name").isNotNull())
     return extraction_stats(r)
