@@ -1,5 +1,6 @@
 """Partial-ratio semi-join -- fixture, exact scores, blocking = brute force."""
 
+import os
 import random
 
 import pytest
@@ -21,8 +22,15 @@ def _lcs_dp(a, b):
 
 
 def _partial_ratio_naive(s1, s2):
-    if len(s1) > len(s2):
-        s1, s2 = s2, s1
+    """Every substring of the longer string no longer than the shorter one, for equal lengths of either."""
+    if not s1 or not s2:
+        return 100.0 if s1 == s2 else 0.0
+    if len(s1) == len(s2):
+        return max(_naive_one_way(s1, s2), _naive_one_way(s2, s1))
+    return _naive_one_way(*sorted((s1, s2), key=len))
+
+
+def _naive_one_way(s1, s2):
     m, n = len(s1), len(s2)
     wins = [s2[:i] for i in range(1, m)] + [s2[i:i + m] for i in range(n - m + 1)] + [s2[i:] for i in range(max(n - m + 1, 1), n)]
     return max(200.0 * _lcs_dp(s1, w) / (m + len(w)) for w in wins)
@@ -66,3 +74,45 @@ def test_low_threshold_rejected(spark):
     df = spark.createDataFrame([("a",)], "n string")
     with pytest.raises(ValueError):
         fuzzy_matches(df, "n", df, "n", 40)
+
+
+def test_equal_lengths_are_tried_both_ways():
+    assert partial_ratio("abcY", "aXbc") == partial_ratio("aXbc", "abcY") == pytest.approx(85.714285, abs=1e-5)
+    assert exceeds("abcY", "aXbc", 85) and exceeds("aXbc", "abcY", 85)
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 9)
+        a, b = ("".join(rng.choice("abc") for _ in range(n)) for _ in range(2))
+        assert partial_ratio(a, b) == pytest.approx(_partial_ratio_naive(a, b))
+
+
+@pytest.mark.parametrize("threshold", [50, 70, 85, 99, 100])
+def test_pairs_of_odd_strings_match_all_pairs(spark, threshold):
+    rng = random.Random(threshold)
+    words = ["", "abcY", "aXbc", "Y", None, "a b", "abcabcabc"] + ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    left = spark.createDataFrame([(w,) for w in words[:40]], "n string")
+    right = spark.createDataFrame([(w,) for w in words[3:] + ["", "aXbc"]], "h string")
+    got = sorted((r.n, r.h) for r in fuzzy_matches(left, "n", right, "h", threshold).collect())
+    want = {(n, h) for n in words[:40] for h in words[3:] + ["", "aXbc"] if n is not None and h is not None and _partial_ratio_naive(n, h) > threshold + 1e-9}
+    assert got == sorted(want)
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_out):
+    """Run from another folder, with the package on the driver's path only."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from vinterra.session import local_session
+from vinterra.operators.fuzzy import fuzzy_matches
+from vinterra.operators.polygons import simplify_polygons
+spark = local_session(2)
+df = spark.createDataFrame([("bordeaux",), ("qqqq",)], "n string")
+wines = spark.createDataFrame([("Bordeaux rouge",)], "h string")
+print([tuple(r) for r in fuzzy_matches(df, "n", wines, "h", 70).collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))], cwd=tmp_out, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip() == "[('bordeaux', 'Bordeaux rouge')]", out.stderr[-800:]

@@ -91,3 +91,42 @@ def test_streaming_ingest_exactly_once(spark, tmp_out):
         fh.write(_resp(MATCH_OK) + "\n")
     start_ingest(spark, land, out, name="t1").awaitTermination()   # restart: only the new file
     assert spark.read.parquet(out).count() == 3
+
+
+def test_flatten_keeps_text_vintages_and_survives_other_shapes(spark):
+    nv = json.loads(json.dumps(MATCH_OK))
+    nv["vintage"]["year"] = "N.V."
+    rows = [(_resp(nv),), (json.dumps({"explore_vintage": {"matches": 7}}),), ("{broken",), (None,), ("[]",)]
+    out = flatten_responses(spark.createDataFrame(rows, "response string")).collect()
+    assert [(r.Wine, r.vintage) for r in out] == [("Cuvée N.V.", "N.V.")]
+
+
+def test_keep_first_takes_flattened_rows(spark):
+    from vinterra.operators.rankings import keep_first
+
+    cheap = json.loads(json.dumps(MATCH_OK))
+    cheap["price"]["amount"] = 3
+    df = flatten_responses(spark.createDataFrame([(_resp(MATCH_OK, cheap, MATCH_OK),)], "response string"))
+    got = keep_first(df, ["Wine", "vintage"], ["price"]).withColumn("grape", dominant_grape()).collect()
+    assert [(r.price, r.match_pos, r.grape) for r in got] == [(3.0, 1, "merlot")]
+
+
+def test_weather_files_of_both_spellings(spark, tmp_out):
+    d = os.path.join(tmp_out, "wx")
+    os.makedirs(d)
+    pd.DataFrame({"station": ["A"], "lat": ["45.0"], "lon": ["1"]}).to_parquet(os.path.join(d, "weather_cleaned_2020.parquet"))
+    pd.DataFrame({"station": ["B"], "latitude": ["46.0"], "longitude": ["2"]}).to_parquet(os.path.join(d, "weather_cleaned_2021.parquet"))
+    w = read_weather(spark, d)
+    assert sorted((r.station, r.year, r.latitude, r.longitude) for r in w.collect()) == [("A", 2020, 45.0, 1.0), ("B", 2021, 46.0, 2.0)]
+    assert set(w.columns) == {"station", "year", "latitude", "longitude"}
+
+
+def test_polygons_round_trip_through_geojson_lines(spark, tmp_out):
+    from vinterra.operators.polygons import read_geojson, with_clean_name
+
+    rows = [("Côte X", "AOC", [[{"x": 0.0, "y": 0.5}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 0.5}]]), (None, "IGP", [[{"x": 5.0, "y": 0.0}]])]
+    parts = spark.createDataFrame(rows, "denom string, signe string, rings array<array<struct<x:double,y:double>>>")
+    write_geojson_lines(parts, os.path.join(tmp_out, "g"), ["denom", "signe"])
+    back = read_geojson(spark, os.path.join(tmp_out, "g"), lines=True, props=["denom", "signe"])
+    assert sorted(map(tuple, back.select("denom", "signe", "rings").collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
+    assert sorted(r.denom_clean for r in with_clean_name(back).collect() if r.denom_clean) == ["côte x"]

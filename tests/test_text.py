@@ -85,3 +85,9 @@ def test_clean_model_input(spark):
 
 def test_target_cast(spark):
     assert _col(spark, ["1", "0.9", "n/a", None, "2"], target_to_int) == [1, 0, 0, 0, 2]
+
+
+def test_dominant_item_leaves_quoted_words_alone(spark):
+    vals = ["[{'seo_name': 'None'}]", "[{'seo_name': 'a True b', 'x': None}]", "[{'x': None, 'seo_name': \"it's False\"}]",
+            "[{'seo_name': 'x'}] junk", "[{'seo_name': None}]", "[{'ok': True, 'seo_name': 'y'}, {'seo_name': 'z'}]"]
+    assert _col(spark, vals, dominant_item) == ["None", "a True b", "it's False", None, None, "y"]

@@ -2,7 +2,9 @@
 
 The crawl stores grapes as ``"[{'seo_name': 'merlot', ...}, ...]"``.  The JVM
 JSON reader parses it once Python's ``None/True/False`` are spelled the JSON
-way and single quotes are allowed; an array column is accepted directly.
+way -- outside of quoted strings only -- and single quotes are allowed; text
+after the closing bracket makes it no list.  An array column is accepted
+directly.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 
 from vinterra.functions._cols import as_col
 
+_QUOTED = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+_MARK = "\x00"
 _ITEM_SCHEMA = "array<struct<seo_name:string>>"
 
 
@@ -22,12 +26,15 @@ def dominant_item(c, key: str = "seo_name") -> Column:
     col = as_col(c)
     schema = _ITEM_SCHEMA.replace("seo_name", key)
     txt = col.cast("string")
-    jsonish = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(txt, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false"
-    )
+    jsonish = txt
+    for name, word in (("None", "null"), ("True", "true"), ("False", "false")):
+        jsonish = F.regexp_replace(jsonish, rf"({_QUOTED})|\b{name}\b", f"$1{_MARK}{word}")
+        # the mark stands before a replaced word, and after a quoted string that stays
+        jsonish = F.regexp_replace(jsonish, rf"({_QUOTED}){_MARK}{word}", "$1")
+        jsonish = F.replace(jsonish, F.lit(_MARK), F.lit(""))
     parsed = F.from_json(jsonish, schema, {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
     first = F.try_element_at(parsed, F.lit(1))
-    return F.when(txt.rlike(r"^\s*\[\s*\{"), first[key])
+    return F.when(txt.rlike(r"(?s)^\s*\[\s*\{.*\]\s*$"), first[key])
 
 
 def dominant_item_from_array(c, key: str = "seo_name") -> Column:

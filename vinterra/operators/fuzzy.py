@@ -4,6 +4,8 @@
 every window of the longer one (full windows of length m, and the shorter
 prefix/suffix windows at its ends); a window's score is the normalised Indel
 similarity ``200 * LCS / (m + len(window))``; the result is the best score.
+Strings of equal length are tried both ways round, since only one of them is
+cut into windows.
 
 Blocking (lossless): a window scoring above ``t`` is within Indel distance
 ``d < 2m(100 - t)/100`` of s.  Cutting s into ``D + 1`` near-equal pieces, with
@@ -12,7 +14,10 @@ Blocking (lossless): a window scoring above ``t`` is within Indel distance
 found with an equi-join of pieces of the shorter string against same-length
 q-grams of the longer one; only candidates are scored exactly (bit-parallel
 LCS in a pandas UDF: there is no Indel/LCS function in Spark SQL, and the
-built-in ``levenshtein`` counts a substitution as one edit, not two).
+built-in ``levenshtein`` counts a substitution as one edit, not two).  Before
+that a JVM filter uses the same edit bound once more: each edit breaks at most
+two of the shorter string's bigrams, so at least ``m - 1 - 2D`` of them must
+occur in the longer one.
 Thresholds below 50 make the bound reach m (no piece is guaranteed) and would
 need every pair compared; they are rejected rather than run as a cross join.
 """
@@ -58,9 +63,13 @@ def _windows(s2: str, m: int):
 
 def partial_ratio(s1: str, s2: str) -> float:
     """Best normalised Indel similarity (0-100) of the shorter string against
-    the windows of the longer one."""
-    if len(s1) > len(s2):
-        s1, s2 = s2, s1
+    the windows of the longer one; both ways round if they are equally long."""
+    if len(s1) == len(s2):
+        return max(_one_way_ratio(s1, s2), _one_way_ratio(s2, s1))
+    return _one_way_ratio(*sorted((s1, s2), key=len))
+
+
+def _one_way_ratio(s1: str, s2: str) -> float:
     m = len(s1)
     if m == 0:
         return 100.0 if not s2 else 0.0
@@ -82,8 +91,12 @@ def exceeds(s1: str, s2: str, threshold: int) -> bool:
     Only windows containing a verbatim piece of the shorter string are scored:
     any window above the threshold contains one (the blocking argument, applied
     per pair), so a pair without a piece occurrence is rejected at once."""
-    if len(s1) > len(s2):
-        s1, s2 = s2, s1
+    if len(s1) == len(s2):
+        return _one_way_exceeds(s1, s2, threshold) or _one_way_exceeds(s2, s1, threshold)
+    return _one_way_exceeds(*sorted((s1, s2), key=len), threshold)
+
+
+def _one_way_exceeds(s1: str, s2: str, threshold: int) -> bool:
     m, n = len(s1), len(s2)
     if m == 0:
         return (100 if not s2 else 0) > threshold
@@ -139,7 +152,7 @@ def _candidates(short: DataFrame, long: DataFrame, threshold: int) -> DataFrame:
     """Pairs (s, l) with len(s) <= len(l) where a piece of s occurs in l."""
     m = F.length("s")
     d = max_edits_below(m, threshold)
-    blocked = short.where(d + 1 <= m)
+    blocked = short.where((m > 0) & (d + 1 <= m))
     pieces = blocked.select("s", F.explode(F.array_distinct(_pieces(F.col("s"), m, d + 1))).alias("piece")).select(
         "s", "piece", F.length("piece").alias("q"), m.alias("_m")
     )
@@ -153,7 +166,11 @@ def _candidates(short: DataFrame, long: DataFrame, threshold: int) -> DataFrame:
         F.length("l").alias("_n"),
     )
     pairs = pieces.join(grams, (pieces.q == grams.q) & (pieces.piece == grams.gram)).where(F.col("_m") <= F.col("_n"))
-    return pairs.select("s", "l").distinct()
+    pairs = pairs.select("s", "l").distinct()
+    bigrams = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))
+    kept = F.size(F.filter(bigrams, lambda g: F.contains(F.col("l"), g)))
+    needed = F.length("s") - 1 - 2 * max_edits_below(F.length("s"), threshold)
+    return pairs.where((needed <= 0) | (kept >= needed))
 
 
 def fuzzy_matches(needles: DataFrame, needle_col: str, haystacks: DataFrame, hay_col: str,
@@ -161,17 +178,21 @@ def fuzzy_matches(needles: DataFrame, needle_col: str, haystacks: DataFrame, hay
     """Distinct (needle, haystack) pairs with ``partial_ratio > threshold``."""
     if threshold < 50:
         raise ValueError("thresholds below 50 have no lossless blocking; not supported")
+    if threshold >= 100:  # no score is above 100
+        return needles.sparkSession.createDataFrame([], "n string, h string")
     nd = needles.select(F.col(needle_col).alias("n")).where(F.col("n").isNotNull()).distinct()
     hs = haystacks.select(F.col(hay_col).alias("h")).where(F.col("h").isNotNull()).distinct()
     # shorter-or-equal needle: pieces of the needle against grams of the haystack
     c1 = _candidates(nd.select(F.col("n").alias("s")), hs.select(F.col("h").alias("l")), threshold).select(
         F.col("s").alias("n"), F.col("l").alias("h")
     )
-    # longer needle: roles swap, pieces of the haystack against grams of the needle
+    # longer or equal needle: roles swap, pieces of the haystack against grams of the needle
     c2 = _candidates(hs.select(F.col("h").alias("s")), nd.select(F.col("n").alias("l")), threshold).select(
         F.col("l").alias("n"), F.col("s").alias("h")
-    ).where(F.length("n") > F.length("h"))
-    cand = c1.unionByName(c2).distinct()
+    )
+    # two empty strings have no pieces but are equal
+    empty = nd.where(F.col("n") == "").join(hs, F.col("n") == F.col("h"))
+    cand = c1.unionByName(c2).distinct().unionByName(empty)
 
     @F.pandas_udf(T.BooleanType())
     def _score(n: pd.Series, h: pd.Series) -> pd.Series:

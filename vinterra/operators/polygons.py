@@ -45,26 +45,37 @@ def name_column(columns: Sequence[str]) -> str:
 def with_clean_name(polys: DataFrame, out: str = "denom_clean") -> DataFrame:
     """P1 on the sniffed name column; a missing name stays NULL (and can never
     match), rather than becoming the text "none"."""
-    col = name_column(polys.columns)
-    return polys.withColumn(out, F.when(F.col(col).isNotNull(), normalize_text(F.col(col).cast("string"))))
+    named = [c for c in NAME_COLUMNS if c in polys.columns]
+    col = F.coalesce(*[F.col(c).cast("string") for c in named]) if "properties" in polys.columns else F.col(name_column(polys.columns))
+    return polys.withColumn(out, F.when(col.isNotNull(), normalize_text(col.cast("string"))))
 
 
-def read_geojson(spark, path: str) -> DataFrame:
-    """GeoJSON FeatureCollection of (Multi)Polygons -> one row per polygon part
-    with the feature properties (as text) and ``rings``.
+def read_geojson(spark, path: str, lines: bool = False, props: Sequence[str] | None = None) -> DataFrame:
+    """GeoJSON (Multi)Polygons -> one row per polygon part with ``rings``, the
+    wanted properties (as text) and ``properties``, a map of all of them.
+
+    ``lines=False``: FeatureCollections, one document per file; many files give
+    many tasks.  ``lines=True``: one Feature per line, as
+    ``write_geojson_lines`` writes them; files are split between tasks.
+    ``props``: properties that get a column; by default those of a name column
+    (``denom``, ``denominatio``).
 
     ``properties`` and ``geometry`` are read as raw JSON text (an explicit
     schema: inference would merge 3- and 4-level coordinate arrays into
     strings); the geometry is parsed by its type."""
-    raw = spark.read.option("multiLine", True).schema("features array<struct<properties:string, geometry:string>>").json(path)
-    feats = raw.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
-    keys = [r[0] for r in feats.select(F.explode(F.json_object_keys("properties"))).distinct().collect()]  # property names
+    if lines:
+        feats = spark.read.schema("properties string, geometry string").json(path)
+    else:
+        raw = spark.read.option("multiLine", True).schema("features array<struct<properties:string, geometry:string>>").json(path)
+        feats = raw.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+    keys = NAME_COLUMNS if props is None else props
     typ = F.get_json_object("geometry", "$.type")
     coords = F.get_json_object("geometry", "$.coordinates")
     poly_rings = F.from_json(coords, "array<array<array<double>>>")
     multi_rings = F.from_json(coords, "array<array<array<array<double>>>>")
     parts = F.when(typ == "Polygon", F.array(poly_rings)).when(typ == "MultiPolygon", multi_rings)
-    props = feats.select(*[F.get_json_object("properties", f"$.{k}").alias(k) for k in sorted(keys)],
+    every = F.from_json("properties", "map<string,string>")
+    props = feats.select(*[F.element_at(every, k).alias(k) for k in keys], every.alias("properties"),
                          F.posexplode(parts).alias("part", "_r"))
     as_struct = F.transform("_r", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return props.withColumn("rings", as_struct).drop("_r")

@@ -30,11 +30,12 @@ from vinterra.operators.pages import (
     text_pattern_parents,
     visible_text,
 )
-from vinterra.operators.rankings import concat_intervals
+from vinterra.functions.numbers import coerce_numeric
+from vinterra.operators.rankings import concat_intervals, keep_first
 from vinterra.plans import standins
 from vinterra.plans.q_tables import CRAWL_INTERVALS
 from vinterra.plans.registry import query, rounded, sql_str
-from vinterra.sources.crawl import dominant_grape, flatten_responses, request_plan
+from vinterra.sources.crawl import MATCH_FIELDS, dominant_grape, flatten_responses, request_plan
 from vinterra.sources.tables import table
 
 LINK_PREFIX = "/"
@@ -82,7 +83,9 @@ def _responses(spark, d):
     style = F.when(F.pmod(k, F.lit(17)) == 0, F.lit("null")).otherwise(
         F.concat(F.lit('{"grapes": [{"seo_name": "'), grape, F.lit('"}]}'))
     )
-    year = F.when(F.pmod(k, F.lit(13)) == 0, F.lit("null")).otherwise(F.year("o_orderdate").cast("string"))
+    year = F.when(F.pmod(k, F.lit(13)) == 0, F.lit("null")).when(F.pmod(k, F.lit(13)) == 1, F.lit('"N.V."')).otherwise(
+        F.year("o_orderdate").cast("string")
+    )
     price = F.when(F.pmod(k, F.lit(11)) == 0, F.lit("")).otherwise(
         F.concat(F.lit(', "price": {"amount": '), _cents_text(), F.lit("}"))
     )
@@ -118,7 +121,7 @@ _RESP_SQL = f"""m AS (
          || ', "ratings_count": ' || CAST(o_custkey AS VARCHAR)
          || ', "wine_ratings_average": 3.' || CAST(o_custkey % 10 AS VARCHAR)
          || ', "wine_ratings_count": ' || CAST(o_custkey * 2 AS VARCHAR)
-         || '}}, "year": ' || CASE WHEN o_orderkey % 13 = 0 THEN 'null' ELSE CAST(year(o_orderdate) AS VARCHAR) END || '}}'
+         || '}}, "year": ' || CASE WHEN o_orderkey % 13 = 0 THEN 'null' WHEN o_orderkey % 13 = 1 THEN '"N.V."' ELSE CAST(year(o_orderdate) AS VARCHAR) END || '}}'
          || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE ', "price": {{"amount": ' || {_CENTS_TEXT_SQL} || '}}' END
          || '}}' AS match
   FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -130,12 +133,7 @@ ms AS (
   SELECT page, generate_subscripts(arr, 1) - 1 AS match_pos, unnest(arr) AS mj
   FROM (SELECT page, json_extract(response, '$.explore_vintage.matches[*]') AS arr FROM resp))"""
 
-_PATHS = [
-    "$.vintage.wine.winery.name", "$.vintage.wine.name", "$.vintage.year", "$.vintage.statistics.ratings_average",
-    "$.vintage.statistics.ratings_count", "$.vintage.statistics.wine_ratings_average",
-    "$.vintage.statistics.wine_ratings_count", "$.vintage.wine.region.seo_name", "$.price.amount",
-    "$.vintage.wine.style.grapes",
-]
+_PATHS = [path for _, path, _ in MATCH_FIELDS]
 
 
 def _js(path: str) -> str:
@@ -148,7 +146,7 @@ def _js(path: str) -> str:
         SELECT CAST(page AS BIGINT) AS page, CAST(match_pos AS INTEGER) AS match_pos,
                {_js('$.vintage.wine.winery.name')} AS Winery,
                coalesce({_js('$.vintage.wine.name')}, 'None') || ' ' || coalesce({_js('$.vintage.year')}, 'None') AS Wine,
-               TRY_CAST({_js('$.vintage.year')} AS BIGINT) AS vintage,
+               {_js('$.vintage.year')} AS vintage,
                round(TRY_CAST({_js('$.vintage.statistics.ratings_average')} AS DOUBLE), 6) AS vintage_rating,
                TRY_CAST({_js('$.vintage.statistics.ratings_count')} AS BIGINT) AS vintage_rating_count,
                round(TRY_CAST({_js('$.vintage.statistics.wine_ratings_average')} AS DOUBLE), 6) AS wine_rating,
@@ -164,6 +162,34 @@ def crawl_flatten(spark, d):
     return rounded(out.withColumn("page", F.col("page").cast("bigint")))
 
 
+# S4 -> U1 -> W1 -> P7 ------------------------------------------------------------------------------
+_LANDED_INTERVALS = [(0.0, 150000.0), (100000.0, 1e12)]  # stand-in price intervals that overlap
+
+
+@query(
+    "crawl_to_grapes",
+    f"""WITH {_RESP_SQL},
+        flat AS (
+          SELECT page, match_pos, coalesce({_js('$.vintage.wine.name')}, 'None') || ' ' || coalesce({_js('$.vintage.year')}, 'None') AS Wine,
+                 {_js('$.vintage.year')} AS vintage, TRY_CAST({_js('$.price.amount')} AS DOUBLE) AS price,
+                 {_js('$.vintage.wine.style.grapes[0].seo_name')} AS grape
+          FROM ms WHERE {' AND '.join(f"json_extract(mj, '{p}') IS NOT NULL" for p in _PATHS)}),
+        iv AS (SELECT * FROM (VALUES {', '.join(f'({i}, {lo}, {hi})' for i, (lo, hi) in enumerate(_LANDED_INTERVALS))}) t(interval_id, lo, hi)),
+        u AS (SELECT flat.*, interval_id FROM flat JOIN iv ON price >= lo AND price <= hi),
+        k AS (SELECT *, row_number() OVER (PARTITION BY Wine, vintage ORDER BY interval_id, page, match_pos) AS rn FROM u)
+        SELECT Wine, vintage, TRY_CAST(vintage AS DOUBLE) AS year, round(price, 6) AS price, grape, interval_id,
+               CAST(page AS BIGINT) AS page, CAST(match_pos AS INTEGER) AS match_pos FROM k WHERE rn = 1""",
+)
+def crawl_to_grapes(spark, d):
+    """Landed responses to one row per wine and vintage with its dominant grape."""
+    flat = flatten_responses(_responses(spark, d), "response", keep=("page",))
+    first = keep_first(concat_intervals(flat, _LANDED_INTERVALS), ["Wine", "vintage"], ["interval_id", "page", "match_pos"])
+    return rounded(first.select(
+        "Wine", "vintage", coerce_numeric("vintage").alias("year"), "price", dominant_grape("cepages").alias("grape"), "interval_id",
+        F.col("page").cast("bigint").alias("page"), "match_pos",
+    ))
+
+
 # S5 ------------------------------------------------------------------------------------------------
 @query(
     "crawl_plan",

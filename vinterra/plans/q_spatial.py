@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vinterra.functions.geo import lambert93_inverse_sql, lambert93_sql, to_lambert93, from_lambert93
-from vinterra.operators.fuzzy import DEFAULT_THRESHOLD, fuzzy_semi_join
+from vinterra.operators.fuzzy import DEFAULT_THRESHOLD, fuzzy_matches, fuzzy_semi_join
 from vinterra.operators.polygons import (
     dissolve,
     filter_and_select,
@@ -224,3 +224,20 @@ def fuzzy_semi(spark, d):
     polys = with_clean_name(polygons(spark, d))
     matched = fuzzy_semi_join(polys.where(F.col("denom_clean").isNotNull()), "denom_clean", wine_names(spark, d), "Wine", DEFAULT_THRESHOLD)
     return rounded(mean_centroid(polygon_centroids(matched)))
+
+
+_WINE_NAMES_SQL = """SELECT CASE p_partkey % 5 WHEN 0 THEN p_name || ' ' || p_brand
+       WHEN 1 THEN array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(p_name, ' ')], ' ')
+       WHEN 2 THEN p_name[2:] WHEN 3 THEN translate(p_name, 'aeiou', 'eioua') ELSE replace(p_name, ' ', '') END AS Wine FROM part"""
+_POLY_NAMES_SQL = f"SELECT DISTINCT {_normalize_sql('CAST(denom AS VARCHAR)')} AS n FROM polys WHERE denom IS NOT NULL"
+
+
+@query(
+    "fuzzy_pairs",
+    f"""WITH {_POLYS_SQL}, nd AS ({_POLY_NAMES_SQL}), hs AS (SELECT DISTINCT Wine AS h FROM ({_WINE_NAMES_SQL}))
+        SELECT n, h FROM nd, hs WHERE (contains(h, n) AND n <> '') OR (contains(n, h) AND h <> '') OR n = h""",
+)
+def fuzzy_pairs(spark, d):
+    """Matching pairs above 99: for names of up to 50 characters no edit is left, so one contains the other."""
+    polys = with_clean_name(polygons(spark, d)).where(F.col("denom_clean").isNotNull())
+    return fuzzy_matches(polys, "denom_clean", wine_names(spark, d), "Wine", 99)

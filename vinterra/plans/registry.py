@@ -110,6 +110,7 @@ def sql_str(s: str) -> str:
 def _load_all() -> None:
     # Importing the modules registers their queries.
     from vinterra.plans import (  # noqa: F401
+        q_io,
         q_ml,
         q_pages,
         q_prep,

@@ -17,7 +17,7 @@ from vinterra.functions._cols import as_col
 MATCH_FIELDS = [
     ("Winery", "$.vintage.wine.winery.name", "string"),
     ("wine_name", "$.vintage.wine.name", "string"),
-    ("vintage", "$.vintage.year", "bigint"),
+    ("vintage", "$.vintage.year", "string"),
     ("vintage_rating", "$.vintage.statistics.ratings_average", "double"),
     ("vintage_rating_count", "$.vintage.statistics.ratings_count", "bigint"),
     ("wine_rating", "$.vintage.statistics.wine_ratings_average", "double"),
@@ -38,10 +38,12 @@ def _as_text(c: Column) -> Column:
 
 def flatten_responses(responses: DataFrame, json_col: str = "response", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per match; ``Wine = name + ' ' + year``; the grape list stays a
-    VARIANT array (``dominant_grape`` reads its first ``seo_name``)."""
+    VARIANT array (``dominant_grape`` reads its first ``seo_name``).  The vintage
+    stays text (``N.V.`` is one; P6 makes numbers of it later); a response whose
+    matches are no list has no rows."""
     parsed = responses.select(*keep, F.try_parse_json(as_col(json_col)).alias("_v"))
     matches = parsed.select(
-        *keep, F.posexplode(F.variant_get("_v", MATCHES_PATH, "array<variant>")).alias("match_pos", "_m")
+        *keep, F.posexplode(F.try_variant_get("_v", MATCHES_PATH, "array<variant>")).alias("match_pos", "_m")
     )
     present = F.lit(True)
     for _, path, _ in MATCH_FIELDS:

@@ -33,14 +33,17 @@ def read_weather(spark: SparkSession, path: str, years: Sequence[int] | None = N
     ``path`` is either a ``year=YYYY`` partitioned directory (partition pruning
     and dynamic pruning from a join on ``year`` come for free) or a folder of
     ``weather_cleaned_YYYY.parquet`` files (year parsed from the file name).
-    ``lat``/``lon`` are renamed and coordinates cast to DOUBLE; files with
-    different columns are merged."""
+    ``lat``/``lon`` count as ``latitude``/``longitude`` and become DOUBLE; files
+    with different columns or spellings are merged."""
     df = spark.read.option("mergeSchema", True).parquet(path)
     if "year" not in df.columns:
         df = df.withColumn("year", F.regexp_extract(F.col("_metadata.file_name"), WEATHER_FILE_YEAR, 1).cast("int"))
-    if set(COORD_RENAMES) <= set(df.columns):
-        df = df.withColumnsRenamed(COORD_RENAMES)
-    df = df.withColumns({"latitude": F.col("latitude").cast("double"), "longitude": F.col("longitude").cast("double")})
+    # files of both spellings may be mixed: a row has one of the two names
+    coords = {}
+    for short, full in COORD_RENAMES.items():
+        names = [c for c in (full, short) if c in df.columns]
+        coords[full] = F.coalesce(*[F.col(c).cast("double") for c in names])
+    df = df.withColumns(coords).drop(*COORD_RENAMES)
     if years is not None:
         df = df.where(F.col("year").isin(list(years)))
     return df
