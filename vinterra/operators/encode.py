@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vinterra.session import cut_lineage
+from vinterra.session import as_table, cut_lineage
 
 _PID_SHIFT = 33  # monotonically_increasing_id = partition_id << 33 | row position
 
@@ -58,7 +58,8 @@ def grouped_codes(
     order = list(order or [value_col])
     distinct = values.where(F.col(value_col).isNotNull()).select(*dict.fromkeys([group_col, value_col, *order])).distinct()
     idx = consecutive_index(distinct, [group_col, *order, value_col], "_g_idx")
-    starts = idx.groupBy(group_col).agg(F.min("_g_idx").alias("_g_start"))
+    # one row per group; its measured size decides how the few starts reach the many values
+    starts = as_table(idx.groupBy(group_col).agg(F.min("_g_idx").alias("_g_start")), "group-starts")
     return idx.join(starts, group_col).select(
         group_col, value_col, (F.col("_g_idx") - F.col("_g_start")).alias(code_col)
     )

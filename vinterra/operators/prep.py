@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from vinterra.functions._cols import null_safe_join
 from vinterra.functions.numbers import clean_model_input, coerce_numeric, target_to_int
 from vinterra.operators.encode import consecutive_index, grouped_codes
+from vinterra.session import as_table
 
 # --- fixed values --------------------------------------------------------------------
 MISSING_TOKEN = "__MISSING__"
@@ -137,7 +138,9 @@ def sorted_mapping(df: DataFrame, cat_cols: Sequence[str]) -> DataFrame:
 def encode_with_mapping(df: DataFrame, mapping: DataFrame, cat_cols: Sequence[str], missing: str = MISSING_TOKEN,
                         unknown: int = 0, suffix: str = "") -> DataFrame:
     """NULL -> ``missing`` token, then the code from ``mapping``; values not in
-    the mapping (the token included) get ``unknown``."""
+    the mapping (the token included) get ``unknown``.  The mapping is written
+    once, so each column's join is a broadcast or a shuffle by its real size."""
+    mapping = as_table(mapping, "category-codes")
     out = df
     for c in cat_cols:
         m = mapping.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
@@ -215,7 +218,7 @@ def tab_width(vocab: int) -> int:
 # M9 ---------------------------------------------------------------------------------------
 def ordinal_encode(train: DataFrame, df: DataFrame, cat_cols: Sequence[str], unknown: int = -1, suffix: str = "_ord") -> DataFrame:
     """Sorted categories learnt on ``train``; unseen -> ``unknown``, NULL stays NULL."""
-    mapping = sorted_mapping(train, cat_cols)
+    mapping = as_table(sorted_mapping(train, cat_cols), "category-codes")
     out = df
     for c in cat_cols:
         m = mapping.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
