@@ -37,14 +37,9 @@ def norm_words(text: str) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
-def _windows(words: str, length: int) -> Column:
-    """Array of ``(pos, len, hash)`` of the windows of one length; positions count from 1."""
-    last = F.size(words) - (length - 1)
-    each = F.transform(
-        F.sequence(F.lit(1), last),
-        lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice(words, i, length)).alias("h")),
-    )
-    return F.when(last >= 1, each)
+def _gram_hash(words: str, start: Column, length: int) -> Column:
+    """Hash of ``length`` words from the 0-based ``start``; words past the end do not count."""
+    return F.xxhash64(*[F.get(words, start + k) for k in range(length)])
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = N_WORDS) -> DataFrame:
@@ -57,7 +52,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
         w.select("item", "len", F.explode(grams).alias("gram"))
         .groupBy("len", "gram")
         .agg(F.collect_set("item").alias("items"))
-        .withColumn("h", F.xxhash64("gram"))
+        .withColumn("h", _gram_hash("gram", F.lit(0), n))
     )
 
 
@@ -69,16 +64,20 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
     if sum(r.b for r in stats) <= BROADCAST_BYTES:
         grams = F.broadcast(grams)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), norm_words(text_col).alias("w"))
-    none = F.array().cast("array<struct<pos:int,len:int,h:bigint>>")
-    every = F.concat(*[F.coalesce(_windows("w", k), none) for k in lengths]) if lengths else none
-    scan = base.select("*", F.explode(every).alias("x")).select("doc_id", "text_key", "w", "x.pos", "x.len", "x.h")
-    scan = scan.alias("s")
+    # Positions are exploded and hashed in the same compiled stage; the words are not copied.
+    shortest = lengths[0] if lengths else n
+    scan = base.where(F.size("w") >= shortest).select("*", F.explode(F.sequence(F.lit(0), F.size("w") - shortest)).alias("pos"))
+    if len(lengths) == 1:
+        scan = scan.select("*", F.lit(shortest).alias("len"), _gram_hash("w", F.col("pos"), shortest).alias("h"))
+    else:
+        each = [F.struct(F.lit(k).alias("len"), _gram_hash("w", F.col("pos"), k).alias("h")) for k in lengths or [n]]
+        scan = scan.select("*", F.inline(F.array(*each)))
     match = (
         (F.col("s.h") == F.col("b.h"))
         & (F.col("s.len") == F.col("b.len"))
-        & (F.slice(F.col("s.w"), F.col("s.pos"), F.col("s.len")) == F.col("b.gram"))
+        & (F.slice(F.col("s.w"), F.col("s.pos") + 1, F.col("s.len")) == F.col("b.gram"))
     )
-    found = scan.join(grams.alias("b"), match).select("doc_id", "text_key", "pos", F.col("s.len").alias("len"), "items")
+    found = scan.alias("s").join(grams.alias("b"), match).select("doc_id", "text_key", "pos", F.col("s.len").alias("len"), "items")
     covered = F.flatten(
         F.transform(F.collect_set(F.struct("pos", "len")), lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))
     )
