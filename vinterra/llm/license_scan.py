@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vinterra.llm.common import record_batches
+
 #: Least Dice coefficient of a match.
 THRESHOLD = Fraction(9, 10)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -179,19 +181,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """
     table = TEMPLATES if templates is None else templates
 
-    def find(batches):
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    schema = pa.schema(list(zip(names, types)))
+
+    def rows(batches):
         matcher = Matcher(table, threshold)
         for batch in batches:
-            out = []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                n, _, best, kind, names = scan_text(matcher, text.as_py())
+            for d, text in zip(*batch.columns):
+                n, _, best, kind, found = scan_text(matcher, text.as_py())
                 shared, a, b, name = best or (None, None, None, None)
-                out.append((d, n, name, kind, shared, a, b, ",".join(names)))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in RESULT.split(", ")])
+                yield d.as_py(), n, name, kind, shared, a, b, ",".join(found)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(find, RESULT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        lambda batches: record_batches(rows(batches), schema), RESULT
+    )
 
 
 def oracle(templates=None, threshold: Fraction = THRESHOLD) -> str:

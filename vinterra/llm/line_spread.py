@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vinterra.llm.common import same_row, written
+from vinterra.llm.common import record_batches, same_row, written
 
 #: A line on at least so many sites is boilerplate.
 MIN_SITES = 6
@@ -97,24 +97,21 @@ def remove_boilerplate(
     )
     marked = rows.join(held, same_row(rows, held), "left").select(rows["doc_id"], "text", line_hashes(F.col("text")).alias("hs"), "bad")
 
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])))
+
     def cut(batches):
         for batch in batches:
-            out = []
-            for d, text, hs, bad in zip(*(c for c in batch.columns)):
-                hs, bad = hs.as_py(), set(bad.as_py() or ())
-                text = text.as_py()
+            for d, text, hs, bad in zip(*batch.columns):
+                text, hs, bad = text.as_py(), hs.as_py(), set(bad.as_py() or ())
+                kept, gone = text, 0
                 if bad:
-                    kept = "\n".join([x for x, h in zip(text.split("\n"), hs) if h is None or h not in bad])
-                    gone = sum(h in bad for h in hs if h is not None)
-                else:
-                    kept, gone = text, 0
+                    kept = "\n".join([x for x, h in zip(text.split("\n"), hs) if h not in bad])
+                    gone = sum(h in bad for h in hs)
                 n = sum(h is not None for h in hs)
-                out.append((d.as_py(), n, gone, hashlib.sha256(kept.encode()).hexdigest(), kept if with_text else None))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in RESULT.split(", ")])
+                yield d.as_py(), n, gone, hashlib.sha256(kept.encode()).hexdigest(), kept if with_text else None
 
-    return marked.mapInArrow(cut, RESULT)
+    return marked.mapInArrow(lambda batches: record_batches(cut(batches), schema), RESULT)
 
 
 ORACLE = r"""

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinterra.llm.common import written
+from vinterra.llm.common import record_batches, written
 from vinterra.llm.words_np import Hasher, sliding_min
 
 WINDOW = 50
@@ -90,16 +90,21 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def find(batches):
         hasher = Hasher()
         for batch in batches:
-            ms, ds = [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ms, ds, held = [], [], 0
+            for d, text in zip(*batch.columns):
                 words = hashed_words(hasher, text.as_py())
                 if len(words) < window:
                     continue
                 m = np.unique(minimisers(hasher, words, window, anchor))
                 ms += [m, np.array([whole_key(hasher, words)], np.int64)]
-                ds.append(np.full(len(m) + 1, d, np.int64))
+                ds.append(np.full(len(m) + 1, d.as_py(), np.int64))
+                held += len(m)
+                if held > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ms)), pa.array(np.concatenate(ds))], ["m", "d"])
+                    ms, ds, held = [], [], 0
             if ms:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ms)), pa.array(np.concatenate(ds))], ["m", "d"])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(find, "m long, d long")
 
@@ -112,38 +117,37 @@ def _candidates(marked: DataFrame, window: int, anchor: int, with_text: bool) ->
 
     ``at`` holds the start of a window if a smaller document may hold it too, else -1.
     """
-
-    def find(batches):
+    schema = pa.schema(
+        [("d", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
+         ("kept", pa.binary()), ("text", pa.binary()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]
+    )
+    none = np.zeros(0, np.int64)
+
+    def one(hasher, d, text, early, late):
+        words = hashed_words(hasher, text)
+        key = whole_key(hasher, words)
+        if len(words) >= window and (late == key).any():
+            return d, key, len(words), len(words), hashlib.sha256(b"").hexdigest(), b"" if with_text else None, None, none, none
+        h, at = none, none
+        if len(early) or len(late):
+            m = minimisers(hasher, words, window, anchor)
+            later = np.isin(m, late)
+            which = np.flatnonzero(later | np.isin(m, early))
+            h = hasher.windows(words, window).view(np.int64)[which]
+            at = np.where(later[which], which, -1).astype(np.int32)
+        if (at >= 0).any():
+            return d, key, len(words), None, None, None, text, h, at
+        n, gone, kept = cut(text, [])
+        return d, key, n, gone, hashlib.sha256(kept).hexdigest(), kept if with_text else None, None, h, at
+
+    def rows(batches):
         hasher = Hasher()
         for batch in batches:
-            out = []
-            for d, text, early, late in zip(*(c for c in batch.columns)):
-                d, text = d.as_py(), text.as_py()
-                words = hashed_words(hasher, text)
-                key = whole_key(hasher, words)
-                early = early.values.to_numpy() if early.is_valid else np.zeros(0, np.int64)
-                late = late.values.to_numpy() if late.is_valid else np.zeros(0, np.int64)
-                if len(words) >= window and (late == key).any():
-                    out.append((d, key, len(words), len(words), hashlib.sha256(b"").hexdigest(), b"" if with_text else None, None, [], []))
-                    continue
-                h, at = np.zeros(0, np.int64), np.zeros(0, np.int32)
-                if len(early) or len(late):
-                    m = minimisers(hasher, words, window, anchor)
-                    later = np.isin(m, late)
-                    which = np.flatnonzero(later | np.isin(m, early))
-                    h = hasher.windows(words, window).view(np.int64)[which]
-                    at = np.where(later[which], which, -1).astype(np.int32)
-                if (at >= 0).any():
-                    out.append((d, key, len(words), None, None, None, text, h, at))
-                else:
-                    n, gone, kept = cut(text, [])
-                    out.append((d, key, n, gone, hashlib.sha256(kept).hexdigest(), kept if with_text else None, None, h, at))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                names = [x.split()[0] for x in CANDIDATES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-
-    return marked.mapInArrow(find, CANDIDATES)
+            for d, text, early, late in zip(*batch.columns):
+                marks = (x.values.to_numpy() if x.is_valid else none for x in (early, late))
+                yield one(hasher, d.as_py(), text.as_py(), *marks)
+
+    return marked.mapInArrow(lambda batches: record_batches(rows(batches), schema), CANDIDATES)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, spans array<struct<start:int,end:int>>"
@@ -172,21 +176,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = later.join(firsts, "h").where("first < d").groupBy("d", "key").agg(F.collect_set("at").alias("starts"))
     open_ = found.where("text is not null").select("d", "key", "text").join(gone, ["d", "key"], "left").select("d", "text", "starts")
     settled = found.where("text is null").select("d", "n_words", "n_removed", "kept_sha256", "kept")
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()),
+         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+    )
 
-    def finish(batches):
+    def rows(batches):
         for batch in batches:
-            out = []
-            for d, text, starts in zip(*(c for c in batch.columns)):
+            for d, text, starts in zip(*batch.columns):
                 spans = intervals(starts.values.to_numpy(), window) if starts.is_valid else []
                 n, lost, kept = cut(text.as_py(), spans)
-                out.append((d.as_py(), n, lost, hashlib.sha256(kept).hexdigest(), kept if with_text else None, [{"start": a, "end": b} for a, b in spans]))
-            if out:
-                span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), span]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-
-    cut_ = open_.mapInArrow(finish, RESULT)
+                yield d.as_py(), n, lost, hashlib.sha256(kept).hexdigest(), kept if with_text else None, [{"start": a, "end": b} for a, b in spans]
+
+    cut_ = open_.mapInArrow(lambda batches: record_batches(rows(batches), schema), RESULT)
     settled = settled.select(F.col("d").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
     out = cut_.unionByName(settled)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
