@@ -1,7 +1,8 @@
 """Corpus pipeline: documents through the training-data operators, stage by stage.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes it as Parquet in
-the shared checkpoint folder and the next stage reads it again.  All stages but the last return the
+the shared checkpoint folder, the next stage reads it again, and what is no longer needed is
+deleted.  All stages but the last return the
 columns of ``documents``.
 
 Defined results (each from its operator): null and empty texts fail the base quality rules; repeated
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinterra.llm import decontaminate, jaccard_join, mixing, quality_rules, resharding
-from vinterra.llm.common import written
+from vinterra.llm.common import drop_scratch, scratch_mark, written
 from vinterra.llm.queries import NEW_SHARDS, OLD_SHARDS
 from vinterra.sources.tables import table
 
@@ -60,7 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        drop_scratch(spark, mark, keep=docs)  # the stage's helper tables and the input it has used up
     return docs

@@ -66,3 +66,15 @@ def test_entry_lists_the_corpus_queries():
     assert set(queries.oracles()) <= set(entry.oracle_sql())
     assert len([k for k in queries.queries() if k.startswith("op")]) == 10
     assert jaccard_join.THRESHOLD == 0.8 or float(jaccard_join.THRESHOLD) == 0.8
+
+
+def test_run_leaves_its_result_alone(spark):
+    from vinterra.llm import common
+
+    other = common.written(spark.range(3), "other")
+    mark = common.scratch_mark()
+    got = P.run(spark, SF)
+    assert got.count() > 0 and len(common._scratch) == mark + 1
+    assert f"/{common._scratch[-1].rsplit('/', 1)[1]}/" in got.inputFiles()[0] and other.count() == 3
+    common.drop_scratch(spark, mark)
+    assert common.scratch_mark() == mark
