@@ -10,8 +10,10 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -269,23 +271,28 @@ def make_mlp(n_features: int, label: str = "label", features: str = "features",
 
 # M16 / M17 ------------------------------------------------------------------------------------
 def cross_val_accuracy(pipeline_stages: list, estimator, df: DataFrame, fold_col: str = "fold", label: str = "label",
-                       param_maps_: list | None = None):
+                       param_maps_: list | None = None, parallelism: int = 4):
     """Validation accuracy over the folds of ``fold_col``: ``(best model, rows (trial, fold, accuracy))``.
 
     Classes are balanced by replicating *training* rows only; every validation row counts once.
-    The trial with the best mean is fitted again on all rows.  Raises on an empty input."""
+    ``parallelism`` fits run at a time.  The trial with the best mean is fitted again on all rows.
+    Raises on an empty input."""
     if df.isEmpty():
         raise ValueError("cross-validation needs at least one row")
     pipe = Pipeline(stages=list(pipeline_stages) + [estimator])
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     maps = param_maps_ or [{}]
     folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]  # a handful
-    rows = []
-    for fold in folds:
-        train = cut_lineage(replicate_to_balance(df.where(F.col(fold_col) != fold), label))
-        valid = df.where(F.col(fold_col) == fold)
-        for trial, params in enumerate(maps):
-            rows.append((trial, int(fold), float(evaluator.evaluate(pipe.fit(train, params).transform(valid)))))
+    train = {f: cut_lineage(replicate_to_balance(df.where(F.col(fold_col) != f), label)) for f in folds}
+
+    def accuracy(fold, trial):
+        model = pipe.fit(train[fold], maps[trial])
+        return trial, int(fold), float(evaluator.evaluate(model.transform(df.where(F.col(fold_col) == fold))))
+
+    inherit = inheritable_thread_target(df.sparkSession)
+    jobs = [inherit(partial(accuracy, f, t)) for t in range(len(maps)) for f in folds]
+    with ThreadPool(parallelism) as pool:
+        rows = pool.map(lambda job: job(), jobs)
     mean = [sum(r[2] for r in rows if r[0] == t) / len(folds) for t in range(len(maps))]
     best = max(range(len(maps)), key=lambda t: (mean[t], -t))
     return pipe.fit(cut_lineage(replicate_to_balance(df, label)), maps[best]), rows
