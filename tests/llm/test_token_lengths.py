@@ -35,6 +35,17 @@ def test_parts_of_a_long_text_have_the_same_tokens():
     assert list(L.parts("x" * 1000, 100)) == ["x" * 1000]
 
 
+def test_long_runs_of_white_space():
+    enc = L.encoder()
+    for blank in (" ", "\n", "\t ", "\u3000", "\r\n"):
+        run = blank * 700
+        for text in (run, run + "x", "x" + run, f"a{run}b {run}'s{run} 9", f"{run}\x1f{run}"):
+            assert L.n_tokens(enc, text) == len(enc.encode_ordinary(text)), repr(text[:5])
+    assert L.n_tokens(enc, "x" + "\n" * 1_000_000 + "y") > 1000
+    assert L.n_tokens(enc, "a" * 300_000) == len(enc.encode_ordinary("a" * 300_000))
+    assert L.n_tokens(enc, "") == 0
+
+
 def test_special_token_names_are_text():
     assert len(L.encoder().encode_ordinary("<|endoftext|>")) > 1
 

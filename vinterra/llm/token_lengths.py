@@ -29,6 +29,9 @@ PART_CHARS = 200_000
 #: A place where the pattern always begins a new piece: one space after a letter, before a letter.
 SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
+#: Long runs of (Unicode) white space: the pattern's matcher would overflow its stack on them.
+BLANK_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{257,}")
+
 
 def encoder(vocabulary: str = VOCABULARY):
     import tiktoken
@@ -50,13 +53,28 @@ def parts(text: str, size: int = PART_CHARS):
     yield text[start:]
 
 
+def n_tokens(encoding, text: str) -> int:
+    """Number of tokens of a text of any length.
+
+    The pattern makes one piece of a run of white space without its last character (which may
+    belong to the next piece) or, at the end of a text, of the whole run; long runs are encoded so.
+    """
+    total = at = 0
+    for run in BLANK_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += sum(len(encoding.encode_ordinary(p)) for p in parts(text[at : run.start()]))
+        total += len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + sum(len(encoding.encode_ordinary(p)) for p in parts(text[at:]))
+
+
 def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, n_tokens`` of every row."""
 
     def count(batches):
-        encode = encoder(vocabulary).encode_ordinary
+        encoding = encoder(vocabulary)
         for batch in batches:
-            lengths = [sum(len(encode(p)) for p in parts(t)) if t else 0 for t in batch.column(1).to_pylist()]
+            lengths = [n_tokens(encoding, t.as_py()) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], ["doc_id", "n_tokens"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
