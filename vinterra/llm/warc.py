@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinterra.llm.common import scratch_path
+from vinterra.llm.common import scratch_path, written
 
-MAX_RECORDS = 5000
+MAX_RECORDS = 2000
 VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
 MAX_HEADER = 1 << 16
@@ -63,10 +63,11 @@ def with_digest(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url",
 def capture_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
     """``record`` texts without their last line feed, one per page."""
     p = with_digest(pages, id_col, uri_col, payload_col)
-    # the digests alone are aggregated (partially first, so copies cost nothing), not the payloads
-    first = p.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    p = p.join(first, "digest")
-    revisit = ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    # Digests alone are aggregated (partially first, so copies cost nothing).  Only those that occur
+    # more than once are looked up again: by a broadcast if their table is small, else by a shuffle.
+    first = p.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    p = p.join(written(first.where("copies > 1"), "warc-copies"), "digest", "left")
+    revisit = F.col("copies").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit(CRLF))
