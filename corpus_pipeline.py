@@ -42,8 +42,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard files of the result, and where each document went."""
-    layout = resharding.reshard(docs, F.xxhash64("source"), OLD_SHARDS, NEW_SHARDS)
+    """The shard files of the result, and where each document went.
+
+    ``docs`` is the written table of the stage before: the slots of each shard follow its order.
+    """
+    layout = resharding.reshard(docs, F.xxhash64("source"), OLD_SHARDS, NEW_SHARDS, order=mixing.stored_order())
     return resharding.layout_digest(layout)
 
 

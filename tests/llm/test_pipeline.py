@@ -1,12 +1,13 @@
 import math
 import os
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from vinterra.llm import jaccard_join, queries
+from vinterra.llm import jaccard_join, mixing, queries
 
 from test_decontaminate import brute as brute_hits
 from test_jaccard_join import brute as brute_links
@@ -49,6 +50,33 @@ def test_every_stage_matches_brute_force(spark):
     assert sorted(r.doc_id for r in placed) == sorted(want)
 
 
+def test_slots_of_every_shard_follow_the_mixing_order(spark, tmp_out):
+    def stored(docs, name):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        docs.write.option("maxRecordsPerFile", 9).parquet(f"{tmp_out}/{name}")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        return spark.read.parquet(f"{tmp_out}/{name}")
+
+    columns = "doc_id", "text", "source"
+    many = spark.read.parquet(f"{SF}/documents.parquet").select(*columns)
+    many = many.unionByName(many.withColumn("doc_id", F.col("doc_id") + 100_000))
+    mixed = stored(mixing.interleave(many, block_rows=2), "mixed")
+    place = {r.doc_id: (r.slot, r.in_block) for r in mixing.schedule(many, block_rows=2).collect()}
+    backwards = stored(mixed.orderBy(F.udf(lambda i: -place[i][0] * 2 - place[i][1], "long")("doc_id")), "backwards")
+    names = [f.rsplit("/", 1)[1] for f in mixed.inputFiles()]
+    assert len({n[:10] for n in names}) > 1 and any("-c001." in n for n in names)
+    runs = []
+    for docs in (mixed, backwards):
+        shards = defaultdict(list)
+        for r in P.shard(spark, docs, SF).orderBy("shard", "slot").collect():
+            assert r.slot == len(shards[r.shard])
+            shards[r.shard].append(r.doc_id)
+        runs.append(dict(shards))
+    assert sum(map(len, runs[0].values())) == many.count()
+    assert all(ids == sorted(ids, key=place.get) for ids in runs[0].values())
+    assert {s: ids[::-1] for s, ids in runs[1].items()} == runs[0]  # the order of stage 4 is what decides
+
+
 def test_run_over_odd_rows(spark, odd_docs, no_docs, tmp_out):
     for name, docs in (("odd", odd_docs), ("none", no_docs)):
         os.makedirs(f"{tmp_out}/{name}")

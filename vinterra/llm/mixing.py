@@ -30,6 +30,8 @@ BLOCK_ROWS = 64
 RESOLUTION = 1000
 RANK_BUCKETS = 1024
 MAX_SOURCES = 1000
+#: Rows of a file that ``stored_order`` counts together.
+STRETCH_ROWS = 4096
 
 
 def quantised(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
@@ -189,3 +191,17 @@ def interleave(
     )
     out = _scheduled(base, weights, block_rows, resolution, buckets)
     return out.orderBy("slot", "in_block").select("doc.*")
+
+
+def stored_order() -> tuple[Column, Column]:
+    """``(stretch, place)`` of a row in the files that a sorted table was written to.
+
+    Spark numbers the files of a write by task (``part-N``) and, within a task, by ``-cN``; a scan packs
+    files by size, so the order has to come from these names and the row numbers.  Only for
+    DataFrames that read such files.
+    """
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    number = lambda pattern: F.lpad(F.regexp_extract(name, pattern, 1), 12, "0")
+    file = F.when(name.rlike(r"^part-\d+"), F.concat(number(r"^part-(\d+)"), number(r"-c(\d+)\."))).otherwise(name)
+    run = F.floor(row / STRETCH_ROWS).cast("string")
+    return F.concat_ws("/", file, F.lpad(run, 12, "0")), row

@@ -9,6 +9,9 @@
 3. The bounded plan (block -> new shard, first slot) is broadcast to the rows.  Only shards that
    gain or lose a block are written again; the rest keep their files.
 
+Slots of a shard follow the block number, then id and text; or, if an order is given, that order:
+counts per (shard, stretch of the order), their running sum, and a row number inside each stretch.
+
 Law ``bytes``: capacities are equal in bytes, and shards differ from them by about a block.
 
 Defined results: a null text has size 1; a null id or shard key is a value like any other;
@@ -24,7 +27,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vinterra.llm.common import scratch_path
+from vinterra.llm.common import scratch_path, written
 
 FILE_BYTES = 32 << 20
 BLOCKS_PER_SHARD = 1024
@@ -130,19 +133,25 @@ def reshard(
     capacity: list[int] | None = None,
     blocks_per_shard: int = BLOCKS_PER_SHARD,
     file_bytes: int = FILE_BYTES,
+    order: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Rewrite the affected shards as ``shard=N/`` folders of Parquet files and read the layout back.
 
     ``old_shard`` gives 0 .. ``n_old`` - 1.  Columns: ``doc`` (struct of all columns), ``shard``,
     ``slot``, ``old_shard``, ``moved``.  Shards that neither gain nor lose a block are not
     written: their rows come from ``docs``.
+
+    ``order``: a stretch (equal for some thousand neighbouring rows, never null) and the place inside
+    it; the slots of every shard, and the rows of its files, then follow this order.
     """
     spark = docs.sparkSession
+    ordered = [c.alias(n) for c, n in zip(order or (), ("stretch", "place"))]
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.pmod(old_shard, F.lit(n_old)).cast("int").alias("old_shard"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks_per_shard)).cast("int").alias("block"),
         row_bytes(F.col(text_col)).alias("row_bytes"),
+        *ordered,
     )
     sizes = base.groupBy("old_shard", "block").agg(F.sum("row_bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     to = plan_transfers([(r.old_shard, r.block, r.b) for r in sizes], n_new, capacity)
@@ -154,13 +163,39 @@ def reshard(
         plan.append((r.old_shard, r.block, j, start[j], r.block % groups))
         start[j] += r.n
 
+    def planned(rows: list[tuple]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(rows, "old_shard int, block int, shard int, first_slot long, file_group int"))
+
+    if order:
+        counts = base.select("old_shard", "block", "stretch").join(planned(plan), ["old_shard", "block"])
+        counts = counts.groupBy("shard", "stretch").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        first = F.coalesce(F.sum("n").over(before), F.lit(0))
+        of_shard = F.sum("n").over(Window.partitionBy("shard"))
+        stretches = written(
+            counts.select("shard", "stretch", first.alias("start"), F.floor(first * groups / of_shard).cast("int").alias("part")), "shard-stretches"
+        )
+
+    def placed_in_order(rows: list[tuple]) -> DataFrame:
+        # a shuffle by (shard, part of its slots); the window sorts the rows of each file by slot
+        w = Window.partitionBy("shard", "part", "stretch").orderBy("place")
+        spots = base.join(planned(rows), ["old_shard", "block"]).join(stretches, ["shard", "stretch"])
+        return spots.repartition("shard", "part").select(
+            "doc",
+            "shard",
+            (F.col("start") + F.row_number().over(w) - 1).cast("long").alias("slot"),
+            "old_shard",
+            (F.col("shard") != F.col("old_shard")).alias("moved"),
+        )
+
     def placed(rows: list[tuple]) -> DataFrame:
-        table = spark.createDataFrame(rows, "old_shard int, block int, shard int, first_slot long, file_group int")
+        if order:
+            return placed_in_order(rows)
         # a shuffle by (shard, file group) lays out the files; the window inside a block reuses it
         w = Window.partitionBy("shard", "file_group", "old_shard", "block").orderBy(
             F.col(f"doc.`{id_col}`"), text_crc32(F.col(f"doc.`{text_col}`"))
         )
-        return base.join(F.broadcast(table), ["old_shard", "block"]).repartition("shard", "file_group").select(
+        return base.join(planned(rows), ["old_shard", "block"]).repartition("shard", "file_group").select(
             "doc",
             "shard",
             (F.col("first_slot") + F.row_number().over(w) - 1).cast("long").alias("slot"),
