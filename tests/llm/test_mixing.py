@@ -86,3 +86,48 @@ def test_named_weights_and_empty_table(spark, odd_docs, no_docs):
 def test_too_many_sources_are_refused(spark):
     with pytest.raises(ValueError):
         M.schedule(spark.range(M.MAX_SOURCES + 1).selectExpr("id AS doc_id", "cast(id AS string) AS source"))
+
+
+def drift(rows, weights):
+    """Largest distance of any source from its exact share, in blocks, at any slot of the first phase."""
+    total = sum(map(Fraction, weights.values()))
+    done, worst = Counter(), 0
+    for s, phase, *_, slot in rows:
+        if phase:
+            break
+        done[s] += 1
+        worst = max(worst, *(abs(done[x] - Fraction(weights[x]) * (slot + 1) / total) for x in weights))
+    return worst
+
+
+@pytest.mark.parametrize("weights", [
+    {"a": 0.9, **{f"s{i}": 0.1 / 19 for i in range(19)}},
+    {"a": 0.5, **{f"s{i}": 0.5 / 99 for i in range(99)}},
+    {"a": 0.9997, "b": 0.0003},
+    {"a": 1 / 3, "b": 0.123456789, "c": 2**0.5},
+])
+def test_blocks_follow_the_given_weights_exactly(weights):
+    rows = list(M.block_slots(dict.fromkeys(weights, 3000), weights))
+    assert drift(rows, weights) < 1
+    assert all(r[4] <= r[6] < r[5] for r in rows) and [r[6] for r in rows] == list(range(3000 * len(weights)))
+    assert Counter(r[0] for r in rows) == dict.fromkeys(weights, 3000)
+    assert len({(r[0], r[2]) for r in rows}) == len(rows)
+
+
+def test_scheduled_rows_keep_the_given_weights(spark, monkeypatch):
+    monkeypatch.setattr(M, "PIECE_BLOCKS", 700)  # several pieces
+    weights = {"0": 0.9, **{str(i): 0.1 / 19 for i in range(1, 20)}}
+    docs = spark.range(4000).selectExpr("id AS doc_id", "cast(CASE WHEN id < 2000 THEN 0 ELSE id % 20 END AS string) AS source")
+    got = sorted(M.schedule(docs, weights=weights, block_rows=1).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in got] == list(range(4000))
+    assert sum(r.phase == 0 for r in got) > 1900
+    assert drift([(r.source, r.phase, r.slot) for r in got], weights) < 1
+
+
+def test_weight_nought_comes_last_and_wrong_weights_are_refused():
+    rows = list(M.block_slots({"a": 3, "b": 2, "c": 2}, {"a": 1.0, "b": 0.0, "c": 0}))
+    assert "".join(r[0] for r in rows) == "aaabcbc"
+    for wrong in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            list(M.block_slots({"a": 1, "b": 1}, {"a": 1.0, "b": wrong}))
+    assert list(M.block_slots({}, {})) == []

@@ -5,10 +5,14 @@ release time ``floor(i / w)`` and deadline ``ceil((i + 1) / w)`` in slots; in ea
 released block with the earliest deadline runs.  At every slot each source is then less than one
 block away from its share.
 
-Weights are multiples of ``1 / resolution``, so a schedule repeats after ``resolution`` slots: one
-period is worked out on the driver from the weight table (its size is the number of sources, not
-of rows), and rows find their slot by arithmetic.  When a source runs out, a new phase begins with
-the remaining weights in proportion; nothing is dropped or repeated.
+Weights are taken as the exact fractions that the given numbers are, so no source drifts from its
+target however long the schedule is.  The driver holds the weights and one waiting block per source
+and writes the slots of all blocks, in pieces, as a table that the rows are joined to.  When a source
+runs out, a new phase begins with the remaining weights in proportion; sources of weight 0 come
+after all others; nothing is dropped or repeated.
+
+With a ``resolution``, weights are first rounded to multiples of ``1 / resolution`` (``quantised``);
+``period_slots`` and ``phases`` give the repeating schedule of such weights.
 
 Ranks inside a source come from hash buckets: a count per (source, bucket), their running sum, and
 a row number inside each bucket, so a source with a third of all rows is spread over all tasks.
@@ -22,14 +26,22 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vinterra.llm.common import scratch_path
+
 BLOCK_ROWS = 64
 RESOLUTION = 1000
 RANK_BUCKETS = 1024
 MAX_SOURCES = 1000
+#: Blocks of the schedule that the driver holds at a time.
+PIECE_BLOCKS = 100_000
 #: Rows of a file that ``stored_order`` counts together.
 STRETCH_ROWS = 4096
 
@@ -111,31 +123,79 @@ def _ranked(base: DataFrame, buckets: int) -> DataFrame:
     return numbered.join(starts, ["stream", "bucket"]).withColumn("rank", F.col("start") + F.col("rn") - 1).drop("rn", "start")
 
 
-def _scheduled(base: DataFrame, weights, block_rows: int, resolution: int, buckets: int) -> DataFrame:
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of ``weights``."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * unit) for s, x in exact.items()}
+    common = math.gcd(*out.values())
+    return {s: w // common for s, w in out.items()}
+
+
+def block_slots(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple]:
+    """Rows ``(source, phase, block, weight, release, deadline, slot)`` of every block, in slot order.
+
+    A phase lasts until one of its sources has no block left.
+    """
+    if any(not 0 <= weights[s] < math.inf for s, n in blocks.items() if n):
+        raise ValueError("weights must be finite and not negative")
+    left = {s: n for s, n in blocks.items() if n}
+    done = dict.fromkeys(left, 0)
+    begin = phase = 0
+    while left:
+        q = whole_weights({s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1))
+        n = sum(q.values())
+        share = {s: q[s] / n for s in q}
+        waiting = [(0, s, 0) for s in q]  # (release, source, block of the phase)
+        heapq.heapify(waiting)
+        ready: list[tuple[int, str, int, int]] = []
+        t, last = 0, False
+        while not last:
+            while waiting and waiting[0][0] <= t:
+                release, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-((i + 1) * n // -q[s]), s, i, release))
+            deadline, s, i, release = heapq.heappop(ready)
+            yield s, phase, done[s], share[s], begin + release, begin + deadline, begin + t
+            done[s] += 1
+            left[s] -= 1
+            last = not left[s]
+            heapq.heappush(waiting, ((i + 1) * n // q[s], s, i + 1))
+            t += 1
+        left = {s: k for s, k in left.items() if k}
+        begin += t
+        phase += 1
+
+
+def _written_blocks(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
+    """The rows of ``block_slots`` as a table in the shared folder, written in pieces of bounded size."""
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    schema = pa.schema(list(zip(("stream", "phase", "block", "weight", "release", "deadline", "slot"), kinds)))
+    path = scratch_path(spark, "mix-blocks")
+    more = True
+    while more:
+        piece = list(islice(rows, PIECE_BLOCKS))
+        columns = zip(*piece) if piece else [[]] * len(kinds)
+        table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], schema=schema)
+        out = spark.createDataFrame(table)
+        out.coalesce(1).write.mode("append").parquet(path)
+        more = len(piece) == PIECE_BLOCKS
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def _scheduled(base: DataFrame, weights, block_rows: int, resolution: int | None, buckets: int) -> DataFrame:
     spark = base.sparkSession
     streams = base.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(streams) > MAX_SOURCES:
         raise ValueError(f"a mixture names its sources: more than {MAX_SOURCES} were found")
     rows = {r.stream: r.n for r in streams}
     wanted = weights(rows) if callable(weights) else {s: weights[None if s == "null" else s[1:]] for s in rows}
-    plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, wanted, resolution)
-    schema = "stream string, phase int, first_block long, blocks long, q long, period long, first_slot long, at array<int>"
-    table = spark.createDataFrame(plan, schema)
+    if resolution and wanted:
+        wanted = quantised(wanted, resolution)
+    slots = _written_blocks(spark, block_slots({s: -(-n // block_rows) for s, n in rows.items()}, wanted))
     ranked = _ranked(base, buckets).withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
-    # at most one row per source and phase, so at most MAX_SOURCES squared: bounded
-    b, p = ranked.alias("b"), F.broadcast(table).alias("p")
-    within = F.col("b.block") - F.col("p.first_block")
-    joined = b.join(p, (F.col("b.stream") == F.col("p.stream")) & (within >= 0) & (within < F.col("p.blocks")))
-    k = F.col("block") - F.col("first_block")
-    start = F.col("first_slot") + F.expr("(block - first_block) div q") * F.col("period")
-    i = F.expr("(block - first_block) % q")
-    return joined.select(
-        *[F.col(f"b.{c}") for c in ranked.columns],
-        (F.col("q") / F.col("period")).alias("weight"),
-        "phase",
-        (start + F.floor(i * F.col("period") / F.col("q"))).cast("long").alias("release"),
-        (start + F.ceil((i + 1) * F.col("period") / F.col("q"))).cast("long").alias("deadline"),
-        (start + F.get("at", i.cast("int"))).cast("long").alias("slot"),
+    # one row per block: the planner broadcasts it or shuffles both sides, by its written size
+    return ranked.join(slots, ["stream", "block"]).select(
+        *ranked.columns, "weight", "phase", "release", "deadline", "slot"
     ).withColumn("in_block", (F.col("rank") - F.col("block") * block_rows).cast("int"))
 
 
@@ -150,12 +210,13 @@ def schedule(
     source_col: str = "source",
     weights=root_weights,
     block_rows: int = BLOCK_ROWS,
-    resolution: int = RESOLUTION,
+    resolution: int | None = None,
     buckets: int = RANK_BUCKETS,
 ) -> DataFrame:
     """One row per document: ``doc_id, source, weight, phase, block, release, deadline, slot, in_block``.
 
     ``weights``: a dict from source to weight, or a function from the streams' row counts to weights.
+    They are kept exactly unless a ``resolution`` to round them to is given.
     The training order is by ``(slot, in_block)``.
     """
     base = docs.select(
@@ -177,7 +238,7 @@ def interleave(
     source_col: str = "source",
     weights=root_weights,
     block_rows: int = BLOCK_ROWS,
-    resolution: int = RESOLUTION,
+    resolution: int | None = None,
     buckets: int = RANK_BUCKETS,
 ) -> DataFrame:
     """``docs`` with its own columns in training order (range-sorted by slot)."""
