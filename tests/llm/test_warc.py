@@ -136,3 +136,19 @@ def test_lost_response_leaves_a_revisit_without_bytes(spark, tmp_out):
 def test_empty_table(spark, tmp_out):
     path = W.write_warc(spark.createDataFrame([], PAGES), tmp_out + "/warc")
     assert W.captures(W.read_warc(spark, path)).collect() == []
+
+
+def test_header_of_any_length(spark, tmp_out):
+    url = "data:text/html," + "q=1&" * 50_000
+    pages = [(1, url, "same", "d", "r", 1), (2, "u", "same", "d", "r", 1), (3, url + "3", "other", "d", "r", 1)]
+    got = W.read_warc(spark, W.write_warc(spark.createDataFrame(pages, PAGES), tmp_out + "/warc"))
+    assert got.where("gap_reason is not null").count() == 0
+    assert {r.page_id: r.uri for r in got.collect()} == {1: url, 2: "u", 3: url + "3"}
+    assert sorted(map(tuple, W.captures(got).collect()), key=str) == brute([(1, "same"), (2, "same"), (3, "other")])
+
+
+def test_unended_headers_are_passed_over():
+    far = b"X: " + b"y" * 200_000
+    assert read(record(0) + b"WARC/1.1\r\n" + far + record(1) + record(2))[0] == [0, 1, 2]
+    assert read(record(0) + b"WARC/1.1\r\n" + far + b"\r\n" + record(1))[0] == [0, 1]
+    assert read(b"WARC/1.1\r\nA: b\n\r\n" + record(1) + b"WARC/1." * 2000 + b"WARC/1.1\r\n" + far)[0] == [1]

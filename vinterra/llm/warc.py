@@ -32,7 +32,8 @@ from vinterra.llm.common import scratch_path, written
 MAX_RECORDS = 2000
 VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
-MAX_HEADER = 1 << 16
+#: Most bytes of a version line; header lines have no bound.
+MAX_VERSION_LINE = 64
 #: Header fields that every record has, and has once.
 ONCE = {"warc-type", "warc-record-id", "content-length"}
 #: Date of capture in the records of tables that have none.
@@ -105,13 +106,19 @@ def parse_record(data: bytes, at: int = 0):
     """``(headers, block start, block end, record end)``, or the reason why no record holds at ``at``."""
     if not data.startswith(VERSION, at):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    stop = data.find(b"\r\n", at, at + MAX_VERSION_LINE)
     if stop < 0:
-        return "no end of header"
+        return "no end of version line"
     headers = {}
-    for row in data[at:stop].split(b"\r\n")[1:]:
+    # line by line, so that the search ends with the first line that is none of a header
+    while not data.startswith(b"\r\n\r\n", stop):
+        begin = stop + 2
+        stop = data.find(b"\n", begin) - 1
+        if stop < begin:
+            return "no end of header"
+        row = data[begin:stop]
         key, colon, value = row.partition(b":")
-        if not colon or b"\r" in row or b"\n" in row:
+        if not colon or b"\r" in row or data[stop] != 13:
             return "bad header line"
         name = key.strip().lower().decode("latin-1")
         if name in ONCE and name in headers:
