@@ -152,3 +152,33 @@ def test_unended_headers_are_passed_over():
     assert read(record(0) + b"WARC/1.1\r\n" + far + record(1) + record(2))[0] == [0, 1, 2]
     assert read(record(0) + b"WARC/1.1\r\n" + far + b"\r\n" + record(1))[0] == [0, 1]
     assert read(b"WARC/1.1\r\nA: b\n\r\n" + record(1) + b"WARC/1." * 2000 + b"WARC/1.1\r\n" + far)[0] == [1]
+
+
+def test_one_spoilt_record_in_a_member_of_many():
+    parts = [record(i, random.Random(i).randbytes(400)) for i in range(6)]
+    spoilt = parts[2][:-20] + b"#" + parts[2][-19:]  # wrong digest
+    ahead, member = gzip.compress(record(8)), gzip.compress(b"".join([*parts[:2], spoilt, *parts[3:]]))
+    ids, gaps = read(ahead + member + record(9))
+    assert ids == [8, 0, 1, 3, 4, 5, 9]
+    assert gaps == [(len(ahead) + len(parts[0]) + len(parts[1]), len(spoilt))]
+
+
+def test_records_before_the_damage_of_a_member_return():
+    parts = [record(i, random.Random(i).randbytes(40_000)) for i in range(6)]
+    whole, later = gzip.compress(b"".join(parts)), gzip.compress(record(9))
+    cut = whole[: len(whole) * 2 // 3]
+    ids, gaps = read(cut + later)
+    assert ids == [0, 1, 2, 9] or ids == [0, 1, 2, 3, 9]
+    assert gaps == [(0, len(cut))]
+    assert read(cut)[0] == ids[:-1]
+    crc = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert read(crc + later) == ([0, 1, 2, 3, 4, 9], [(0, len(crc))])
+    stored = gzip.compress(record(0) + record(1), 0)  # its bytes stand in the file as they are
+    assert read(stored[:-8] + bytes([stored[-8] ^ 1]) + stored[-7:] + later)[0] == [0, 1, 9]
+
+
+def test_a_bad_member_does_not_vouch_for_records_without_digest():
+    bare = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    whole = gzip.compress(bare + record(2) + record(3))
+    assert read(whole)[0] == [1, 2, 3]
+    assert read(whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:])[0] == [2]

@@ -7,7 +7,9 @@ writer stores the records one after another (each ends with CRLF CRLF) in the sh
 Reading: each file is walked record by record.  A record is accepted if its version line, header,
 length, end and block digest hold; a gzip member if it inflates with the right checksum.  After a
 failed check the reader looks for the next member (``1f 8b 08``) or version line from which a
-record holds again, goes on from there, and reports the bytes between as a quarantined gap.
+record holds again, goes on from there, and reports the bytes between as a quarantined gap.  The
+content of a member is walked in the same way.  Of a member that does not hold, the records before the
+damage are accepted, but not one that ends right at it.
 
 A file is read as a whole, so ``MAX_RECORDS`` bounds what the writer puts into one.
 
@@ -34,6 +36,8 @@ VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
 #: Most bytes of a version line; header lines have no bound.
 MAX_VERSION_LINE = 64
+#: Bytes inflated at a time.
+PIECE = 1 << 16
 #: Header fields that every record has, and has once.
 ONCE = {"warc-type", "warc-record-id", "content-length"}
 #: Date of capture in the records of tables that have none.
@@ -142,45 +146,91 @@ def parse_record(data: bytes, at: int = 0):
 
 
 def inflate(data: bytes, at: int):
-    """``(content, end)`` of the gzip member at ``at``, or the reason why it does not hold."""
+    """``(content, end, damage)`` of the gzip member at ``at``.
+
+    ``damage`` is None if the member holds; otherwise ``content`` is what inflated before the damage,
+    and ``end`` where the inflater stopped.
+    """
     stream = zlib.decompressobj(31)
     out, pos = [], at
-    try:
-        while not stream.eof:
-            piece = data[pos : pos + (1 << 20)]
-            if not piece:
-                return "cut off member"
+    while not stream.eof:
+        piece = data[pos : pos + PIECE]
+        if not piece:
+            return b"".join(out), pos, "cut off member"
+        before = stream.copy()
+        try:
             out.append(stream.decompress(piece))
-            pos += len(piece)
-    except zlib.error:
-        return "bad member"
-    return b"".join(out), pos - len(stream.unused_data)
+        except zlib.error:
+            try:  # once more, byte by byte: what inflates before the damage is kept
+                for k in range(len(piece)):
+                    out.append(before.decompress(piece[k : k + 1]))
+                    pos += 1
+            except zlib.error:
+                pass
+            return b"".join(out), pos, "bad member"
+        pos += len(piece)
+    return b"".join(out), pos - len(stream.unused_data), None
+
+
+def member_records(content: bytes, sure: bool):
+    """Yield ``(start, end, headers, block, None)`` and, for gaps, ``(start, end, None, None, reason)`` of inflated content.
+
+    Unless ``sure``, the checksum of the member does not vouch for the content: records without a
+    block digest of their own are gaps.
+    """
+    at, bad, reason = 0, None, ""
+    while at < len(content):
+        rec = parse_record(content, at)
+        if not isinstance(rec, str) and not sure and not rec[0].get("warc-block-digest", "").startswith("sha1:"):
+            rec = "no digest in a bad member"
+        if isinstance(rec, str):
+            if bad is None:
+                bad, reason = at, rec
+            place = content.find(VERSION, at + 1)
+            at = len(content) if place < 0 else place
+            continue
+        if bad is not None:
+            yield bad, at, None, None, reason
+            bad = None
+        yield at, rec[3], rec[0], content[rec[1] : rec[2]], None
+        at = rec[3]
+    if bad is not None:
+        yield bad, len(content), None, None, reason
 
 
 def salvage(data: bytes):
-    """Yield ``(offset, length, headers, block, None)`` and, for gaps, ``(offset, length, None, None, reason)``."""
+    """Yield ``(offset, length, headers, block, None)`` and, for gaps, ``(offset, length, None, None, reason)``.
+
+    Records of a gzip member have its offset and length.  A gap inside the content of a member that
+    holds has the member's offset plus its own in the content, and its length there; a damaged member
+    is a gap of the file, after the records that inflated before the damage.
+    """
     at, bad, reason = 0, None, ""
     ahead = {VERSION: -1, MEMBER: -1}  # the next place of each mark, found once
+    inflated, until = b"", 0  # content of the last damaged member, and where it stopped
     while at < len(data):
-        found, why = [], "no record"
+        found, why, end, sound = [], "no record", at, True
         if data.startswith(MEMBER, at):
-            got = inflate(data, at)
-            if isinstance(got, str):
-                why = got
-            else:
-                content, end = got
-                inner = 0
-                while inner < len(content):
-                    rec = parse_record(content, inner)
-                    if isinstance(rec, str):
-                        found, why = [], rec
-                        break
-                    found.append((at, end - at, rec[0], content[rec[1] : rec[2]], None))
-                    inner = rec[3]
+            content, end, damage = inflate(data, at)
+            sound = damage is None
+            inner = list(member_records(content, damage != "bad member"))
+            if not sound:  # nothing shows that a record at the very end of the content is whole
+                inner = [x for x in inner if x[1] < len(content)]
+            if any(h is not None for _, _, h, _, _ in inner):
+                for start, stop, h, block, gap in inner:
+                    if h is not None:
+                        found.append((at, end - at, h, block, None))
+                    elif sound:
+                        found.append((at + start, stop - start, None, None, gap))
+            why = damage or (inner[0][4] if inner else why)
+            if found and not sound:
+                inflated, until = content[: max(x[1] for x in inner if x[2] is not None)], end
         else:
             rec = parse_record(data, at)
             if isinstance(rec, str):
                 why = rec
+            elif at < until and data[at : rec[3]] in inflated:
+                why = "read from its member"  # stored uncompressed in a damaged member
             else:
                 end = rec[3]
                 found = [(at, end - at, rec[0], data[rec[1] : rec[2]], None)]
@@ -189,8 +239,9 @@ def salvage(data: bytes):
                 yield bad, at - bad, None, None, reason
                 bad = None
             yield from found
-            at = end
-            continue
+            if sound:
+                at = end
+                continue
         if bad is None:
             bad, reason = at, why
         for mark in ahead:
