@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from conftest import SF001
+from data_dirs import SF001
 from vinterra.operators.fuzzy import exceeds, fuzzy_matches, fuzzy_semi_join, partial_ratio
 from vinterra.plans.q_spatial import polygons, wine_names
 from vinterra.operators.polygons import with_clean_name

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from data_dirs import SF01
 from vinterra.operators.evaluate import evaluate_metrics
 from vinterra.operators.ml import (
     build_search,

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from data_dirs import SF001
 from vinterra.operators.nearest import attach_nearest, expand_years
 from vinterra.plans import standins
 

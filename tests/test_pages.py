@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from data_dirs import SF001
 from vinterra.operators.pages import (
     TEXT_PATTERNS,
     TEXT_STOP_WORDS,
