@@ -15,6 +15,7 @@ from vinterra.llm import (
     jaccard_join,
     license_scan,
     line_spread,
+    merkle,
     mixing,
     quality_rules,
     resharding,
@@ -75,6 +76,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, audited against a table in which some ``n_chars`` have grown by one."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    grown = F.col("n_chars").cast("decimal(20,0)") + 1
+    return merkle.audit(merkle.manifest(table(spark, sf_dir, "documents"), found={"n_chars": grown}, where_found=tampered))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bayes_jaccard_join": op1_bayes_jaccard_join,
     "op2_adaptive_quality": op2_adaptive_quality,
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_site_spread": op8_line_site_spread,
     "op9_rolling_window_dedup": op9_rolling_window_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -97,6 +106,7 @@ ORACLES: dict[str, str] = {
     "op8_line_site_spread": line_spread.ORACLE,
     "op9_rolling_window_dedup": window_dedup.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
 
 
