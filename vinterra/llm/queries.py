@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vinterra.llm import (
     decontaminate,
+    filter_audit,
     jaccard_join,
     license_scan,
     line_spread,
@@ -76,6 +77,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, audited against a table in which some ``n_chars`` have grown by one."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_site_spread": op8_line_site_spread,
     "op9_rolling_window_dedup": op9_rolling_window_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_filter_interactions": op11_filter_interactions,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -106,6 +112,7 @@ ORACLES: dict[str, str] = {
     "op8_line_site_spread": line_spread.ORACLE,
     "op9_rolling_window_dedup": window_dedup.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
+    "op11_filter_interactions": filter_audit.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
 
