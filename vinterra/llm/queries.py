@@ -20,6 +20,7 @@ from vinterra.llm import (
     mixing,
     quality_rules,
     resharding,
+    super_minhash,
     token_lengths,
     warc,
     window_dedup,
@@ -81,6 +82,10 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, audited against a table in which some ``n_chars`` have grown by one."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rolling_window_dedup": op9_rolling_window_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_filter_interactions": op11_filter_interactions,
+    "op12_super_minhash": op12_super_minhash,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -113,6 +119,7 @@ ORACLES: dict[str, str] = {
     "op9_rolling_window_dedup": window_dedup.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
     "op11_filter_interactions": filter_audit.ORACLE,
+    "op12_super_minhash": super_minhash.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
 
