@@ -114,19 +114,3 @@ def test_rows_without_a_label_stay(spark):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "id int, label int")
     assert {r.id: r.weight for r in with_balanced_weight(df).collect()} == {1: 0.75, 2: 0.75, 3: 1.5, 4: None}
     assert sorted(r.id for r in replicate_to_balance(df).collect()) == [1, 2, 3, 3, 4]
-
-
-def test_mlp_search_tries_the_networks_of_the_whole_study(spark, monkeypatch):
-    from vinterra.plans import q_ml
-
-    seen = []
-
-    def fits(stages, est, df, fold_col, param_maps_):
-        seen.extend(param_maps_)
-        return None, [(t, f, 0.5) for t in range(len(param_maps_)) for f in range(5)]
-
-    monkeypatch.setattr(q_ml, "cross_val_accuracy", fits)
-    got = q_ml.ml_mlp_search(spark, SF01).collect()
-    assert len(seen) == 40 and seen[0] == {}
-    assert len({str(sorted((k.name, v) for k, v in m.items())) for m in seen}) == 40
-    assert len({r.trial for r in got}) == 40 and len(got) == 200

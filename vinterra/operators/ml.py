@@ -269,7 +269,7 @@ def make_mlp(n_features: int, label: str = "label", features: str = "features",
                                           labelCol=label, featuresCol=features)
 
 
-# M16 / M17 ------------------------------------------------------------------------------------
+# M16 ------------------------------------------------------------------------------------------
 def cross_val_accuracy(pipeline_stages: list, estimator, df: DataFrame, fold_col: str = "fold", label: str = "label",
                        param_maps_: list | None = None, parallelism: int = 4):
     """Validation accuracy over the folds of ``fold_col``: ``(best model, rows (trial, fold, accuracy))``.
@@ -298,19 +298,6 @@ def cross_val_accuracy(pipeline_stages: list, estimator, df: DataFrame, fold_col
     return pipe.fit(cut_lineage(replicate_to_balance(df, label)), maps[best]), rows
 
 
-def random_mlp_maps(est: MultilayerPerceptronClassifier, n_features: int, n_trials: int, seed: int = RANDOM_STATE) -> list:
-    """Seeded random hyper-parameter draws for the MLP: layers, tolerance and block size (the
-    solver in use, l-bfgs, has no step size)."""
-    rng = random.Random(seed)
-    widths = [32, 64, 128, 256]
-    out = []
-    for _ in range(n_trials):
-        depth = rng.choice([1, 2, 3])
-        layers = [n_features] + [rng.choice(widths) for _ in range(depth)] + [2]
-        out.append({est.layers: layers, est.tol: 10 ** rng.uniform(-7, -4), est.blockSize: rng.choice([64, 128, 256])})
-    return out
-
-
 # W7 -------------------------------------------------------------------------------------------
 def feature_names(df: DataFrame, features: str = "features") -> list[str]:
     """Slot names from the assembler's ML attribute metadata."""
