@@ -11,6 +11,9 @@ from vinterra.operators.evaluate import evaluate_metrics
 from vinterra.operators.ml import (
     build_search,
     cross_val_accuracy,
+    ensemble_search,
+    first_trees,
+    fold_features,
     grid_size,
     make_estimator,
     make_preprocessor,
@@ -114,3 +117,64 @@ def test_rows_without_a_label_stay(spark):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "id int, label int")
     assert {r.id: r.weight for r in with_balanced_weight(df).collect()} == {1: 0.75, 2: 0.75, 3: 1.5, 4: None}
     assert sorted(r.id for r in replicate_to_balance(df).collect()) == [1, 2, 3, 3, 4]
+
+
+@pytest.fixture(scope="module")
+def views(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        x, y = rng.uniform(-1, 1), rng.uniform(-1, 1)
+        rows.append((x, None if i % 37 == 0 else y, "ab"[i % 2], int(x * y + rng.gauss(0, 0.15) > 0), i % 3))
+    df = with_balanced_weight(spark.createDataFrame(rows, "x double, y double, c string, label int, fold int")).coalesce(1).cache()
+    return fold_features(df, make_preprocessor("rf", ["x", "y"], ["c"])).cache()
+
+
+def test_every_fold_has_its_own_statistics(views):
+    held = views.collect()
+    assert len(held) == 900 and {(r.fold, r.part) for r in held} == {(f, p) for f in range(3) for p in ("train", "valid")}
+    for f in range(3):
+        train = [r.y for r in held if r.fold == f and r.part == "train" and r.y is not None]
+        filled = {r.features[1] for r in held if r.fold == f and r.y is None}
+        assert len(filled) == 1 and filled.pop() == pytest.approx(sum(train) / len(train))
+
+
+def test_first_trees_of_boosting_are_a_smaller_fit(views):
+    train, valid = views.where("fold = 0 and part = 'train'"), views.where("fold = 0 and part = 'valid'")
+    est = make_estimator("xgb").setMaxIter(6)
+    part = first_trees(est.fit(train), 4).transform(valid).select("rawPrediction").collect()
+    assert part == make_estimator("xgb").setMaxIter(4).fit(train).transform(valid).select("rawPrediction").collect()
+
+
+def test_first_trees_of_a_forest_are_their_votes(views):
+    train, valid = views.where("fold = 0 and part = 'train'"), views.where("fold = 0 and part = 'valid'")
+    model = make_estimator("rf").setNumTrees(7).setMaxDepth(4).fit(train)
+    small = first_trees(model, 3)
+    assert len(small.trees) == 3
+    for r in small.transform(valid).limit(20).collect():
+        votes = [t.predictProbability(r.features)[1] for t in model.trees[:3]]
+        assert r.probability[1] == pytest.approx(sum(votes) / 3)
+
+
+@pytest.mark.parametrize("key", ["rf", "xgb", "hgb"])
+def test_search_shares_fits_and_keeps_its_candidates(views, key, monkeypatch):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    import vinterra.operators.ml as ml
+
+    candidates = [{"n_estimators": n, "max_depth": d} for n in (2, 5) for d in (2, 3)]
+    fits, kind = [], type(make_estimator(key))
+    fit = kind._fit
+    monkeypatch.setattr(kind, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    got = {(c, f): auc for c, f, auc in ensemble_search(key, views, candidates, parallelism=4)}
+    assert len(got) == 12 and len(fits) == 6  # two depths in three folds
+    monkeypatch.undo()
+    if key != "rf":  # separate fits give the same
+        est = make_estimator(key).setMaxIter(2).setMaxDepth(3)
+        model = est.fit(views.where("fold = 1 and part = 'train'"))
+        auc = BinaryClassificationEvaluator(labelCol="label", numBins=0).evaluate(model.transform(views.where("fold = 1 and part = 'valid'")))
+        assert got[1, 1] == pytest.approx(auc)
+    assert all(0.4 < auc <= 1 for auc in got.values())
+    assert len(ml.grid_candidates("rf")) == 24 and len(ml.grid_candidates("xgb", 200)) == 200 and len(ml.grid_candidates("hgb", 200)) == 4

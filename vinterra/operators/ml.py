@@ -10,15 +10,17 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Sequence
-from functools import partial
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target, keyword_only
+from pyspark import SparkContext, inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from vinterra.functions._cols import null_safe_join
 from vinterra.operators.prep import class_weights
-from vinterra.session import cut_lineage
+from vinterra.session import as_table, cut_lineage
 
 # --- fixed values: production column contract and model settings ----------------------
 NUM_FEATURES = [
@@ -190,9 +192,9 @@ def with_balanced_weight(df: DataFrame, label: str = "label", weight: str = "wei
 
 
 # M13 ------------------------------------------------------------------------------------------
-def _spark_params(model_key: str, est, weight_sum: float | None = None) -> dict:
+def _spark_params(model_key: str, est, weight_sum: float | None = None, grid: dict | None = None) -> dict:
     """Search grid -> {Spark Param: values}, unsupported parameters dropped."""
-    grid = PARAM_GRIDS.get(model_key, PARAM_GRIDS["hgb"])
+    grid = grid or PARAM_GRIDS.get(model_key, PARAM_GRIDS["hgb"])
     out: dict = {}
     for name, values in grid.items():
         if name == "C":
@@ -250,6 +252,85 @@ def build_search(model_key: str, grid_search: bool = True, search_type: str = "g
     return cv
 
 
+def fold_features(df: DataFrame, stages: list, fold_col: str = "fold", features: str = "features", parallelism: int = CV_FOLDS) -> DataFrame:
+    """Every fold's view of ``df``: all rows with ``part`` (``valid`` in the fold, else ``train``) and the
+    ``features`` of preprocessing ``stages`` fitted on the fold's training rows, once for all models."""
+    folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]  # a handful
+    if not folds:
+        raise ValueError("cross-validation needs at least one row")
+
+    def prepared(fold):
+        out = Pipeline(stages=stages).fit(df.where(F.col(fold_col) != fold)).transform(df)
+        part = F.when(F.col(fold_col) == fold, "valid").otherwise("train").alias("part")
+        kept = [F.col(c) for c in df.columns if c not in ("fold", "part", features)]
+        return out.select(F.lit(int(fold)).alias("fold"), part, *kept, features)
+
+    with ThreadPool(parallelism) as pool:
+        views = pool.map(inheritable_thread_target(df.sparkSession)(prepared), folds)
+    return reduce(DataFrame.unionByName, views)
+
+
+def first_trees(model, k: int):
+    """The ensemble of a forest's or boosted model's first ``k`` trees.
+
+    Boosting adds trees one after the other, so this is the model that a fit of ``k`` trees gives; the
+    trees of a forest are drawn alike, so it is a forest of ``k`` trees (not the same trees as a separate
+    fit, which draws its samples in another order)."""
+    boosted = isinstance(model, GBTClassificationModel)
+    context, java = SparkContext._active_spark_context, model._java_obj
+    jvm = context._jvm.org.apache.spark.ml
+    kind = jvm.regression.DecisionTreeRegressionModel if boosted else jvm.classification.DecisionTreeClassificationModel
+    trees, all_trees = context._gateway.new_array(kind, k), java.trees()
+    for i in range(k):
+        trees[i] = all_trees[i]
+    if boosted:
+        weights = context._gateway.new_array(context._jvm.double, k)
+        for i, w in enumerate(model.treeWeights[:k]):
+            weights[i] = w
+        out = GBTClassificationModel(jvm.classification.GBTClassificationModel(java.uid(), trees, weights, model.numFeatures, model.numClasses))
+    else:
+        out = RandomForestClassificationModel(jvm.classification.RandomForestClassificationModel(java.uid(), trees, model.numFeatures, model.numClasses))
+    return out.setFeaturesCol(model.getFeaturesCol())
+
+
+def ensemble_search(model_key: str, views: DataFrame, candidates: list[dict], label: str = "label", parallelism: int = 8) -> list[tuple]:
+    """Rows ``(candidate, fold, auc)`` of tree ensembles over the ``fold_features`` of all folds.
+
+    Candidates (dicts by names of the search grid) that differ in the number of trees only share one fit
+    with the most trees, whose first trees are scored for the others.  A fold without both classes
+    among its validation rows has no AUC (NULL)."""
+    views = as_table(views, "fold-features")
+    folds = [r[0] for r in views.select("fold").distinct().orderBy("fold").collect()]
+    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+    est = make_estimator(model_key, label=label)
+    trees = est.numTrees if model_key == "rf" else est.maxIter
+    groups: dict[tuple, list[int]] = {}
+    for i, c in enumerate(candidates):
+        groups.setdefault(tuple(sorted((n, v) for n, v in c.items() if n != "n_estimators" and v is not None)), []).append(i)
+
+    def scored(job):
+        fold, members = job
+        params = {n: [v] for n, v in candidates[members[0]].items()}
+        size = {i: candidates[i].get("n_estimators", est.getOrDefault(trees)) for i in members}
+        chosen = {p: v[0] for p, v in _spark_params(model_key, est, grid=params).items()}
+        model = est.fit(views.where((F.col("fold") == fold) & (F.col("part") == "train")), {**chosen, trees: max(size.values())})
+        valid = views.where((F.col("fold") == fold) & (F.col("part") == "valid"))
+        both = valid.agg(F.count_distinct(label)).first()[0] > 1
+        return [(i, fold, evaluator.evaluate(first_trees(model, min(k, len(model.treeWeights))).transform(valid)) if both else None) for i, k in size.items()]
+
+    jobs = [(fold, members) for members in groups.values() for fold in folds]
+    with ThreadPool(parallelism) as pool:
+        rows = pool.map(inheritable_thread_target(views.sparkSession)(scored), jobs)
+    return sorted(r for found in rows for r in found)
+
+
+def grid_candidates(model_key: str, n_iter: int | None = None, seed: int = RANDOM_STATE) -> list[dict]:
+    """The search grid's combinations as dicts, or ``n_iter`` of them drawn without replacement."""
+    grid = PARAM_GRIDS.get(model_key, PARAM_GRIDS["hgb"])
+    out = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    return out if n_iter is None or n_iter >= len(out) else random.Random(seed).sample(out, n_iter)
+
+
 # M15 ------------------------------------------------------------------------------------------
 def replicate_to_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """The MLP has no ``weightCol``: rows of class c are repeated
