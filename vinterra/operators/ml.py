@@ -299,7 +299,7 @@ def ensemble_search(model_key: str, views: DataFrame, candidates: list[dict], la
     Candidates (dicts by names of the search grid) that differ in the number of trees only share one fit
     with the most trees, whose first trees are scored for the others.  A fold without both classes
     among its validation rows has no AUC (NULL)."""
-    views = as_table(views, "fold-features")
+    views = as_table(views, "fold-features", "fold", "part")
     folds = [r[0] for r in views.select("fold").distinct().orderBy("fold").collect()]
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
     est = make_estimator(model_key, label=label)

@@ -31,6 +31,7 @@ from vinterra.operators.prep import (
 )
 from vinterra.plans.q_weather import MAX_KM, _MERGE_SQL_CTES, merged_table
 from vinterra.plans.registry import query, rounded
+from vinterra.session import as_table
 
 LABEL_PRICE = 150000.0
 K_FOLDS = 5
@@ -52,6 +53,12 @@ def model_table(spark, d):
     )
 
 
+def stored_model(spark, d):
+    """``model_table`` written once, for jobs that read it more than once (a mapping and the rows, or a
+    range partitioning, which samples its input first)."""
+    return as_table(model_table(spark, d), "model")
+
+
 _MODEL_SQL = _MERGE_SQL_CTES.replace("__R__", str(MAX_KM)) + f""",
 model AS (
   SELECT wine_id, region, station, CASE WHEN wine_id % 29 = 0 THEN NULL ELSE cepages END AS cepages,
@@ -82,7 +89,7 @@ def _split_table(spark, d):
 # M2 ---------------------------------------------------------------------------------------
 @query("split_assign", f"WITH {_SPLIT_SQL} SELECT wine_id, split FROM splits WHERE split <> 'test'")
 def split_assign(spark, d):
-    m = model_table(spark, d).where(F.col("set") == "train")
+    m = stored_model(spark, d).where(F.col("set") == "train")
     return assign_split(m, "wine_id", DEFAULT_VALID_FRAC, DEFAULT_SEED).select("wine_id", "split")
 
 
@@ -131,7 +138,7 @@ def _sorted_map_sql(c: str) -> str:
         FROM model m {' '.join(f"LEFT JOIN mp m{i} ON m{i}.col = '{c}' AND m{i}.v = coalesce(CAST(m.{c} AS VARCHAR), '__MISSING__')" for i, c in enumerate(CAT_FEATURES))}""",
 )
 def encode_sorted(spark, d):
-    m = model_table(spark, d)
+    m = stored_model(spark, d)
     mapping = sorted_mapping(m.where(F.col("set") == "train"), CAT_FEATURES)
     return encode_with_mapping(m, mapping, CAT_FEATURES).select("wine_id", *CAT_FEATURES)
 
@@ -154,7 +161,7 @@ def _first_seen_sql(c: str) -> str:
         FROM model m {' '.join(f"JOIN mp m{i} ON m{i}.col = '{c}' AND m{i}.v = coalesce(CAST(m.{c} AS VARCHAR), 'None')" for i, c in enumerate(_FS_COLS))}""",
 )
 def encode_first_seen(spark, d):
-    m = model_table(spark, d)
+    m = stored_model(spark, d)
     first = first_seen_mapping(m.where(F.col("set") == "train"), _FS_COLS, ["wine_id"])
     extended = first_seen_mapping(m.where(F.col("set") == "test"), _FS_COLS, ["wine_id"], existing=first)
     keyed = m.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in _FS_COLS})
@@ -223,7 +230,7 @@ def category_widths_q(spark, d):
         WHERE m."set" = 'test'""",
 )
 def onehot_ordinal(spark, d):
-    m = model_table(spark, d)
+    m = stored_model(spark, d)
     train, test = m.where(F.col("set") == "train"), m.where(F.col("set") == "test")
     return ordinal_encode(train, test, CAT_FEATURES).select("wine_id", *[f"{c}_ord" for c in CAT_FEATURES])
 
@@ -235,7 +242,7 @@ def onehot_ordinal(spark, d):
         "AS column", 'AS "column"').replace("WHERE set", 'WHERE "set"'),
 )
 def onehot_cells(spark, d):
-    m = model_table(spark, d)
+    m = stored_model(spark, d)
     return one_hot_cells(m.where(F.col("set") == "train"), m.where(F.col("set") == "test"), CAT_FEATURES, "wine_id")
 
 
@@ -254,7 +261,7 @@ _Z_COLS = ["price", "GDD", "hot_days", "TM_summer"]
         FROM imp, sd WHERE "set" = 'test'""",
 )
 def standardize_q(spark, d):
-    m = model_table(spark, d).select("wine_id", "set", *_Z_COLS)
+    m = stored_model(spark, d).select("wine_id", "set", *_Z_COLS)
     imp = impute_mean(m.withColumn("split", F.col("set")), _Z_COLS, "split", fit_on="train")
     train = imp.where(F.col("set") == "train")
     out = standardize(train, imp.where(F.col("set") == "test"), _Z_COLS)
@@ -269,5 +276,5 @@ def standardize_q(spark, d):
         FROM model WHERE "set" = 'train'""",
 )
 def kfold(spark, d):
-    m = model_table(spark, d).where(F.col("set") == "train").select("wine_id", "label")
+    m = stored_model(spark, d).where(F.col("set") == "train").select("wine_id", "label")
     return stratified_folds(m, "label", "wine_id", K_FOLDS, DEFAULT_SEED).select("wine_id", "label", "fold")

@@ -10,10 +10,12 @@ vowels shifted, spaces removed).
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vinterra.functions.geo import lambert93_inverse_sql, lambert93_sql, to_lambert93, from_lambert93
 from vinterra.operators.fuzzy import DEFAULT_THRESHOLD, fuzzy_matches, fuzzy_semi_join
+from vinterra.operators.overlay import dissolve_measures, dissolve_rings
 from vinterra.operators.polygons import (
     dissolve,
     filter_and_select,
@@ -183,6 +185,57 @@ def polygon_filter_dissolve(spark, d):
     return rounded(attrs.select("app", "type_prod", "categorie", "n_parts", "lat", "lon"))
 
 
+# A4, overlaps counted once -----------------------------------------------------------------------
+_PLAN = 120  # side of the square in which every customer has a box, every fifth with a hole
+
+
+def overlapping_boxes(spark, d):
+    """One axis-parallel box with whole-number corners per customer; the boxes of a nation overlap."""
+    k = F.col("c_custkey")
+    at = lambda prime: F.pmod(k * prime, F.lit(_PLAN)).cast("double")
+    c = table(spark, d, "customer").select(
+        k.alias("poly_id"), F.col("c_nationkey").alias("nation"), at(7919).alias("x"), at(104729).alias("y"),
+        (F.pmod(k, F.lit(17)) + 4).cast("double").alias("w"), (F.pmod(k, F.lit(13)) + 4).cast("double").alias("h"),
+    )
+
+    def ring(inset):
+        x0, y0 = F.col("x") + inset, F.col("y") + inset
+        x1, y1 = F.col("x") + F.col("w") - inset, F.col("y") + F.col("h") - inset
+        return F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+
+    holed = F.pmod(F.col("poly_id"), F.lit(5)) == 0
+    return c.select("poly_id", "nation", F.when(holed, F.array(ring(0.0), ring(1.0))).otherwise(F.array(ring(0.0))).alias("rings"))
+
+
+@query(
+    "polygon_union",
+    f"""WITH b AS (
+          SELECT c_custkey AS k, c_nationkey AS nation, c_custkey * 7919 % {_PLAN} AS x, c_custkey * 104729 % {_PLAN} AS y,
+                 c_custkey % 17 + 4 AS w, c_custkey % 13 + 4 AS h FROM customer),
+        ci AS (SELECT *, unnest(range(x, x + w)) AS i FROM b),
+        ij AS (SELECT *, unnest(range(y, y + h)) AS j FROM ci),
+        u AS (SELECT DISTINCT nation, i, j FROM ij
+              WHERE NOT (k % 5 = 0 AND i > x AND i < x + w - 1 AND j > y AND j < y + h - 1)),
+        s AS (SELECT nation, i + di AS i, j + dj AS j FROM u, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(di, dj)),
+        p AS (SELECT nation, count(*) AS perimeter FROM s ANTI JOIN u USING (nation, i, j) GROUP BY nation)
+        SELECT nation, count(*)::DOUBLE AS area, any_value(perimeter)::DOUBLE AS perimeter,
+               round(avg(i + 0.5), 6) AS cx, round(avg(j + 0.5), 6) AS cy FROM u JOIN p USING (nation) GROUP BY nation""",
+)
+def polygon_union(spark, d):
+    """Area, perimeter and centroid of the union of every nation's boxes (SQL counts unit cells)."""
+    return rounded(dissolve_measures(overlapping_boxes(spark, d), "nation", "poly_id"))
+
+
+@query("polygon_union_rings")
+def polygon_union_rings(spark, d):
+    """Every ring of the unions: its vertices and signed area (holes are negative)."""
+    v = dissolve_rings(overlapping_boxes(spark, d), "nation", "poly_id")
+    turn = Window.partitionBy("nation", "ring").orderBy("pos")
+    nx, ny = (F.coalesce(F.lead(c).over(turn), F.first(c).over(turn)) for c in ("x", "y"))
+    cross = v.withColumn("cross", F.col("x") * ny - nx * F.col("y"))
+    return rounded(cross.groupBy("nation", "ring").agg(F.count(F.lit(1)).alias("n_vertices"), (F.sum("cross") / 2).alias("area")).drop("ring"))
+
+
 # A2 -------------------------------------------------------------------------------------------
 @query(
     "polygon_mean",

@@ -56,11 +56,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def as_table(df: DataFrame, name: str) -> DataFrame:
+def as_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet below the checkpoint folder and read again: the planner then knows
-    its size and picks a broadcast or a shuffle join by ``spark.sql.autoBroadcastJoinThreshold``."""
+    its size and picks a broadcast or a shuffle join by ``spark.sql.autoBroadcastJoinThreshold``.
+    With ``partition_by``, one folder per value, in files of the size that AQE aims at."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
