@@ -109,3 +109,82 @@ def test_read_geojson(spark, tmp_out):
     df = read_geojson(spark, path)
     assert sorted((r.denom, r.part) for r in df.collect()) == [("a", 0), ("b", 0), ("b", 1)]
     assert df.where("denom = 'a'").first().rings[0][1].x == 1.0
+
+
+def _meets(p, q, r, s):
+    """Whether segments pq and rs meet (exact on whole numbers)."""
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    boxes = all(max(a[k], b[k]) >= min(c[k], d[k]) for k in (0, 1) for a, b, c, d in ((p, q, r, s), (r, s, p, q)))
+    return boxes and side(p, q, r) * side(p, q, s) <= 0 and side(r, s, p) * side(r, s, q) <= 0
+
+
+def _clean(rings):
+    edges = [(a, b) for ring in rings for a, b in zip(ring, ring[1:])]
+    for i, (a, b) in enumerate(edges):
+        for c, d in edges[:i]:
+            if not {a, b} & {c, d} and _meets(a, b, c, d):
+                return False
+    return True
+
+
+def _star(rng, n, low, high):
+    """A ring around the origin whose angles rise: it never meets itself."""
+    import math
+
+    turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+    ring = [(round(math.cos(t) * r), round(math.sin(t) * r)) for t in turns for r in [rng.randrange(low, high)]]
+    return [*ring, ring[0]]
+
+
+def test_simplified_rings_do_not_meet_where_they_did_not_before():
+    import random
+
+    import numpy as np
+
+    from vinterra.operators.polygons import simplify_ring_xy, simplify_rings_xy
+
+    rng, tried, plain_bad = random.Random(11), 0, 0
+    for _ in range(120):
+        rings = [_star(rng, rng.randrange(12, 60), 400, 2000), _star(rng, rng.randrange(6, 25), 200, 390)]
+        if not _clean(rings) or any(len(set(r)) < len(r) - 1 for r in rings):
+            continue
+        xs, ys = (np.array([p[k] for r in rings for p in r], float) for k in (0, 1))
+        sizes, tol = [len(r) for r in rings], rng.choice([400, 1500, 1500])
+        shapes = []
+        for keep in (simplify_rings_xy(xs, ys, sizes, tol), np.concatenate([simplify_ring_xy(np.array(r)[:, 0] * 1.0, np.array(r)[:, 1] * 1.0, tol) for r in rings])):
+            kept, at = [], 0
+            for r in rings:
+                kept.append([p for p, k in zip(r, keep[at : at + len(r)]) if k])
+                at += len(r)
+            shapes.append(kept)
+        tried += 1
+        plain_bad += not _clean(shapes[1])
+        assert _clean(shapes[0]) and all(len(r) >= 4 and r[0] == r[-1] for r in shapes[0])
+        if _clean(shapes[1]):
+            assert len(sum(shapes[0], [])) >= len(sum(shapes[1], []))
+    assert tried > 60 and plain_bad > 8
+
+
+def test_a_hole_stays_inside_its_shell():
+    import numpy as np
+
+    from vinterra.operators.polygons import _contains, simplify_rings_xy
+
+    shell = [(0, 0), (100, 0), (100, 100), (60, 100), (50, 130), (40, 100), (0, 100), (0, 0)]
+    hole = [(49, 110), (51, 110), (50, 115), (49, 110)]
+    xs, ys = (np.array([p[k] for p in shell + hole], float) for k in (0, 1))
+    keep = simplify_rings_xy(xs, ys, [len(shell), len(hole)], 40.0)
+    kept = np.flatnonzero(keep[: len(shell)])
+    assert _contains(xs[kept], ys[kept], 49, 110) and keep[4]
+    assert not simplify_rings_xy(xs[: len(shell)], ys[: len(shell)], [len(shell)], 40.0)[4]
+
+
+def test_what_meets_itself_already_stays():
+    import numpy as np
+
+    from vinterra.operators.polygons import simplify_rings_xy
+
+    bow = [(0, 0), (10, 10), (10, 0), (0, 10), (0, 0)]
+    xs, ys = (np.array([p[k] for p in bow], float) for k in (0, 1))
+    assert simplify_rings_xy(xs, ys, [5], 1.0).all()
+    assert simplify_rings_xy(np.zeros(0), np.zeros(0), [], 1.0).size == 0

@@ -265,10 +265,96 @@ def simplify_ring_xy(xs: np.ndarray, ys: np.ndarray, tol: float) -> np.ndarray:
     return keep
 
 
+def _touching_segments(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Mask of the segments ``(x, y)[u] - (x, y)[v]`` that meet another one elsewhere than in a common end.
+
+    A sweep along x: a segment is compared with those that begin before it ends, in bounded pieces."""
+    order = np.argsort(np.minimum(x[u], x[v]), kind="stable")
+    u, v = u[order], v[order]
+    low, high = np.minimum(x[u], x[v]), np.maximum(x[u], x[v])
+    last = np.searchsorted(low, high, "right")
+    bad = np.zeros(len(u), bool)
+    cross = lambda o, p, q: (x[p] - x[o]) * (y[q] - y[o]) - (y[p] - y[o]) * (x[q] - x[o])
+    same = lambda p, q: (x[p] == x[q]) & (y[p] == y[q])
+    start = 0
+    while start < len(u):
+        ends = np.cumsum(last[start:] - np.arange(start, len(u)) - 1)
+        stop = start + max(1, int(np.searchsorted(ends, 1_000_000, "right")))
+        n = last[start:stop] - np.arange(start, stop) - 1
+        i = np.repeat(np.arange(start, stop), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        near = (np.maximum(y[u[i]], y[v[i]]) >= np.minimum(y[u[j]], y[v[j]])) & (np.maximum(y[u[j]], y[v[j]]) >= np.minimum(y[u[i]], y[v[i]]))
+        i, j = i[near], j[near]
+        a, b, c, d = u[i], v[i], u[j], v[j]
+        meets = (cross(a, b, c) * cross(a, b, d) <= 0) & (cross(c, d, a) * cross(c, d, b) <= 0)
+        # segments with a common end meet there; they are in each other's way if they run back over themselves
+        for p, q, r in ((a, b, d), (b, a, d), (a, b, c), (b, a, c)):
+            other = np.where(r == d, c, d)
+            common = same(p, other)
+            back = (cross(p, q, r) == 0) & ((x[q] - x[p]) * (x[r] - x[p]) + (y[q] - y[p]) * (y[r] - y[p]) > 0)
+            meets &= ~common | back
+        bad[i[meets]] = bad[j[meets]] = True
+        start = stop
+    out = np.zeros(len(u), bool)
+    out[order] = bad
+    return out
+
+
+def _contains(x: np.ndarray, y: np.ndarray, px: float, py: float) -> bool:
+    """Whether a closed ring surrounds a point (parity of the edges to its right)."""
+    passes = (y[:-1] <= py) != (y[1:] <= py)
+    x1, y1, x2, y2 = x[:-1][passes], y[:-1][passes], x[1:][passes], y[1:][passes]
+    return bool(np.count_nonzero(x1 + (py - y1) / (y2 - y1) * (x2 - x1) > px) % 2)
+
+
+def simplify_rings_xy(xs: np.ndarray, ys: np.ndarray, sizes: Sequence[int], tol: float) -> np.ndarray:
+    """Keep-mask of a polygon's rings (one after the other): Douglas-Peucker on each, then vertices come
+    back where the result would meet itself, or where a ring would change sides of another one.
+
+    A segment in the way of another gets back the vertex farthest from it; every round adds vertices, so
+    it ends at the latest with the input's own segments, and what meets itself there stays as it was."""
+    bounds = np.cumsum([0, *sizes])
+    rings = [slice(a, b) for a, b in zip(bounds, bounds[1:])]
+    keep = np.concatenate([simplify_ring_xy(xs[r], ys[r], tol) for r in rings]) if rings else np.zeros(0, bool)
+    boxes = [(xs[r].min(), xs[r].max(), ys[r].min(), ys[r].max()) if r.stop > r.start else None for r in rings]
+
+    def restore(u: int, v: int) -> bool:
+        if v <= u + 1:
+            return False
+        px, py, dx, dy = xs[u + 1 : v] - xs[u], ys[u + 1 : v] - ys[u], xs[v] - xs[u], ys[v] - ys[u]
+        length = np.hypot(dx, dy)
+        far = np.abs(dx * py - dy * px) / length if length else np.hypot(px, py)
+        keep[u + 1 + int(np.argmax(far))] = True
+        return True
+
+    while True:
+        held = [r.start + np.flatnonzero(keep[r]) for r in rings]
+        u = np.concatenate([h[:-1] for h in held]) if held else np.zeros(0, int)
+        v = np.concatenate([h[1:] for h in held]) if held else np.zeros(0, int)
+        long = (xs[u] != xs[v]) | (ys[u] != ys[v])
+        u, v = u[long], v[long]
+        again = [restore(a, b) for a, b in zip(*(w[_touching_segments(xs, ys, u, v)].tolist() for w in (u, v)))]
+        if any(again):
+            continue
+        # nothing meets: a ring as a whole may still have changed sides
+        moved = False
+        for k, r in enumerate(rings):
+            for m, s in enumerate(rings):
+                if k == m or boxes[k] is None or boxes[m] is None or not keep[s].size:
+                    continue
+                px, py = xs[r.start], ys[r.start]
+                if not (boxes[m][0] <= px <= boxes[m][1] and boxes[m][2] <= py <= boxes[m][3]) or keep[s].all():
+                    continue
+                if _contains(xs[s], ys[s], px, py) != _contains(xs[held[m]], ys[held[m]], px, py):
+                    moved |= any([restore(a, b) for a, b in zip(held[m][:-1].tolist(), held[m][1:].tolist())])
+        if not moved:
+            return keep
+
+
 def simplify_polygons(df: DataFrame, rings: str = "rings", out: str = "simple",
                       tolerance_m: float = SIMPLIFY_TOLERANCE_M) -> DataFrame:
-    """A5: Douglas-Peucker on every ring in Lambert-93 metres; the kept
-    vertices are returned in WGS84 in ``out``.  The UDF sees each polygon as
+    """A5: topology-preserving Douglas-Peucker in Lambert-93 metres: rings that did not meet
+    themselves or each other do not afterwards; the kept vertices are returned in WGS84 in ``out``.  The UDF sees each polygon as
     flat ``xs``/``ys`` arrays plus ring sizes (Arrow-friendly, vectorised
     batches) and returns a flat keep-mask; rings are rebuilt JVM-side."""
 
@@ -277,12 +363,7 @@ def simplify_polygons(df: DataFrame, rings: str = "rings", out: str = "simple",
         res = []
         for x, y, n in zip(xs, ys, sizes):
             x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-            mask = np.zeros(len(x), dtype=bool)
-            start = 0
-            for size in n:
-                end = start + int(size)
-                mask[start:end] = simplify_ring_xy(x[start:end], y[start:end], tolerance_m)
-                start = end
+            mask = simplify_rings_xy(x, y, n, tolerance_m)
             res.append(mask)
         return pd.Series(res, dtype=object)
 
