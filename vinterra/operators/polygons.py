@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from vinterra.functions.geo import from_lambert93, to_lambert93
 from vinterra.functions.text import normalize_text
+from vinterra.sources.geojson import read_features
 
 # --- fixed values -------------------------------------------------------------------------
 NAME_COLUMNS = ("denom", "denominatio")     # polygon name column, in order of preference
@@ -54,9 +55,9 @@ def read_geojson(spark, path: str, lines: bool = False, props: Sequence[str] | N
     """GeoJSON (Multi)Polygons -> one row per polygon part with ``rings``, the
     wanted properties (as text) and ``properties``, a map of all of them.
 
-    ``lines=False``: FeatureCollections, one document per file; many files give
-    many tasks.  ``lines=True``: one Feature per line, as
-    ``write_geojson_lines`` writes them; files are split between tasks.
+    ``lines=False``: FeatureCollections, whose features are cut out of the text;
+    ``lines=True``: one Feature per line, as ``write_geojson_lines`` writes them.
+    Files of both kinds are split between tasks.
     ``props``: properties that get a column; by default those of a name column
     (``denom``, ``denominatio``).
 
@@ -66,8 +67,7 @@ def read_geojson(spark, path: str, lines: bool = False, props: Sequence[str] | N
     if lines:
         feats = spark.read.schema("properties string, geometry string").json(path)
     else:
-        raw = spark.read.option("multiLine", True).schema("features array<struct<properties:string, geometry:string>>").json(path)
-        feats = raw.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+        feats = read_features(spark, path)
     keys = NAME_COLUMNS if props is None else props
     typ = F.get_json_object("geometry", "$.type")
     coords = F.get_json_object("geometry", "$.coordinates")

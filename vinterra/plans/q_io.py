@@ -75,18 +75,15 @@ def weather_files(spark, d):
 
 
 # S9 -> S6 -------------------------------------------------------------------------------------
-@query(
-    "geojson_round_trip",
-    f"""WITH {_POLYS_SQL}
+_GEOJSON_SQL = f"""WITH {_POLYS_SQL}
         SELECT poly_id, signe, CASE WHEN denom IS NOT NULL THEN {_normalize_sql('CAST(denom AS VARCHAR)')} END AS denom_clean,
                CAST(len(rings) AS INTEGER) AS n_rings, CAST(list_sum([len(r) for r in rings]) AS INTEGER) AS n_points,
                round(list_max([p.x for p in rings[1]]), 6) AS max_x, round(list_min([p.y for p in rings[1]]), 6) AS min_y
-        FROM polys""",
-)
-def geojson_round_trip(spark, d):
-    path = _folder(spark, "geojson")
-    io.write_geojson_lines(polygons(spark, d), path, ["poly_id", "denom", "signe"])
-    back = with_clean_name(read_geojson(spark, path, lines=True, props=["poly_id", "denom", "signe"]))
+        FROM polys"""
+
+
+def _geojson_digest(back):
+    back = with_clean_name(back)
     shell = F.get("rings", 0)
     return rounded(back.select(
         F.col("poly_id").cast("long").alias("poly_id"), "signe", "denom_clean", F.size("rings").alias("n_rings"),
@@ -95,6 +92,24 @@ def geojson_round_trip(spark, d):
     ))
 
 
+@query("geojson_round_trip", _GEOJSON_SQL)
+def geojson_round_trip(spark, d):
+    path = _folder(spark, "geojson")
+    io.write_geojson_lines(polygons(spark, d), path, ["poly_id", "denom", "signe"])
+    return _geojson_digest(read_geojson(spark, path, lines=True, props=["poly_id", "denom", "signe"]))
+
+
+@query("geojson_collections", _GEOJSON_SQL)
+def geojson_collections(spark, d):
+    """Standard FeatureCollections of some hundred polygons each; tasks cut the features out of the text."""
+    path = _folder(spark, "geojson")
+    features = io.geojson_features(polygons(spark, d), ["poly_id", "denom", "signe"], keep=["poly_id"])
+    members = features.groupBy(F.floor(F.col("poly_id") / 500)).agg(F.array_join(F.collect_list("value"), ", ").alias("all"))
+    document = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "all", F.lit("]}"))
+    members.select(document.alias("value")).write.text(path)
+    return _geojson_digest(read_geojson(spark, path, props=["poly_id", "denom", "signe"]))
+
+
 # S10 ------------------------------------------------------------------------------------------
 @query("model_saved")
 def model_saved(spark, d):

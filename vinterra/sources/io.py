@@ -62,15 +62,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 # S9 -------------------------------------------------------------------------------------------
-def geojson_features(parts: DataFrame, props: Sequence[str], rings: str = "rings") -> DataFrame:
-    """One GeoJSON Feature (text) per polygon row, WGS84 coordinates."""
+def geojson_features(parts: DataFrame, props: Sequence[str], rings: str = "rings", keep: Sequence[str] = ()) -> DataFrame:
+    """One GeoJSON Feature (text ``value``) per polygon row, WGS84 coordinates; ``keep``: columns beside it."""
     coords = F.transform(F.col(rings), lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(*[F.col(c) for c in props]).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"),
     )
-    return parts.select(F.to_json(feature).alias("value"))
+    return parts.select(*keep, F.to_json(feature).alias("value"))
 
 
 def write_geojson_lines(parts: DataFrame, path: str, props: Sequence[str], rings: str = "rings") -> None:
