@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vinterra.llm.common import written
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary splits a text before merging (fixed value of that vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -94,6 +96,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     ``truncated_tokens``: total if every document is cut at the limit;
     ``docs_cut``: documents longer than the limit.  All exact.
     """
+    hist = written(hist, "length-histogram")  # read three times below; the corpus is encoded once
     h = hist.withColumns({"run": F.floor(F.col("n_tokens") / RUN), "n": F.col("n_docs"), "t": F.col("n_docs") * F.col("n_tokens")})
     runs = h.groupBy("run").agg(F.sum("n").alias("run_n"), F.sum("t").alias("run_t"))
     later = Window.orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)
