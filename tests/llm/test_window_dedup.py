@@ -97,3 +97,14 @@ def test_intervals_merge():
     assert D.intervals(np.array([9, 1, 2, 12, 30]), 5) == [(1, 7), (9, 17), (30, 35)]
     assert D.intervals(np.array([1, 6, 12]), 5) == [(1, 11), (12, 17)]
     assert D.intervals(np.array([], np.int64), 5) == []
+
+
+def test_many_texts_without_an_id_share_no_list(spark):
+    # half of the rows have no id and texts of their own, all with a passage of a numbered document
+    rnd = random.Random(8)
+    shared = [f"s{i}" for i in range(30)]
+    rows = [(i, " ".join([f"n{i}x{j}" for j in range(20)] + shared)) for i in range(15)]
+    rows += [(None, " ".join([f"o{i}x{j}" for j in range(rnd.randrange(5, 40))] + shared[rnd.randrange(8) :])) for i in range(40)]
+    rows += [rows[-1], rows[-1], (3, rows[20][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(D.remove_repeats(df, window=12, anchor=4)) == brute(rows, 12)

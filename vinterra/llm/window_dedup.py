@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinterra.llm.common import record_batches, written
+from vinterra.llm.super_minhash import SALTS, each_salt, salt_bit
 from vinterra.llm.words_np import Hasher, sliding_min
 
 WINDOW = 50
@@ -81,32 +82,33 @@ def cut(text: bytes | None, spans: list[tuple[int, int]]) -> tuple[int, int, byt
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_ = F.col(id_col).cast("long")
-    return docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("d"), F.col(text_col).cast("binary").alias("text"))
+    return docs.select(F.coalesce(id_, F.lit(NO_ID)).alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text"))
 
 
 def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Distinct ``m, d``: minimisers of each document, and the hash of its whole word sequence."""
+    """``m, d, t``: distinct minimisers of each document (id and text hash), and the hash of its whole word sequence."""
 
     def find(batches):
         hasher = Hasher()
         for batch in batches:
-            ms, ds, held = [], [], 0
-            for d, text in zip(*batch.columns):
+            ms, ds, ts, held = [], [], [], 0
+            for d, t, text in zip(*batch.columns):
                 words = hashed_words(hasher, text.as_py())
                 if len(words) < window:
                     continue
                 m = np.unique(minimisers(hasher, words, window, anchor))
                 ms += [m, np.array([whole_key(hasher, words)], np.int64)]
                 ds.append(np.full(len(m) + 1, d.as_py(), np.int64))
+                ts.append(np.full(len(m) + 1, t.as_py(), np.int64))
                 held += len(m)
                 if held > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ms)), pa.array(np.concatenate(ds))], ["m", "d"])
-                    ms, ds, held = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ms, ds, ts)], ["m", "d", "t"])
+                    ms, ds, ts, held = [], [], [], 0
             if ms:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ms)), pa.array(np.concatenate(ds))], ["m", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ms, ds, ts)], ["m", "d", "t"])
         pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(find, "m long, d long")
+    return docs.mapInArrow(find, "m long, d long, t long")
 
 
 CANDIDATES = "d long, key long, n_words long, n_removed long, kept_sha256 string, kept binary, text binary, h array<long>, at array<int>"
@@ -163,17 +165,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = written(_anchors(narrow, window, anchor), "window-anchors")
     shared = anchors.groupBy("m").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last")
     met = anchors.join(shared, "m")
-    marks = met.groupBy("d").agg(
-        F.collect_list(F.when(F.col("d") == F.col("first"), F.col("m"))).alias("early"),
-        F.collect_list(F.when(F.col("d") > F.col("first"), F.col("m"))).alias("late"),
+    # per text, as a missing or repeated id may stand on any number of rows; repeated rows add nothing to a set
+    marks = met.groupBy("d", "t").agg(
+        F.collect_set(F.when(F.col("d") == F.col("first"), F.col("m"))).alias("early"),
+        F.collect_set(F.when(F.col("d") > F.col("first"), F.col("m"))).alias("late"),
     )
-    marked = narrow.join(marks, "d", "left").select("d", "text", "early", "late")
+    marked = narrow.join(marks, ["d", "t"], "left").select("d", "text", "early", "late")
     found = written(_candidates(marked, window, anchor, with_text), "window-candidates")
-    firsts = found.select("d", F.explode("h").alias("h")).groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last"))
-    firsts = firsts.where("first < last").select("h", "first")
-    later = found.where("text is not null").select("d", "key", F.explode(F.arrays_zip("h", "at")).alias("x"))
-    later = later.select("d", "key", "x.h", "x.at").where("at >= 0")
-    gone = later.join(firsts, "h").where("first < d").groupBy("d", "key").agg(F.collect_set("at").alias("starts"))
+    # a hash is met by key and salt, for the salts it occurs with: a passage of very many documents is spread
+    salt = F.pmod(F.xxhash64("d", "key"), F.lit(SALTS)).cast("int").alias("salt")
+    firsts = found.select("d", salt, F.explode("h").alias("h")).groupBy("h")
+    firsts = firsts.agg(F.min("d").alias("first"), F.max("d").alias("last"), F.bit_or(salt_bit("salt")).alias("salts"))
+    firsts = firsts.where("first < last").select("h", "first", each_salt("salts").alias("salt"))
+    later = found.where("text is not null").select("d", "key", salt, F.explode(F.arrays_zip("h", "at")).alias("x"))
+    later = later.select("d", "key", "salt", "x.h", "x.at").where("at >= 0")
+    gone = later.join(firsts, ["h", "salt"]).where("first < d").groupBy("d", "key").agg(F.collect_set("at").alias("starts"))
     open_ = found.where("text is not null").select("d", "key", "text").join(gone, ["d", "key"], "left").select("d", "text", "starts")
     settled = found.where("text is null").select("d", "n_words", "n_removed", "kept_sha256", "kept")
     schema = pa.schema(
