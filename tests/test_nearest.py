@@ -1,12 +1,14 @@
 """Nearest station per year (fixture + brute force)."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from data_dirs import SF001
-from vinterra.operators.nearest import attach_nearest, expand_years
+from vinterra.operators.nearest import LEAF, attach_nearest, candidate_pairs, expand_years
+from vinterra.functions.geo import km_to_chord
 from vinterra.plans import standins
 
 
@@ -135,3 +137,41 @@ def test_points_are_reduced_before_the_exchange_and_hashed(spark):
     lines = plan.splitlines()
     distinct = [i for i, x in enumerate(lines) if "HashAggregate(keys=[_year" in x and "functions=[]" in x]
     assert len(distinct) >= 2 and any("Exchange hashpartitioning" in x for x in lines[distinct[0] : distinct[1]])
+
+
+def _crowded(n: int, n_points: int):
+    """Half of ``n`` stations within a kilometre, the others over some hundred; points inside, at the edge of and far from the crowd."""
+    rnd = random.Random(7)
+    st = [(f"S{i:06d}", 2020, 45.0 + rnd.gauss(0, 0.003), 1.0 + rnd.gauss(0, 0.003)) for i in range(n // 2)]
+    st += [(f"S{i:06d}", 2020, 45.0 + rnd.uniform(-2, 2), 1.0 + rnd.uniform(-2, 2)) for i in range(n // 2, n)]
+    st += [("T", 2020, *st[0][2:]), ("T", 2021, 45.0, 1.0)]  # a second station at one place, another year
+    pts = [(i, 2020, 45.0 + rnd.gauss(0, s), 1.0 + rnd.gauss(0, s)) for i, s in zip(range(n_points), [0.002, 0.02, 0.2, 1.0] * n_points)]
+    pts += [(n_points, 2021, 45.1, 1.1), (n_points + 1, 2020, *st[0][2:]), (n_points + 2, 2020, 45.0, 9.0)]
+    return st, pts
+
+
+@pytest.mark.parametrize("mode", ["drop", "null"])
+def test_crowded_cell_matches_brute_force(spark, mode):
+    st, pts = _crowded(4000, 120)
+    wx = spark.createDataFrame(st, "station string, year int, latitude double, longitude double").withColumn("m", F.col("latitude"))
+    left = spark.createDataFrame(pts, "id int, year int, latitude double, longitude double")
+    got = {r.id: r for r in attach_nearest(left, wx, max_km=40.0, mode=mode).collect()}
+    truth = _brute([(i, y, la, lo) for i, y, la, lo in pts], st)
+    assert set(got) == {k for k, (d, _) in truth.items() if mode == "null" or d <= 40.0}
+    for k, r in got.items():
+        d, s = truth[k]
+        assert r.dist_km == pytest.approx(d, abs=1e-9) and r.station == (s if d <= 40.0 else None)
+
+
+def test_pairs_of_a_point_do_not_grow_with_the_stations_of_a_cell(spark):
+    most, mean = {}, {}
+    for n in (4000, 40000):
+        st, pts = _crowded(n, 120)
+        stations = spark.createDataFrame(st, "_s string, _year int, _s_lat double, _s_lon double").where("_year = 2020")
+        stations = stations.select("_year", F.monotonically_increasing_id().alias("_sid"), "_s_lat", "_s_lon")
+        points = spark.createDataFrame(pts, "id int, _year int, _lat double, _lon double").drop("id").distinct()
+        # only the crowd: the others get denser with n as well
+        crowd = stations.where("abs(_s_lat - 45) < 0.02 and abs(_s_lon - 1) < 0.02")
+        pairs = candidate_pairs(points, crowd, km_to_chord(40.0)).groupBy("_year", "_lat", "_lon").count()
+        most[n], mean[n] = pairs.agg(F.max("count"), F.avg("count")).first()
+    assert most[40000] <= 16 * LEAF and mean[40000] <= 2 * mean[4000] + LEAF, (most, mean)

@@ -22,6 +22,15 @@ point all stations of its block.  A station outside the block is more than
   grows ``h`` fourfold for the points still unresolved until ``h >= 2`` (the
   whole sphere), cutting lineage between levels with a reliable checkpoint.
 
+Dense cells.  Stations at one place of a year are searched once, under their
+smallest number.  A cell with more than ``LEAF`` places is not handed to its
+neighbours place by place: it is a node with the bounding box of its places, cut
+into 4x4x4 cells while a cell holds more than ``LEAF``.  Points descend level by
+level: a node farther than the radius, or than the far corner of the point's
+best node, is dropped before its children are joined.  So the pairs of a point
+follow from the geometry around it, not from how many stations a cell holds;
+without a dense cell the search is the one join above.
+
 The best candidate is the minimum of one decimal, distance in steps of
 ``1 / _STEPS`` km followed by the station number, so the aggregate is a hash
 aggregate.  The join has no hint: AQE broadcasts the station cells when their
@@ -37,7 +46,7 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinterra.functions.geo import haversine_km, km_to_chord, unit_xyz
@@ -55,6 +64,12 @@ _CHORD_SLACK = 1e-9
 # distances are compared in steps of 1 / _STEPS km; station numbers stay below _NUMBERS
 _STEPS = 2.0**40
 _NUMBERS = 10**13
+# places a cell may hold before it is cut, and cuts at most (cells of 40 km end below 10 cm)
+LEAF = 64
+_CUT = 4
+_MAX_CUTS = 10
+# slack when two chords are compared: far above rounding, far below a millimetre
+_REL, _ABS = 1e-9, 1e-14
 # search radius growth per level for points still unresolved (soft radius)
 _GROWTH = 4.0
 
@@ -68,40 +83,116 @@ def _cells(xyz: tuple[Column, Column, Column], cell: float) -> list[Column]:
     return [F.floor(c / F.lit(cell)).cast("long") for c in xyz]
 
 
-def _station_cells(stations: DataFrame, h: float) -> DataFrame:
-    """Stations with unit vectors and their neighbour cells exploded.  The
+def _around(cells: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """Rows once per cell of their neighbourhood ``_cx, _cy, _cz``, from their own ``_ox, _oy, _oz``.  The
     offsets are one constant array (folded to a literal), added after the
     explode -- a per-offset computed struct array would outgrow codegen."""
-    sx, sy, sz = unit_xyz("_s_lat", "_s_lon")
-    cx, cy, cz = _cells((sx, sy, sz), h / CELL_SPLIT)
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dx, dy, dz in _OFFSETS])
-    own = stations.select(
-        "_year", "_sid", "_s_lat", "_s_lon", sx.alias("_sx"), sy.alias("_sy"), sz.alias("_sz"),
-        cx.alias("_ox"), cy.alias("_oy"), cz.alias("_oz"),
-    )
-    return own.select("*", F.explode(offsets).alias("_o")).select(
-        "_year", "_sid", "_s_lat", "_s_lon", "_sx", "_sy", "_sz",
+    return cells.select("*", F.explode(offsets).alias("_o")).select(
+        *kept,
         (F.col("_ox") + F.col("_o.dx")).alias("_cx"), (F.col("_oy") + F.col("_o.dy")).alias("_cy"),
         (F.col("_oz") + F.col("_o.dz")).alias("_cz"),
     )
 
 
-def _best_at_level(points: DataFrame, stations: DataFrame, h: float, outer: bool) -> DataFrame:
-    """Per point: the nearest station number ``_sid`` and its distance (to 1 / _STEPS km) among the
-    stations of its neighbourhood within chord distance ``h`` (NULL if none)."""
+_POINT = ["_year", "_lat", "_lon"]
+_PXYZ = ["_px", "_py", "_pz"]
+_OWN = ["_ox", "_oy", "_oz"]
+_CELL = ["_cx", "_cy", "_cz"]
+_PLACE = ["_year", "_sid", "_s_lat", "_s_lon", "_sx", "_sy", "_sz"]
+_BOX = ["_x0", "_x1", "_y0", "_y1", "_z0", "_z1"]
+
+
+def _places(stations: DataFrame, h: float) -> DataFrame:
+    """One row per year and place with its smallest number, unit vector and own cell."""
+    sx, sy, sz = unit_xyz("_s_lat", "_s_lon")
+    cx, cy, cz = _cells((F.col("_sx"), F.col("_sy"), F.col("_sz")), h / CELL_SPLIT)
+    return (
+        stations.groupBy("_year", "_s_lat", "_s_lon").agg(F.min("_sid").alias("_sid"))
+        .withColumns({"_sx": sx, "_sy": sy, "_sz": sz}).withColumns({"_ox": cx, "_oy": cy, "_oz": cz})
+    )
+
+
+def _nodes(places: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Cells with the number ``_n`` and the bounding box of their places."""
+    box = [f(f"_s{a}").alias(f"_{a}{i}") for a in "xyz" for i, f in enumerate((F.min, F.max))]
+    return places.groupBy("_year", *_OWN, *extra).agg(F.count(F.lit(1)).alias("_n"), *box)
+
+
+def _within_reach(pairs: DataFrame) -> DataFrame:
+    """Pairs of a point and a node that can still hold its nearest place: ``_reach`` (a chord) shrinks to the far
+    corner of the point's best box, and boxes beyond it are dropped."""
+    near2, far2 = F.lit(0.0), F.lit(0.0)
+    for a in "xyz":
+        p, lo, hi = F.col(f"_p{a}"), F.col(f"_{a}0"), F.col(f"_{a}1")
+        near2 = near2 + F.pow(F.greatest(lo - p, p - hi, F.lit(0.0)), 2)
+        far2 = far2 + F.pow(F.greatest(F.abs(p - lo), F.abs(p - hi)), 2)
+    pairs = pairs.withColumns({"_near": F.sqrt(near2), "_far": F.sqrt(far2) * F.lit(1 + _REL) + F.lit(_ABS)}).drop(*_BOX)
+    pairs = pairs.where(F.col("_near") <= F.col("_reach"))
+    best = F.min("_far").over(Window.partitionBy(*_POINT))
+    return pairs.withColumn("_reach", F.least("_reach", best)).where(F.col("_near") <= F.col("_reach")).drop("_near", "_far")
+
+
+def _descend(points: DataFrame, places: DataFrame, dense: DataFrame, h: float) -> list[DataFrame]:
+    """Pairs of points and the places of dense cells that can be nearest, one DataFrame per level of leaves."""
+    out = []
+    around = _around(dense, ["_year", *_OWN, *_BOX])
+    pairs = points.join(around, ["_year", *_CELL]).drop(*_CELL).withColumn("_reach", F.lit(h * (1 + _CHORD_SLACK)))
+    pairs = cut_lineage(_within_reach(pairs))
+    inside = places.join(dense.select("_year", *_OWN), ["_year", *_OWN], "left_semi")
+    side = h / CELL_SPLIT
+    for cut in range(1, _MAX_CUTS + 1):
+        side /= _CUT  # a power of two, so a cell of this side lies in one cell of the side before
+        finer = _cells((F.col("_sx"), F.col("_sy"), F.col("_sz")), side)
+        parent = {f"_u{a}": F.col(f"_o{a}") for a in "xyz"}
+        inside = cut_lineage(inside.withColumns(parent).withColumns(dict(zip(_OWN, finer))))
+        nodes = _nodes(inside, list(parent))
+        pairs = pairs.withColumnsRenamed({f"_o{a}": f"_u{a}" for a in "xyz"}).join(nodes, ["_year", *parent]).drop(*parent)
+        pairs = cut_lineage(_within_reach(pairs))
+        inside = inside.drop(*parent)
+        leaf = F.col("_n") <= F.lit(LEAF) if cut < _MAX_CUTS else F.lit(True)
+        out.append(pairs.where(leaf).drop("_n", "_reach").join(inside, ["_year", *_OWN]).select(*_POINT, "_sid", "_s_lat", "_s_lon"))
+        pairs = pairs.where(~leaf)
+        if pairs.isEmpty():
+            break
+        inside = inside.join(pairs.select("_year", *_OWN).distinct(), ["_year", *_OWN], "left_semi")
+        pairs = pairs.drop("_n")
+    return out
+
+
+def candidate_pairs(points: DataFrame, stations: DataFrame, h: float) -> DataFrame:
+    """``(_year, _lat, _lon, _sid, _s_lat, _s_lon)``: for every distinct point the places that can be its nearest
+    within chord distance ``h``; the nearest is among them."""
     px, py, pz = unit_xyz("_lat", "_lon")
     cx, cy, cz = _cells((px, py, pz), h / CELL_SPLIT)
-    pts = points.withColumns({"_px": px, "_py": py, "_pz": pz}).withColumns({"_cx": cx, "_cy": cy, "_cz": cz})
-    st = _station_cells(stations, h)
+    pts = points.select(*_POINT, *[c.alias(n) for c, n in zip((px, py, pz, cx, cy, cz), _PXYZ + _CELL)])
+    places = _places(stations, h)
+    dense = cut_lineage(_nodes(places).where(F.col("_n") > F.lit(LEAF)).drop("_n"))
+    some_dense = not dense.isEmpty()
+    if some_dense:
+        places = cut_lineage(places)
+    sparse = places.join(dense.select("_year", *_OWN), ["_year", *_OWN], "left_anti") if some_dense else places
+    st = _around(sparse, _PLACE)
     chord2 = (F.pow(pts["_px"] - st["_sx"], 2) + F.pow(pts["_py"] - st["_sy"], 2) + F.pow(pts["_pz"] - st["_sz"], 2))
     cond = (
         (pts["_year"] == st["_year"]) & (pts["_cx"] == st["_cx"]) & (pts["_cy"] == st["_cy"]) & (pts["_cz"] == st["_cz"])
         & (chord2 <= F.lit(h * h * (1 + _CHORD_SLACK)))
     )
-    cand = pts.join(st, cond, "left" if outer else "inner").select(pts["_year"], "_lat", "_lon", "_sid", "_s_lat", "_s_lon")
+    cand = pts.join(st, cond).select(pts["_year"], "_lat", "_lon", "_sid", "_s_lat", "_s_lon")
+    for part in _descend(pts, places, dense, h) if some_dense else []:
+        cand = cand.unionByName(part)
+    return cand
+
+
+def _best_at_level(points: DataFrame, stations: DataFrame, h: float, outer: bool) -> DataFrame:
+    """Per point: the nearest station number ``_sid`` and its distance (to 1 / _STEPS km) among the
+    stations within chord distance ``h`` (``outer``: NULL if none; else such points may be missing)."""
+    cand = candidate_pairs(points, stations, h)
     steps = F.floor(haversine_km("_lat", "_lon", "_s_lat", "_s_lon") * F.lit(_STEPS)).cast("decimal(17,0)")
     ranked = steps * F.lit(_NUMBERS).cast("decimal(14,0)") + F.col("_sid").cast("decimal(14,0)")
-    best = cand.groupBy("_year", "_lat", "_lon").agg(F.min(ranked).alias("_best"))
+    best = cand.groupBy(*_POINT).agg(F.min(ranked).alias("_best"))
+    if outer:
+        best = points.select(*_POINT).join(best, _POINT, "left")
     return best.select(
         "_year", "_lat", "_lon", (F.col("_best") % F.lit(_NUMBERS)).cast("long").alias("_sid"),
         (F.floor(F.col("_best") / F.lit(_NUMBERS)).cast("double") / F.lit(_STEPS)).alias("_near"),
