@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from vinterra.functions.features import add_engineered_features, categorical_feature, drop_numeric_columns, numeric_feature
 from vinterra.operators.coords import attach_coords, barycentres, coverage, inject_centroids
-from vinterra.operators.merge import merge_ratings_with_weather
+from vinterra.operators.merge import merge_ratings_with_weather, merge_ratings_with_yearly_weather
+from vinterra.sources.io import read_weather, weather_of_years, write_parquet
 
 
 def test_attach_coords_fixture(spark):
@@ -97,3 +98,38 @@ def test_feature_registry_and_drop(spark):
 def test_division_by_zero_is_null(spark):
     row = dict(_ROW, avg_TM_Apr=-1.0)
     assert spark.createDataFrame([row]).select(numeric_feature("D")).first()[0] is None
+
+
+def _yearly(spark, path, years):
+    rows = [(f"S{i}", y, 45.0 + i / 10, 1.0, i + y) for y in years for i in range(3)]
+    wx = spark.createDataFrame(rows, "station string, year int, latitude double, longitude double, hot_days int")
+    write_parquet(wx, path, ["year"])
+    return wx
+
+
+def test_only_the_years_of_the_left_side_are_opened(spark, tmp_out):
+    path = tmp_out + "/weather"
+    wx = _yearly(spark, path, range(2010, 2016))
+    # a file that cannot be read in a year nobody asks for
+    with open(f"{path}/year=2015/part-x.parquet", "wb") as f:
+        f.write(b"not a parquet file")
+    left = spark.createDataFrame([(2011,), (2013,), (2013,), (None,), (1990,), (123456,)], "year int")
+    out = weather_of_years(read_weather(spark, path, schema=wx.schema), left)
+    assert sorted({r.year for r in out.collect()}) == [2011, 2013] and out.count() == 6
+    assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_merge_over_yearly_files_equals_the_merge_in_memory(spark, tmp_out):
+    path = tmp_out + "/weather"
+    wx = _yearly(spark, path, range(2010, 2016))
+    with open(f"{path}/year=2014/part-x.parquet", "wb") as f:
+        f.write(b"not a parquet file")
+    wines = spark.createDataFrame(
+        [(1, "a", "[{'seo_name': 'merlot'}]", "2011"), (2, "a", "[{'seo_name': 'merlot'}]", "2013"), (3, "b", "[{'seo_name': 'merlot'}]", "N.V."), (4, "b", "[{'seo_name': 'merlot'}]", "2015"), (5, "b", None, "2014")],
+        "wine_id int, region string, cepages string, vintage string",
+    )
+    regions = spark.createDataFrame([("a", 45.01, 1.0), ("b", 45.21, 1.0)], "region string, latitude double, longitude double")
+    cols = ["wine_id", "year", "station", "hot_days"]
+    got = merge_ratings_with_yearly_weather(wines, regions, read_weather(spark, path, schema=wx.schema), year_range=(2010, 2015)).select(*cols)
+    want = merge_ratings_with_weather(wines, regions, wx, year_range=(2010, 2015)).select(*cols)
+    assert sorted(got.collect()) == sorted(want.collect()) == [(1, 2011, "S0", 2011), (2, 2013, "S0", 2013)]

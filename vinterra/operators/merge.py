@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from vinterra.functions.grapes import dominant_item_any
 from vinterra.functions.numbers import coerce_numeric
 from vinterra.operators.nearest import attach_nearest, expand_years
+from vinterra.session import as_table
+from vinterra.sources.io import weather_of_years
 
 
 def prepare_ratings(wines: DataFrame, grape_col: str = "cepages", vintage_col: str = "vintage") -> DataFrame:
@@ -57,3 +59,16 @@ def merge_ratings_with_weather(
     rw = region_weather(regions, weather, max_km=max_km, year_range=year_range, mode="drop")
     merged = viv.join(rw, ["region", "year"], "left")
     return merged.where(F.col("cepages").isNotNull() & F.col("year").isNotNull() & F.col(required).isNotNull())
+
+
+def merge_ratings_with_yearly_weather(
+    wines: DataFrame, regions: DataFrame, weather: DataFrame, *, max_km: float = 40.0, year_range: tuple[int, int] = (2010, 2025)
+) -> DataFrame:
+    """S3 + J4 over yearly tables: only the years in which a rated wine of ``year_range`` was made are read
+    (``weather`` from ``read_weather`` on a ``year=`` layout).  Same rows as ``merge_ratings_with_weather``.
+
+    The years are written first: a few rows, read once by the pruning and by the search."""
+    start, end = year_range
+    made = prepare_ratings(wines).select("year").where((F.col("year") >= start) & (F.col("year") < end)).distinct()
+    years = as_table(made, "vintage-years")
+    return merge_ratings_with_weather(wines, regions, weather_of_years(weather, years), max_km=max_km, year_range=year_range)

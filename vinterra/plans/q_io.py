@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vinterra.operators.climate import CLIMATE_COLUMNS
 from vinterra.operators.coords import cast_coords
+from vinterra.operators.merge import merge_ratings_with_yearly_weather
 from vinterra.operators.ml import load_pipeline_model, make_estimator, make_preprocessor, probability_of, save_model
 from vinterra.operators.polygons import read_geojson, with_clean_name
 from vinterra.operators.prep import encode_with_mapping, infer_roles, infer_roles_by_type, sorted_mapping, split_target
@@ -22,6 +23,7 @@ from vinterra.plans.q_ml import _train_test
 from vinterra.plans.q_prep import CAT_FEATURES, _MODEL_SQL, model_table
 from vinterra.plans.q_spatial import _POLYS_SQL, polygons
 from vinterra.plans.q_text import _normalize_sql
+from vinterra.plans.q_weather import _MERGE_COLS, _MERGE_SQL_CTES, WIDE_KM, _merge_view
 from vinterra.plans.registry import query, rounded
 from vinterra.session import ensure_checkpoint_dir
 from vinterra.sources import io
@@ -74,6 +76,25 @@ def weather_files(spark, d):
     return rounded(out.select("station", F.col("year").cast("int").alias("year"), "latitude", "longitude", "hot_days"))
 
 
+# S3 -> J4: yearly tables of which only the years of the rated wines are opened
+_SPAN = (standins.YEAR_RANGE[0] + 2, standins.YEAR_RANGE[1] - 2)
+
+
+@query(
+    "merge_weather_years",
+    f"""WITH {_MERGE_SQL_CTES.replace('__R__', str(WIDE_KM))}
+        SELECT {_MERGE_COLS} FROM merged WHERE year >= {_SPAN[0]} AND year < {_SPAN[1]}""",
+)
+def merge_weather_years(spark, d):
+    path = _folder(spark, "weather")
+    w = standins.weather(spark, d)
+    io.write_parquet(w, path, ["year"])
+    weather = io.read_weather(spark, path, schema=w.schema)
+    return _merge_view(
+        merge_ratings_with_yearly_weather(standins.wines(spark, d), standins.regions(spark, d), weather, max_km=WIDE_KM, year_range=_SPAN)
+    )
+
+
 # S9 -> S6 -------------------------------------------------------------------------------------
 _GEOJSON_SQL = f"""WITH {_POLYS_SQL}
         SELECT poly_id, signe, CASE WHEN denom IS NOT NULL THEN {_normalize_sql('CAST(denom AS VARCHAR)')} END AS denom_clean,

@@ -27,15 +27,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 # S3 -------------------------------------------------------------------------------------------
-def read_weather(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
+def read_weather(
+    spark: SparkSession, path: str, years: Sequence[int] | None = None, schema: T.StructType | str | None = None
+) -> DataFrame:
     """Yearly weather tables as one DataFrame with ``year``.
 
     ``path`` is either a ``year=YYYY`` partitioned directory (partition pruning
     and dynamic pruning from a join on ``year`` come for free) or a folder of
     ``weather_cleaned_YYYY.parquet`` files (year parsed from the file name).
     ``lat``/``lon`` count as ``latitude``/``longitude`` and become DOUBLE; files
-    with different columns or spellings are merged."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+    with different columns or spellings are merged, for which the footer of every
+    file is read; with ``schema`` (all columns, ``year`` too) none is."""
+    df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.option("mergeSchema", True).parquet(path)
     if "year" not in df.columns:
         df = df.withColumn("year", F.regexp_extract(F.col("_metadata.file_name"), WEATHER_FILE_YEAR, 1).cast("int"))
     # files of both spellings may be mixed: a row has one of the two names
@@ -49,6 +52,16 @@ def read_weather(spark: SparkSession, path: str, years: Sequence[int] | None = N
     return df
 
 
+def weather_of_years(weather: DataFrame, left: DataFrame, year: str = "year") -> DataFrame:
+    """Rows of ``weather`` of the years that occur in ``left[year]``.
+
+    Over a ``year=YYYY`` layout the years found at run time prune the folders (dynamic partition
+    pruning): files of other years are not opened.  Years have at most four digits, so the
+    broadcast holds at most 10,000 of them; NULL and other years match nothing."""
+    wanted = left.select(F.col(year).cast("int").alias("_wanted")).where(F.col("_wanted").between(0, 9999)).distinct()
+    return weather.join(F.broadcast(wanted), weather["year"] == wanted["_wanted"], "left_semi")
+
+
 # S7 / S8 --------------------------------------------------------------------------------------
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
