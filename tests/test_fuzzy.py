@@ -6,7 +6,7 @@ import random
 import pytest
 
 from data_dirs import SF001
-from vinterra.operators.fuzzy import exceeds, fuzzy_matches, fuzzy_semi_join, partial_ratio
+from vinterra.operators.fuzzy import _candidates, exceeds, fuzzy_matches, fuzzy_semi_join, partial_ratio
 from vinterra.plans.q_spatial import polygons, wine_names
 from vinterra.operators.polygons import with_clean_name
 
@@ -97,6 +97,40 @@ def test_pairs_of_odd_strings_match_all_pairs(spark, threshold):
     assert got == sorted(want)
 
 
+def test_short_names_meet_few_candidates(spark):
+    """Names of 3 to 6 letters of a skewed alphabet: nearly every candidate is a match, far below all pairs."""
+    rng = random.Random(11)
+    letters = "eeeeaaaiiorrnnssttlldcmupgbvhfqyxjkwz"
+    word = lambda a, b: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
+    needles = sorted({word(3, 6) for _ in range(600)})
+    hays = sorted({"chateau " + word(3, 12) + " " + word(3, 8) for _ in range(1500)} | {word(6, 9) for _ in range(500)})
+    nd = spark.createDataFrame([(x,) for x in needles], "s string")
+    hs = spark.createDataFrame([(x,) for x in hays], "l string")
+    cand = {tuple(r) for r in _candidates(nd, hs, 85).collect()}
+    want = {(n, h) for n in needles for h in hays if exceeds(n, h, 85)}
+    assert want <= cand and len(want) > 1000
+    assert len(cand) <= 1.2 * len(want) and len(cand) <= 0.01 * len(needles) * len(hays), (len(cand), len(want))
+
+
+@pytest.mark.parametrize("threshold", [85, 99])
+def test_long_names_match_all_pairs(spark, threshold):
+    """Pieces longer than a join key, edits at the ends and inside."""
+    rng = random.Random(threshold)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 130))) for _ in range(25)]
+
+    def edit(x):
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(x))
+            x = x[:i] + rng.choice(["", "z", "zz"]) + x[i + 1 :]
+        return x[rng.randint(0, 3) :]
+
+    left, right = [edit(x) for x in base], [edit(x) + rng.choice(["", " tail", " a longer tail"]) for x in base]
+    got = sorted((r.n, r.h) for r in fuzzy_matches(spark.createDataFrame([(x,) for x in left], "n string"), "n",
+                                                  spark.createDataFrame([(x,) for x in right], "h string"), "h", threshold).collect())
+    want = sorted({(n, h) for n in left for h in right if _partial_ratio_naive(n, h) > threshold + 1e-9})
+    assert got == want and want
+
+
 def test_tasks_need_no_copy_of_the_package(tmp_out):
     """Run from another folder, with the package on the driver's path only."""
     import subprocess

@@ -11,13 +11,23 @@ Blocking (lossless): a window scoring above ``t`` is within Indel distance
 ``d < 2m(100 - t)/100`` of s.  Cutting s into ``D + 1`` near-equal pieces, with
 ``D`` the largest integer below that bound, at least one piece survives the
 ``<= D`` edits and occurs verbatim in the window.  So candidate pairs are
-found with an equi-join of pieces of the shorter string against same-length
-q-grams of the longer one; only candidates are scored exactly (bit-parallel
-LCS in a pandas UDF: there is no Indel/LCS function in Spark SQL, and the
-built-in ``levenshtein`` counts a substitution as one edit, not two).  Before
-that a JVM filter uses the same edit bound once more: each edit breaks at most
-two of the shorter string's bigrams, so at least ``m - 1 - 2D`` of them must
-occur in the longer one.
+found with equi-joins of pieces of the shorter string against same-length
+q-grams of the longer one, for two kinds of windows apart:
+
+* A full window has length m, so its Indel distance is even: one edit fewer is
+  allowed if ``D`` is odd, and pieces are fewer and longer.  At 85, names of 3 to 6
+  characters are one piece: only names that contain them are met.
+* A shorter window is a prefix or a suffix of the longer string.  A piece moves by at
+  most ``D`` places in it, so the place, counted from that end, is part of the
+  join key.  Up to ``_CHECKED`` edits the built-in ``levenshtein`` (never above the
+  Indel distance) of the possible windows is checked as well.
+
+Of a long piece the last ``_MAX_GRAM`` characters are the key (names differ at their
+ends), and the whole piece is looked for after the join.  Only candidates are scored
+exactly (bit-parallel LCS in a pandas UDF: there is no Indel/LCS function in Spark SQL,
+and ``levenshtein`` counts a substitution as one edit, not two).  Before that a JVM
+filter uses the edit bound once more: each edit breaks at most two of the shorter
+string's bigrams, so at least ``m - 1 - 2D`` of them must occur in the longer one.
 Thresholds below 50 make the bound reach m (no piece is guaranteed) and would
 need every pair compared; they are rejected rather than run as a cross join.
 """
@@ -32,6 +42,10 @@ from pyspark.sql import types as T
 # --- fixed values -------------------------------------------------------------------
 DEFAULT_THRESHOLD = 85
 # ------------------------------------------------------------------------------------------
+# longest join key cut from a piece, in characters
+_MAX_GRAM = 8
+# edits up to which the windows at the ends are checked before scoring
+_CHECKED = 3
 
 
 def _lcs_len(a: str, b: str) -> int:
@@ -129,47 +143,85 @@ def _one_way_exceeds(s1: str, s2: str, threshold: int) -> bool:
     return False
 
 
-def max_edits_below(m: Column, threshold: int) -> Column:
-    """Largest integer strictly below ``2m(100 - t)/100``."""
-    return F.ceil(m * F.lit(2 * (100 - threshold)) / F.lit(100.0)).cast("int") - 1
+def max_edits_below(length: Column, threshold: int) -> Column:
+    """Largest integer strictly below ``length * (100 - t)/100``, ``length`` being that of both strings together."""
+    return F.ceil(length * F.lit(100 - threshold) / F.lit(100.0)).cast("int") - 1
 
 
 def max_piece_length(threshold: int) -> int:
-    """Upper bound of the piece lengths for any string length at ``threshold``."""
-    return -(-50 // (100 - threshold)) if threshold < 100 else 1
+    """Upper bound of the key lengths for any string length at ``threshold``: a string of one piece has no edit to
+    spare in a full window, so it is at most ``100 / (100 - t)`` long."""
+    return min(-(-100 // (100 - threshold)), _MAX_GRAM)
 
 
 def _pieces(s: Column, m: Column, n_pieces: Column) -> Column:
-    """``n_pieces`` near-equal consecutive pieces of ``s``."""
-    return F.transform(
-        F.sequence(F.lit(0), n_pieces - 1),
-        lambda i: F.substring(s, (F.floor(i * m / n_pieces) + 1).cast("int"),
-                              (F.floor((i + 1) * m / n_pieces) - F.floor(i * m / n_pieces)).cast("int")),
+    """``n_pieces`` near-equal consecutive pieces of ``s`` with their keys and the places of these, from 0."""
+    def cut(i: Column) -> Column:
+        start, end = F.floor(i * m / n_pieces).cast("int"), F.floor((i + 1) * m / n_pieces).cast("int")
+        key = F.greatest(start, end - _MAX_GRAM)
+        return F.struct(
+            F.substring(s, start + 1, end - start).alias("piece"), F.substring(s, key + 1, end - key).alias("gram"),
+            (end - key).alias("q"), key.alias("at"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), n_pieces - 1), cut)
+
+
+def _grams(long: DataFrame, longest: int) -> DataFrame:
+    """``l, q, gram, at``: every substring of 1 .. ``longest`` characters with its place, from 0."""
+    sized = long.select("l", F.length("l").alias("_n"), F.explode(F.array(*[F.lit(q) for q in range(1, longest + 1)])).alias("q"))
+    placed = sized.where(F.col("_n") >= F.col("q")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("q"))).alias("at"))
+    return placed.select("l", "_n", "q", F.substring("l", F.col("at") + 1, F.col("q")).alias("gram"), "at")
+
+
+def _inside(short: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
+    """Pairs that may match in a full window."""
+    m = F.length("s")
+    d = max_edits_below(2 * m, threshold)
+    pieces = short.select("s", F.explode(_pieces(F.col("s"), m, d - F.pmod(d, F.lit(2)) + 1)).alias("p"))
+    pieces = pieces.select("s", m.alias("_m"), "p.piece", "p.gram", "p.q").distinct()
+    pairs = pieces.join(grams.select("l", "_n", "q", "gram").distinct(), ["q", "gram"])
+    return pairs.where((F.col("_m") <= F.col("_n")) & F.contains("l", "piece")).select("s", "l").distinct()
+
+
+def _at_the_ends(short: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
+    """Pairs that may match in a prefix or a suffix shorter than the shorter string."""
+    m, n = F.length("s"), F.col("_n")
+    d = max_edits_below(2 * m - 1, threshold)
+    cut = short.where(d >= 1).select("s", m.alias("_m"), d.alias("_d"), F.explode(_pieces(F.col("s"), m, d + 1)).alias("p"))
+    # places are counted from the start (side 1), and to the end (side -1)
+    sides = F.array(
+        F.struct(F.lit(1).alias("side"), F.col("p.at").alias("at")),
+        F.struct(F.lit(-1).alias("side"), (F.col("_m") - F.col("p.at") - F.col("p.q")).alias("at")),
+    )
+    keys = cut.select("s", "_m", "_d", "p.q", "p.gram", F.inline(sides))
+    keys = keys.select(
+        "s", "_m", "_d", "q", "gram", "side",
+        F.explode(F.sequence(F.greatest(F.col("at") - F.col("_d"), F.lit(0)), F.col("at") + F.col("_d"))).alias("at"),
+    ).distinct()
+    both = F.array(
+        F.struct(F.lit(1).alias("side"), F.col("at").alias("_at")), F.struct(F.lit(-1).alias("side"), (n - F.col("at") - F.col("q")).alias("_at"))
+    )
+    ends = grams.select("l", "_n", "q", "gram", F.inline(both)).withColumnRenamed("_at", "at")
+    pairs = keys.join(ends, ["q", "gram", "side", "at"]).where(F.col("_m") <= n).select("s", "l", "_m", "_n", "_d", "side").distinct()
+    start = lambda w: F.when(F.col("side") == 1, F.lit(1)).otherwise(n - w + 1)
+    close = F.exists(
+        F.sequence(F.greatest(F.col("_m") - F.col("_d"), F.lit(1)), F.greatest(F.col("_m") - 1, F.lit(1))),
+        lambda w: F.levenshtein("s", F.substring("l", start(w), w)) <= F.col("_d"),
     )
+    return pairs.where((F.col("_d") > _CHECKED) | close).select("s", "l")
 
 
 def _candidates(short: DataFrame, long: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (s, l) with len(s) <= len(l) where a piece of s occurs in l."""
+    """Pairs (s, l) with len(s) <= len(l) that can score above ``threshold``."""
     m = F.length("s")
-    d = max_edits_below(m, threshold)
+    d = max_edits_below(2 * m, threshold)
     blocked = short.where((m > 0) & (d + 1 <= m))
-    pieces = blocked.select("s", F.explode(F.array_distinct(_pieces(F.col("s"), m, d + 1))).alias("piece")).select(
-        "s", "piece", F.length("piece").alias("q"), m.alias("_m")
-    )
-    # piece lengths are bounded by the threshold alone: m / (D + 1) <= 50 / (100 - t)
-    qs = F.array(*[F.lit(q) for q in range(1, max_piece_length(threshold) + 1)])
-    with_q = long.select("l", F.explode(qs).alias("q"))
-    grams = with_q.select(
-        "l", "q",
-        F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("l") - F.col("q") + 1, F.lit(1))),
-                              lambda j: F.substring("l", j, F.col("q")))).alias("gram"),
-        F.length("l").alias("_n"),
-    )
-    pairs = pieces.join(grams, (pieces.q == grams.q) & (pieces.piece == grams.gram)).where(F.col("_m") <= F.col("_n"))
-    pairs = pairs.select("s", "l").distinct()
-    bigrams = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))
+    grams = _grams(long, max_piece_length(threshold))
+    pairs = _inside(blocked, grams, threshold).unionByName(_at_the_ends(blocked, grams, threshold)).distinct()
+    bigrams = F.transform(F.sequence(F.lit(1), m - 1), lambda i: F.substring("s", i, F.lit(2)))
     kept = F.size(F.filter(bigrams, lambda g: F.contains(F.col("l"), g)))
-    needed = F.length("s") - 1 - 2 * max_edits_below(F.length("s"), threshold)
+    needed = m - 1 - 2 * d
     return pairs.where((needed <= 0) | (kept >= needed))
 
 
