@@ -55,10 +55,18 @@ def test_sketch_is_mergeable_and_close(spark):
     parts = Q.merge_sketches(Q.sketch(df.where(half)), Q.sketch(df.where(~half)))
     assert {tuple(r) for r in parts.collect()} == whole
     limits = {(r.lang, r.source): r for r in Q.fences(Q.sketch(df)).collect()}
-    for source in ("hot", None):
-        v = sorted(r[0] for r in df.where(F.col("source").eqNullSafe(F.lit(source))).select("symbols_ppm").collect())
+    rows = df.select("source", "symbols_ppm").collect()
+
+    def quartiles(v):
+        v = sorted(v)
         q1, q3 = (brute_bucket(v[-(-k * len(v) // 4) - 1]) for k in (1, 3))
         assert q3 <= v[-(-3 * len(v) // 4) - 1] <= q3 * (1 + 2 ** (1 - Q.PRECISION))
+        return q1, q3
+
+    whole = quartiles(r[1] for r in rows)  # one language, so its quartiles are these as well
+    for source in ("hot", None):
+        v = [r[1] for r in rows if r[0] == source]
+        q1, q3 = ((len(v) * own + Q.BACKING * wide) // (len(v) + Q.BACKING) for own, wide in zip(quartiles(v), whole))
         assert limits["en", source].symbols_ppm_high == q3 + Q.SPREAD * (q3 - q1) + Q.MARGINS["symbols_ppm"][0]
 
 
@@ -68,13 +76,34 @@ def good(i):
 
 def test_thresholds_follow_the_group(spark):
     # symbols are usual in one source and rare in the other
-    rows = [(i, good(i) + (" | #" * 10 if i % 2 else ""), "en", "code" if i % 2 else "news") for i in range(40)]
-    rows += [(100, good(100) + " | #" * 10, "en", "news"), (101, good(101) + " $$$$$$" * 60, "en", "code"), (102, "short", "en", "news")]
+    n = 1600
+    rows = [(i, good(i) + (" | #" * 10 if i % 2 else ""), "en", "code" if i % 2 else "news") for i in range(n)]
+    rows += [(n, good(n) + " | #" * 20, "en", "news"), (n + 1, good(n + 1) + " $$$$$$" * 60, "en", "code"), (n + 2, "short", "en", "news")]
+    rows.append((n + 3, rows[n][1], "en", "code"))  # kept here, not there
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: r.kept for r in Q.verdicts(docs).collect()}
-    assert not kept[100] and not kept[101] and not kept[102]
-    assert all(kept[i] for i in range(40))
-    assert sorted(r.doc_id for r in Q.keep_good(docs).collect()) == list(range(40))
+    assert not kept[n] and not kept[n + 1] and not kept[n + 2]
+    assert all(kept[i] for i in range(n)) and kept[n + 3]
+    assert sorted(r.doc_id for r in Q.keep_good(docs).collect()) == [*range(n), n + 3]
+
+
+def test_small_groups_lean_on_the_language_and_the_corpus(spark):
+    junk = " ".join(["$$$$ ####"] * 3 + [f"u{j}" for j in range(60)])
+    rows = [(i, good(i), "en", "news") for i in range(200)]
+    # a source of three with two bad texts; a language of its own with one of two
+    rows += [(300, good(300), "en", "tiny"), (301, junk, "en", "tiny"), (302, junk + " x", "en", "tiny")]
+    rows += [(310, good(310), None, None), (311, junk + " y", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in Q.verdicts(docs).collect() if r.kept}
+    assert kept == {*range(200), 300, 310}
+
+
+def test_rows_failing_the_base_rules_do_not_widen_the_fences(spark):
+    # most of the group repeats itself and is full of symbols; the rest is judged without it
+    rows = [(i, "$$$ ### " * 60, "en", "s") for i in range(300)] + [(i, good(i), "en", "s") for i in range(300, 400)]
+    rows.append((400, good(400) + " $$$$$$" * 20, "en", "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in Q.verdicts(docs).collect() if r.kept} == set(range(300, 400))
 
 
 def test_odd_rows(odd_docs, no_docs):

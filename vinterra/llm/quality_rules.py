@@ -3,17 +3,22 @@
 Four shares of each text (symbols, characters in duplicate lines, repeated words, mean word length) are put into
 quantile sketches per (lang, source).  A sketch is a log-linear histogram: a value keeps its
 ``PRECISION`` leading bits, which bounds the relative error, and sketches merge by adding counts,
-so Spark builds them with one partial aggregation.  The quartiles read from a sketch give the
+so Spark builds them with one partial aggregation.  Rows that fail the base rules are not sketched: junk
+does not widen its own fence.  The quartiles read from a sketch give the
 group's own fences, ``quartile +- SPREAD * (q75 - q25) +- margin``; they replace fixed cutoffs.
 The verdict joins the fences back to the rows null-safe on (lang, source).
 
+A small group says little about itself, so its quartiles lean on those of the merged sketch of its
+language as if ``BACKING`` rows of it had been added, and these lean likewise on the sketch of the whole
+corpus.  A group of many rows is judged by its own habits.
+
 Only DataFrame functions are used.  A few fixed base rules reject texts that no group's habits
 excuse: fewer than 50 words, or over half of the words in repeated three-word windows.
 
 Defined results: null and empty texts have no words and fail the base rules; null lang or source
 is a group of its own; repeated rows are judged alike and each counts in the sketch; an empty table
-gives an empty result; extra columns do not take part.  In a group of one the fences lie around its
-only value.
+gives an empty result; extra columns do not take part.  A corpus of one document has its fences around
+its only value; a group without a row that passes the base rules has no fence and keeps nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ MAX_REPEAT_PERCENT = 50
 #: Leading bits that a sketch keeps of a value: a relative error below 1/128.
 PRECISION = 8
 SPREAD = 3
+#: Rows of the wider sketch that back a group's quartiles.
+BACKING = 64
 #: metric -> (least width of the upper fence above q75, of the lower one below q25; None: no lower fence)
 MARGINS = {
     "symbols_ppm": (30_000, None),
@@ -121,22 +128,43 @@ def merge_sketches(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.unionByName(other).groupBy("lang", "source", "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame) -> DataFrame:
-    """One row per (lang, source): ``<metric>_low`` and ``<metric>_high``."""
-    group = Window.partitionBy("lang", "source", "metric")
-    run = sketches.withColumns({"up_to": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
+def _quartiles(sketches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows ``n`` and quartiles of the sketches merged by ``keys``; at most a few thousand buckets per key and metric."""
+    merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "metric")
+    run = merged.withColumns({"up_to": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
 
     def quartile(metric: str, k: int) -> Column:
         return F.min(F.when((F.col("metric") == metric) & (4 * F.col("up_to") >= k * F.col("total")), F.col("bucket")))
 
-    quartiles = run.groupBy("lang", "source").agg(*[quartile(m, k).alias(f"{m}_q{k}") for m in MARGINS for k in (1, 3)])
+    return run.groupBy(*keys).agg(F.max("total").alias("n"), *[quartile(m, k).alias(f"{m}_q{k}") for m in MARGINS for k in (1, 3)])
+
+
+def _lean(n: Column, own: Column, wider: Column) -> Column:
+    """``own`` of ``n`` rows backed by ``wider`` of ``BACKING`` rows, rounded down."""
+    exact = [c.cast("decimal(18,0)") for c in (n, own, wider)]
+    total = exact[0] * exact[1] + F.lit(BACKING).cast("decimal(4,0)") * exact[2]
+    return F.call_function("div", total, n + F.lit(BACKING)).cast("long")
+
+
+def fences(sketches: DataFrame) -> DataFrame:
+    """One row per (lang, source): ``<metric>_low`` and ``<metric>_high``."""
+    names = [f"{m}_q{k}" for m in MARGINS for k in (1, 3)]
+    whole = _quartiles(sketches, ()).first()  # one row of nine numbers
+    by_lang = _quartiles(sketches, ("lang",)).select(
+        F.col("lang").alias("l_lang"), *[_lean(F.col("n"), F.col(q), F.lit(whole[q] or 0)).alias(f"l_{q}") for q in names]
+    )
+    own = _quartiles(sketches, ("lang", "source"))
+    backed = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l_lang"])).select(
+        "lang", "source", *[_lean(F.col("n"), F.col(q), F.col(f"l_{q}")).alias(q) for q in names]
+    )
     cols = []
     for m, (above, below) in MARGINS.items():
         q1, q3 = F.col(f"{m}_q1"), F.col(f"{m}_q3")
         cols.append((q3 + SPREAD * (q3 - q1) + above).alias(f"{m}_high"))
         if below is not None:
             cols.append((q1 - SPREAD * (q3 - q1) - below).alias(f"{m}_low"))
-    return quartiles.select("lang", "source", *cols)
+    return backed.select("lang", "source", *cols)
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -155,7 +183,8 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, **columns) -> DataFrame:
     """One row per document: counts, shares, ``base_failed`` and ``kept``."""
     measured = written(measure(docs, **columns), "quality-measures")
-    return judge(measured, written(fences(sketch(measured)), "quality-fences"))
+    sketches = written(sketch(measured.where("not base_failed")), "quality-sketch")
+    return judge(measured, written(fences(sketches), "quality-fences"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -200,19 +229,31 @@ m AS (
          1000 * word_chars // greatest(n_words, 1) AS word_length_milli,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 u AS (
-  SELECT lang, source, 'symbols_ppm' AS metric, symbols_ppm AS v FROM m WHERE n_words > 0
-  UNION ALL SELECT lang, source, 'dup_chars_ppm', dup_chars_ppm FROM m WHERE n_words > 0
-  UNION ALL SELECT lang, source, 'repeats_ppm', repeats_ppm FROM m WHERE n_words > 0
-  UNION ALL SELECT lang, source, 'word_length_milli', word_length_milli FROM m WHERE n_words > 0),
+  SELECT lang, source, 'symbols_ppm' AS metric, symbols_ppm AS v FROM m WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'dup_chars_ppm', dup_chars_ppm FROM m WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'repeats_ppm', repeats_ppm FROM m WHERE NOT base_failed
+  UNION ALL SELECT lang, source, 'word_length_milli', word_length_milli FROM m WHERE NOT base_failed),
 s AS (
   SELECT lang, source, metric, (v >> k) << k AS bucket, count(*) AS n
   FROM (SELECT *, greatest(length(bin(v)) - 8, 0)::BIGINT AS k FROM u) GROUP BY ALL),
+e AS (
+  SELECT 0 AS scope, lang, source, metric, bucket, n FROM s
+  UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM s GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM s GROUP BY ALL),
 a AS (
-  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS up_to,
-         sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM s),
-q AS (
-  SELECT lang, source, metric, min(bucket) FILTER (4 * up_to >= total) AS q1, min(bucket) FILTER (4 * up_to >= 3 * total) AS q3
+  SELECT *, sum(n) OVER (PARTITION BY scope, lang, source, metric ORDER BY bucket) AS up_to,
+         sum(n) OVER (PARTITION BY scope, lang, source, metric) AS total FROM e),
+o AS (
+  SELECT scope, lang, source, metric, max(total)::HUGEINT AS n, min(bucket) FILTER (4 * up_to >= total) AS q1,
+         min(bucket) FILTER (4 * up_to >= 3 * total) AS q3
   FROM a GROUP BY ALL),
+lq AS (
+  SELECT x.lang, x.metric, (x.n * x.q1 + 64 * y.q1) // (x.n + 64) AS q1, (x.n * x.q3 + 64 * y.q3) // (x.n + 64) AS q3
+  FROM o x JOIN o y USING (metric) WHERE x.scope = 1 AND y.scope = 2),
+q AS (
+  SELECT x.lang, x.source, x.metric, ((x.n * x.q1 + 64 * y.q1) // (x.n + 64))::BIGINT AS q1,
+         ((x.n * x.q3 + 64 * y.q3) // (x.n + 64))::BIGINT AS q3
+  FROM o x JOIN lq y ON x.lang IS NOT DISTINCT FROM y.lang AND x.metric = y.metric WHERE x.scope = 0),
 f AS (
   SELECT lang, source,
          max(q3 + 3 * (q3 - q1) + 30000) FILTER (metric = 'symbols_ppm') AS f1,
