@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from vinterra.llm import decontaminate as D
+from vinterra.llm.common import written
 
 ITEMS = "item_id long, text string, items string, h long"
 
@@ -58,12 +59,23 @@ def cases(spark, seed, short):
 
 
 @pytest.mark.parametrize("short", [False, True])
-@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 8_000])
 def test_hits_match_brute_force(spark, monkeypatch, short, limit):
     monkeypatch.setattr(D, "BROADCAST_BYTES", limit)
+    plans = []
+
+    def kept(df, name):
+        if name == "benchmark-slice":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(D, "written", kept)
     docs, items = cases(spark, int(short), short)
     got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*i, "x", 1) for i in items], ITEMS))
     assert found(got) == brute(docs, items)
+    assert (len(plans) > 2) == (limit < 10_000)
+    # the documents are not shuffled, whatever the size of the benchmark
+    assert all("BroadcastHashJoin" in p and "Exchange hash" not in p and "SortMergeJoin" not in p for p in plans)
 
 
 def test_removal_keeps_clean_documents(spark):

@@ -3,8 +3,9 @@
 Benchmark items become windows of 13 normalised words (a shorter item is one window).  The set of
 windows is broadcast behind a check of its size; every window of every document is hashed in a
 scan, looked up, and verified word by word inside the join, so only true hits leave the scan.
-Hits aggregate per document: words covered, items met.  Beyond the size check the same join runs as
-a shuffle join.
+Hits aggregate per document: words covered, items met.  Beyond the size check the set is cut by hash into
+slices that pass it, and the documents are scanned once per slice: words are never shuffled, and the
+cost grows with the benchmark alone.
 
 Only DataFrame functions are used.
 
@@ -19,13 +20,15 @@ a null doc_id is a value like any other; empty tables give no hits; extra column
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vinterra.llm.common import same_row, written
 
 N_WORDS = 13
-#: Largest set of benchmark windows that is broadcast, in bytes of their words.
+#: Largest set of benchmark windows that is broadcast at once, in bytes of their words and item names.
 BROADCAST_BYTES = 256 << 20
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
@@ -59,10 +62,12 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
 def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, n: int = N_WORDS) -> DataFrame:
     """``doc_id, text_key, n_hit, items`` of every distinct document with a hit."""
     grams = written(benchmark_windows(items, item_id, item_text, n), "benchmark-windows")
-    stats = grams.groupBy("len").agg(F.sum(F.octet_length(F.array_join("gram", " ")) + 64).alias("b")).collect()
+    row_bytes = F.octet_length(F.array_join("gram", " ")) + F.octet_length(F.array_join("items", " ")) + 16 * F.size("items") + 64
+    stats = grams.groupBy("len").agg(F.sum(row_bytes).alias("b")).collect()
     lengths = sorted(r.len for r in stats)  # at most n
-    if sum(r.b for r in stats) <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
+    total = sum(r.b for r in stats)
+    # twice as many slices as the mean needs, so that none is above the limit for an uneven hash
+    n_slices = 1 if total <= BROADCAST_BYTES else -(-2 * total // BROADCAST_BYTES)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), norm_words(text_col).alias("w"))
     # Positions are exploded and hashed in the same compiled stage; the words are not copied.
     shortest = lengths[0] if lengths else n
@@ -77,7 +82,14 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
         & (F.col("s.len") == F.col("b.len"))
         & (F.slice(F.col("s.w"), F.col("s.pos") + 1, F.col("s.len")) == F.col("b.gram"))
     )
-    found = scan.alias("s").join(grams.alias("b"), match).select("doc_id", "text_key", "pos", F.col("s.len").alias("len"), "items")
+
+    def found_in(part: Column) -> DataFrame:
+        one = scan.where(part).alias("s").join(F.broadcast(grams.where(part)).alias("b"), match)
+        return one.select("doc_id", "text_key", "pos", F.col("s.len").alias("len"), "items")
+
+    # every slice's hits are written before the next scan, so one set at a time is held
+    slices = [F.pmod(F.col("h"), F.lit(n_slices)) == i for i in range(n_slices)]
+    found = found_in(F.lit(True)) if n_slices == 1 else reduce(DataFrame.unionByName, [written(found_in(x), "benchmark-slice") for x in slices])
     covered = F.flatten(
         F.transform(F.collect_set(F.struct("pos", "len")), lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))
     )
