@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def oracle(key, documents=None):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{documents if documents and t == 'documents' else f'{SF}/{t}.parquet'}')")
     out = con.execute(queries.oracles()[key])
     names = [d[0] for d in out.description]
