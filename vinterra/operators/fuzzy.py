@@ -180,7 +180,7 @@ def _inside(short: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
     d = max_edits_below(2 * m, threshold)
     pieces = short.select("s", F.explode(_pieces(F.col("s"), m, d - F.pmod(d, F.lit(2)) + 1)).alias("p"))
     pieces = pieces.select("s", m.alias("_m"), "p.piece", "p.gram", "p.q").distinct()
-    pairs = pieces.join(grams.select("l", "_n", "q", "gram").distinct(), ["q", "gram"])
+    pairs = pieces.join(grams.select("l", "_n", "q", "gram"), ["q", "gram"])
     return pairs.where((F.col("_m") <= F.col("_n")) & F.contains("l", "piece")).select("s", "l").distinct()
 
 
