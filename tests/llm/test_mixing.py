@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -83,9 +84,43 @@ def test_named_weights_and_empty_table(spark, odd_docs, no_docs):
     assert M.schedule(no_docs).collect() == [] and M.interleave(no_docs).collect() == []
 
 
-def test_too_many_sources_are_refused(spark):
-    with pytest.raises(ValueError):
-        M.schedule(spark.range(M.MAX_SOURCES + 1).selectExpr("id AS doc_id", "cast(id AS string) AS source"))
+def test_thousands_of_sources(spark):
+    docs = spark.range(15_000).selectExpr("id AS doc_id", "concat('s', CASE WHEN id % 3 = 0 THEN 0 ELSE id % 5000 END) AS source")
+    got = M.schedule(docs, block_rows=4).collect()
+    assert sorted(r.doc_id for r in got) == list(range(15_000))
+    assert len({r.source for r in got}) > 3000
+    slots = {r.slot: (r.source, r.block) for r in got}
+    assert sorted(slots) == list(range(len(slots))) == list(range(len(set(slots.values()))))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_phase_starts_anew_with_the_weights_left(seed):
+    rnd = random.Random(seed)
+    blocks = {f"s{i}": rnd.randrange(0, 30) for i in range(7)}
+    weights = {s: rnd.choice([0.0, rnd.random(), 1 / 3, 2.0]) for s in blocks}
+    rows = list(M.block_slots(blocks, weights))
+    left, at = {s: n for s, n in blocks.items() if n}, 0
+    while left:
+        q = M.whole_weights({s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1))
+        for s in itertools.islice(endless(q), sum(left.values())):
+            assert rows[at][0] == s
+            left[s] -= 1
+            at += 1
+            if not left[s]:
+                del left[s]
+                break
+    assert at == len(rows) == sum(blocks.values())
+
+
+def endless(q):
+    """Slot by slot: of the released blocks, the one with the earliest deadline."""
+    n, done = sum(q.values()), dict.fromkeys(q, 0)
+    for t in itertools.count():
+        ready = [s for s in q if done[s] * n // q[s] <= t]
+        s = min(ready, key=lambda s: (-((done[s] + 1) * n // -q[s]), s))
+        done[s] += 1
+        yield s
 
 
 def drift(rows, weights):

@@ -7,8 +7,8 @@ block away from its share.
 
 Weights are taken as the exact fractions that the given numbers are, so no source drifts from its
 target however long the schedule is.  The driver holds the weights and one waiting block per source
-and writes the slots of all blocks, in pieces, as a table that the rows are joined to.  When a source
-runs out, a new phase begins with the remaining weights in proportion; sources of weight 0 come
+and writes the slots of all blocks, in pieces, as a table that the rows are joined to.  It takes a step
+per block, and one per source left whenever a source runs out.  When a source runs out, a new phase begins with the remaining weights in proportion; sources of weight 0 come
 after all others; nothing is dropped or repeated.
 
 With a ``resolution``, weights are first rounded to multiples of ``1 / resolution`` (``quantised``);
@@ -39,7 +39,6 @@ from vinterra.llm.common import scratch_path
 BLOCK_ROWS = 64
 RESOLUTION = 1000
 RANK_BUCKETS = 1024
-MAX_SOURCES = 1000
 #: Blocks of the schedule that the driver holds at a time.
 PIECE_BLOCKS = 100_000
 #: Rows of a file that ``stored_order`` counts together.
@@ -142,26 +141,29 @@ def block_slots(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[t
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
     begin = phase = 0
+    # whole numbers once for all phases: only their proportions count
+    q = whole_weights({s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1)) if left else {}
     while left:
-        q = whole_weights({s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1))
+        if not q:  # sources of weight 0 are left
+            q = dict.fromkeys(left, 1)
         n = sum(q.values())
-        share = {s: q[s] / n for s in q}
-        waiting = [(0, s, 0) for s in q]  # (release, source, block of the phase)
-        heapq.heapify(waiting)
-        ready: list[tuple[int, str, int, int]] = []
+        waiting: list[tuple[int, str, int]] = []  # (release, source, block of the phase)
+        ready = [(-(n // -k), s, 0, 0) for s, k in q.items()]  # every first block is released at 0
+        heapq.heapify(ready)
         t, last = 0, False
         while not last:
             while waiting and waiting[0][0] <= t:
                 release, s, i = heapq.heappop(waiting)
                 heapq.heappush(ready, (-((i + 1) * n // -q[s]), s, i, release))
             deadline, s, i, release = heapq.heappop(ready)
-            yield s, phase, done[s], share[s], begin + release, begin + deadline, begin + t
+            yield s, phase, done[s], q[s] / n, begin + release, begin + deadline, begin + t
             done[s] += 1
             left[s] -= 1
             last = not left[s]
             heapq.heappush(waiting, ((i + 1) * n // q[s], s, i + 1))
             t += 1
-        left = {s: k for s, k in left.items() if k}
+        del left[s]  # one source runs out at a time
+        del q[s]
         begin += t
         phase += 1
 
@@ -184,9 +186,7 @@ def _written_blocks(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
 
 def _scheduled(base: DataFrame, weights, block_rows: int, resolution: int | None, buckets: int) -> DataFrame:
     spark = base.sparkSession
-    streams = base.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(streams) > MAX_SOURCES:
-        raise ValueError(f"a mixture names its sources: more than {MAX_SOURCES} were found")
+    streams = base.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).collect()  # a mixture names its sources
     rows = {r.stream: r.n for r in streams}
     wanted = weights(rows) if callable(weights) else {s: weights[None if s == "null" else s[1:]] for s in rows}
     if resolution and wanted:
