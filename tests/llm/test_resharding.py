@@ -76,6 +76,18 @@ def test_shards_without_a_transfer_keep_their_files(spark, tmp_out):
     assert written == {2, 3}
 
 
+def test_file_groups_are_as_many_as_the_bytes_ask_for(spark, tmp_out):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('text ', id % 1000, repeat('x', 40)) AS text", "id % 2 AS source")
+    # two blocks per old shard, and far more files than blocks
+    layout = R.reshard(docs, F.xxhash64("source"), 2, 3, path=tmp_out + "/shards", blocks_per_shard=2, file_bytes=2000)
+    got = R.layout_digest(layout).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6000))
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    again = R.layout_digest(R.reshard(docs, F.xxhash64("source"), 2, 3, blocks_per_shard=2, file_bytes=2000)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_empty_table(no_docs):
     assert R.layout_digest(R.reshard(no_docs, F.xxhash64("source"), 3, 4)).collect() == []
 

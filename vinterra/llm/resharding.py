@@ -6,17 +6,20 @@
    minimum-cost flow from old shard sizes to new capacities, where a byte that stays in the
    shard of the same number costs 0 and one that moves costs 1, gives the bytes to send from
    each old shard to each new one.  Blocks, the largest first, fill these amounts.
-3. The bounded plan (block -> new shard, first slot) is broadcast to the rows.  Only shards that
-   gain or lose a block are written again; the rest keep their files.
+3. The bounded plan (block -> new shard) is broadcast to the rows.  Only shards that gain or lose a
+   block are written again; the rest keep their files.
 
-Slots of a shard follow the block number, then id and text; or, if an order is given, that order:
-counts per (shard, stretch of the order), their running sum, and a row number inside each stretch.
+The rows of a shard are dealt by a second hash of id and text to file groups of about ``file_bytes``,
+however large the shard is.  Slots of a shard follow the file group, then id and text; or, if an order
+is given, that order.  Both are counted: rows per (shard, group or stretch of the order), their running
+sum, and a row number inside each.
 
 Law ``bytes``: capacities are equal in bytes, and shards differ from them by about a block.
 
 Defined results: a null text has size 1; a null id or shard key is a value like any other;
-repeated rows each get a slot of their own; an empty table gives an empty layout; other columns
-are carried inside the ``doc`` struct, so their names cannot clash.
+repeated rows each get a slot of their own (rows equal in id and text stay in one block and one file
+group, which are then larger by them); an empty table gives an empty layout; other columns are carried
+inside the ``doc`` struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -153,24 +156,25 @@ def reshard(
         row_bytes(F.col(text_col)).alias("row_bytes"),
         *ordered,
     )
-    sizes = base.groupBy("old_shard", "block").agg(F.sum("row_bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    sizes = base.groupBy("old_shard", "block").agg(F.sum("row_bytes").alias("b")).collect()
     to = plan_transfers([(r.old_shard, r.block, r.b) for r in sizes], n_new, capacity)
     touched = {s for (o, _), j in to.items() if j != o for s in (o, j)}
     groups = max(1, math.ceil(sum(r.b for r in sizes) / n_new / file_bytes))
-    start, plan = [0] * n_new, []
-    for r in sorted(sizes, key=lambda r: (r.old_shard, r.block)):
-        j = to[r.old_shard, r.block]
-        plan.append((r.old_shard, r.block, j, start[j], r.block % groups))
-        start[j] += r.n
+    plan = [(o, b, j) for (o, b), j in sorted(to.items())]
 
     def planned(rows: list[tuple]) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(rows, "old_shard int, block int, shard int, first_slot long, file_group int"))
-
-    if order:
-        counts = base.select("old_shard", "block", "stretch").join(planned(plan), ["old_shard", "block"])
-        counts = counts.groupBy("shard", "stretch").agg(F.count(F.lit(1)).alias("n"))
-        before = Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-        first = F.coalesce(F.sum("n").over(before), F.lit(0))
+        return F.broadcast(spark.createDataFrame(rows, "old_shard int, block int, shard int"))
+
+    if not order:
+        group = F.pmod(F.xxhash64(F.lit("file group"), F.col(f"doc.`{id_col}`"), F.col(f"doc.`{text_col}`")), F.lit(groups))
+        base = base.withColumn("stretch", group)
+    counts = base.select("old_shard", "block", "stretch").join(planned(plan), ["old_shard", "block"])
+    counts = counts.groupBy("shard", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(before), F.lit(0))
+    if not order:
+        files = written(counts.select("shard", "stretch", first.alias("start")), "shard-files")
+    else:
         of_shard = F.sum("n").over(Window.partitionBy("shard"))
         stretches = written(
             counts.select("shard", "stretch", first.alias("start"), F.floor(first * groups / of_shard).cast("int").alias("part")), "shard-stretches"
@@ -191,14 +195,13 @@ def reshard(
     def placed(rows: list[tuple]) -> DataFrame:
         if order:
             return placed_in_order(rows)
-        # a shuffle by (shard, file group) lays out the files; the window inside a block reuses it
-        w = Window.partitionBy("shard", "file_group", "old_shard", "block").orderBy(
-            F.col(f"doc.`{id_col}`"), text_crc32(F.col(f"doc.`{text_col}`"))
-        )
-        return base.join(planned(rows), ["old_shard", "block"]).repartition("shard", "file_group").select(
+        # a shuffle by (shard, file group) lays out the files; the join and the window reuse it
+        w = Window.partitionBy("shard", "stretch").orderBy(F.col(f"doc.`{id_col}`"), text_crc32(F.col(f"doc.`{text_col}`")))
+        dealt = base.join(planned(rows), ["old_shard", "block"]).repartition("shard", "stretch")
+        return dealt.join(files, ["shard", "stretch"]).select(
             "doc",
             "shard",
-            (F.col("first_slot") + F.row_number().over(w) - 1).cast("long").alias("slot"),
+            (F.col("start") + F.row_number().over(w) - 1).cast("long").alias("slot"),
             "old_shard",
             (F.col("shard") != F.col("old_shard")).alias("moved"),
         )
