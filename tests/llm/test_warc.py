@@ -147,6 +147,26 @@ def test_header_of_any_length(spark, tmp_out):
     assert sorted(map(tuple, W.captures(got).collect()), key=str) == brute([(1, "same"), (2, "same"), (3, "other")])
 
 
+def test_files_are_bounded_in_bytes(spark, tmp_out, monkeypatch):
+    import glob
+    import os
+
+    monkeypatch.setattr(W, "FILE_BYTES", 64 << 10)
+    monkeypatch.setattr(W, "MAX_RECORDS", 32)
+    monkeypatch.setattr(W, "CLASS_FACTOR", 4)
+    assert W.class_limits() == [(2 << 10, 32), (8 << 10, 8), (32 << 10, 2)]
+    rnd = random.Random(2)
+    rows = [(i, "u" * (9000 if i % 50 == 1 else 5), chr(97 + i % 26) * rnd.choice([0, 3, 900, 6000, 20_000])) for i in range(200)]
+    rows += [(1000, "u", "x" * 300_000), (1001, None, None), (1002, "v", "x" * 300_000)]
+    pages = spark.createDataFrame([(*r, "d", "r", 1) for r in rows], PAGES).coalesce(1)
+    path = W.write_warc(pages, tmp_out + "/warc")
+    sizes = sorted(os.path.getsize(f) for f in glob.glob(path + "/part-*"))
+    assert sizes[-1] > 300_000 and sizes[-2] <= 64 << 10 and len(sizes) > 10
+    got = W.read_warc(spark, path)
+    assert got.where("gap_reason is not null").count() == 0
+    assert sorted(map(tuple, W.captures(got).collect()), key=str) == brute([(r[0], r[2]) for r in rows])
+
+
 def test_unended_headers_are_passed_over():
     far = b"X: " + b"y" * 200_000
     assert read(record(0) + b"WARC/1.1\r\n" + far + record(1) + record(2))[0] == [0, 1, 2]

@@ -11,7 +11,9 @@ record holds again, goes on from there, and reports the bytes between as a quara
 content of a member is walked in the same way.  Of a member that does not hold, the records before the
 damage are accepted, but not one that ends right at it.
 
-A file is read as a whole, so ``MAX_RECORDS`` bounds what the writer puts into one.
+A file is read as a whole (below 2 GiB), so the writer bounds the bytes of a file: records are
+written by classes of size, and the larger the class, the fewer records go into a file.  A file holds
+at most ``FILE_BYTES``, or one record that is larger.
 
 Defined results: a null payload is empty; pages with equal payload and the same smallest id are all
 responses; a null id counts as larger than any other and is written as ``null``; line breaks in a
@@ -31,7 +33,13 @@ from pyspark.sql import functions as F
 
 from vinterra.llm.common import scratch_path, written
 
+#: Most records of an archive, and most bytes of one with more than one record.
 MAX_RECORDS = 2000
+FILE_BYTES = 128 << 20
+#: A class holds records of up to so many times the size of the class before it.
+CLASS_FACTOR = 16
+#: More than the header lines of a record need without its URI.
+HEADER_BYTES = 1000
 VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
 #: Most bytes of a version line; header lines have no bound.
@@ -66,7 +74,7 @@ def with_digest(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url",
 
 
 def capture_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """``record`` texts without their last line feed, one per page."""
+    """``record`` texts without their last line feed, one per page, and ``most_bytes``, a bound of their length."""
     p = with_digest(pages, id_col, uri_col, payload_col)
     # Digests alone are aggregated (partially first, so copies cost nothing).  Only those that occur
     # more than once are looked up again: by a broadcast if their table is small, else by a shuffle.
@@ -91,14 +99,34 @@ def capture_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "u
             F.lit(CRLF),
             block,
             F.lit(CRLF + "\r"),
-        ).alias("record")
+        ).alias("record"),
+        (F.octet_length("payload") + F.coalesce(F.octet_length("uri"), F.lit(0)).cast("long") + HEADER_BYTES).alias("most_bytes"),
     )
 
 
+def class_limits() -> list[tuple[int, int]]:
+    """``(most bytes of a record, records of a file)`` per class; records beyond the last have files of their own."""
+    out, n = [], MAX_RECORDS
+    while n > 1:
+        out.append((FILE_BYTES // n, n))
+        n //= CLASS_FACTOR
+    return out
+
+
 def write_warc(pages: DataFrame, path: str | None = None, **columns) -> str:
     """Write ``pages`` as archives below ``path`` (default: a fresh shared folder) and return it."""
     path = path or scratch_path(pages.sparkSession, "warc")
-    capture_records(pages, **columns).write.option("lineSep", "\n").option("maxRecordsPerFile", MAX_RECORDS).text(path)
+    records = capture_records(pages, **columns)
+    limits = class_limits()
+    kind = F.lit(len(limits))
+    for c in range(len(limits) - 1, -1, -1):
+        kind = F.when(F.col("most_bytes") <= limits[c][0], F.lit(c)).otherwise(kind)
+    # at most one small number per class; only classes that occur are written, each by a scan of its own
+    found = sorted(r.kind for r in records.select(kind.alias("kind")).distinct().collect())
+    for c in found or [0]:
+        most = limits[c][1] if c < len(limits) else 1
+        out = records.where(kind == c).select("record").write.mode("append" if c in found[1:] else "error")
+        out.option("lineSep", "\n").option("maxRecordsPerFile", most).text(path)
     return path
 
 
