@@ -176,3 +176,32 @@ def test_one_hot_cells_leave_out_unseen_and_missing(spark):
     test = spark.createDataFrame([(1, "a"), (2, "zz"), (3, None)], "id int, c string")
     assert [tuple(r) for r in one_hot_cells(train, test, ["c"], "id").collect()] == [(1, "c", "a")]
     assert {r.id: r.c_ord for r in ordinal_encode(train, test, ["c"]).collect()} == {1: 0, 2: -1, 3: None}
+
+
+def test_codes_are_joined_by_their_counted_size(spark, monkeypatch):
+    from vinterra.operators import prep
+
+    rows = [(i, f"v{i:03}", "ab"[i % 2]) for i in range(200)] + [(200, None, "new"), (201, "v007", None)]
+    train, every = (spark.createDataFrame(x, "k int, many string, few string") for x in (rows[:200], rows))
+    for limit, joins in ((prep.BROADCAST_BYTES, (2, 0)), (1000, (1, 1)), (0, (0, 2))):
+        monkeypatch.setattr(prep, "BROADCAST_BYTES", limit)
+        coded = encode_with_mapping(every, sorted_mapping(train, ["many", "few"]), ["many", "few"])
+        ordinal = ordinal_encode(train, every, ["many", "few"])
+        for out in (coded, ordinal):
+            found = out.collect()
+            plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            assert (plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")) == joins
+            got = {r.k: (r.many, r.few) if out is coded else (r.many_ord, r.few_ord) for r in found}
+            assert all(got[i] == (i, i % 2) for i in range(200))
+            assert (got[200], got[201]) == (((0, 0), (7, 0)) if out is coded else ((None, -1), (7, None)))
+
+
+def test_known_categories_are_merged(spark, tmp_out):
+    from vinterra.operators.prep import one_hot_cells
+
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "k int, c string").write.parquet(f"{tmp_out}/t")
+    t = spark.read.parquet(f"{tmp_out}/t")
+    out = one_hot_cells(t.where("k < 2"), t, ["c"], "k")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "c", "a"), (4, "c", "a")]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

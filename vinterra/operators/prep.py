@@ -27,6 +27,9 @@ from vinterra.session import as_table
 MISSING_TOKEN = "__MISSING__"
 DEFAULT_SEED = 100
 DEFAULT_VALID_FRAC = 0.2
+# bytes of a column's codes up to which they go to every executor, and of a code besides its value
+BROADCAST_BYTES = 4 << 20
+CODE_BYTES = 64
 # ------------------------------------------------------------------------------------------
 
 
@@ -135,15 +138,31 @@ def sorted_mapping(df: DataFrame, cat_cols: Sequence[str]) -> DataFrame:
 
 
 # M6 / J9 ----------------------------------------------------------------------------------
+def _codes_by_column(mapping: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """``(_v, _code)`` per column from a written mapping, hinted by its counted size: a few codes are
+    broadcast, so that a frequent value is not one task's; a vocabulary that grows with the rows is merged.
+    The planner would go by the size of the compressed files."""
+    if not cols:
+        return {}
+    size = F.sum(F.octet_length("value") + F.lit(CODE_BYTES))
+    held = mapping.where(F.col("column").isin(*cols)).groupBy("column").agg((size <= BROADCAST_BYTES).alias("few"))
+    few = {r["column"]: r["few"] for r in held.collect()}  # one row per encoded column
+    return {
+        c: mapping.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+        .hint("broadcast" if few.get(c, True) else "merge")
+        for c in cols
+    }
+
+
 def encode_with_mapping(df: DataFrame, mapping: DataFrame, cat_cols: Sequence[str], missing: str = MISSING_TOKEN,
                         unknown: int = 0, suffix: str = "") -> DataFrame:
     """NULL -> ``missing`` token, then the code from ``mapping``; values not in
     the mapping (the token included) get ``unknown``.  The mapping is written
-    once, so each column's join is a broadcast or a shuffle by its real size."""
-    mapping = as_table(mapping, "category-codes")
+    once, so each column's join is a broadcast or a shuffle by its counted size."""
+    codes = _codes_by_column(as_table(mapping, "category-codes"), cat_cols)
     out = df
     for c in cat_cols:
-        m = mapping.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+        m = codes[c]
         key = F.coalesce(F.col(c).cast("string"), F.lit(missing))
         out = out.withColumn("_k", key).join(m, F.col("_k") == F.col("_v"), "left")
         out = out.withColumn(c + suffix, F.coalesce(F.col("_code"), F.lit(unknown)).cast("long")).drop("_k", "_v", "_code")
@@ -169,7 +188,7 @@ def first_seen_mapping(df: DataFrame, cat_cols: Sequence[str], order: Sequence[s
     stacked = df.select(ord_struct.alias("_ord"), F.explode(cells).alias("_c")).select("_ord", "_c.column", "_c.value")
     first = stacked.groupBy("column", "value").agg(F.min("_ord").alias("_first"))
     if existing is not None:
-        first = first.join(existing.select("column", "value"), ["column", "value"], "left_anti")
+        first = first.join(existing.select("column", "value").hint("merge"), ["column", "value"], "left_anti")
     coded = grouped_codes(first, "column", "value", order=["_first"])
     if existing is None:
         return coded
@@ -218,10 +237,10 @@ def tab_width(vocab: int) -> int:
 # M9 ---------------------------------------------------------------------------------------
 def ordinal_encode(train: DataFrame, df: DataFrame, cat_cols: Sequence[str], unknown: int = -1, suffix: str = "_ord") -> DataFrame:
     """Sorted categories learnt on ``train``; unseen -> ``unknown``, NULL stays NULL."""
-    mapping = as_table(sorted_mapping(train, cat_cols), "category-codes")
+    codes = _codes_by_column(as_table(sorted_mapping(train, cat_cols), "category-codes"), cat_cols)
     out = df
     for c in cat_cols:
-        m = mapping.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+        m = codes[c]
         out = out.join(m, F.col(c).cast("string") == F.col("_v"), "left")
         code = F.when(F.col(c).isNotNull(), F.coalesce(F.col("_code"), F.lit(unknown)))
         out = out.withColumn(c + suffix, code.cast("long")).drop("_v", "_code")
@@ -234,7 +253,7 @@ def one_hot_cells(train: DataFrame, df: DataFrame, cat_cols: Sequence[str], key:
     known = _stack(train, cat_cols).where(F.col("value").isNotNull()).distinct()
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cat_cols])
     rows = df.select(key, F.explode(cells).alias("_c")).select(key, "_c.column", "_c.value")
-    return rows.join(known, ["column", "value"], "left_semi").select(key, "column", "value")
+    return rows.join(known.hint("merge"), ["column", "value"], "left_semi").select(key, "column", "value")
 
 
 # M10 --------------------------------------------------------------------------------------
