@@ -90,6 +90,15 @@ def test_simplify_ring_invariants():
             assert d <= 40.0 + 1e-9
 
 
+def test_simplify_is_dealt_over_the_parallelism(spark):
+    # one small file is one partition: the Python step still gets as many tasks as are configured
+    square = [(0.0, 45.0), (0.0, 45.1), (0.1, 45.1), (0.1, 45.0), (0.0, 45.0)]
+    df = spark.createDataFrame([(i, [square]) for i in range(64)], "id int, rings array<array<struct<x:double,y:double>>>").coalesce(1)
+    out = simplify_polygons(df).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in out}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.id for r in out) == list(range(64)) and all(len(r.simple[0]) == 5 for r in out)
+
+
 def test_simplify_polygons(spark):
     ring = [(2.0, 46.0), (2.05, 46.00001), (2.1, 46.0), (2.1, 46.1), (2.0, 46.1), (2.0, 46.0)]
     df = _poly(spark, [(1, "a", [ring])])

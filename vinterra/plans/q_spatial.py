@@ -36,7 +36,7 @@ def polygons(spark, d):
     c = standins.regions(spark, d, extra=("c_custkey", "c_nationkey", "c_mktsegment"))
     p = table(spark, d, "part").select("p_partkey", "p_name")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    base = c.join(p, c.c_custkey == p.p_partkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left")
+    base = c.join(p.hint("merge"), c.c_custkey == p.p_partkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left")
     k = F.col("c_custkey")
     h = F.lit(0.01) + F.pmod(k, F.lit(5)).cast("double") * 0.005
     j = F.pmod(k, F.lit(3)).cast("double") * 0.0001
