@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from data_dirs import SF01
+from vinterra.operators import prep
 from vinterra.operators.evaluate import evaluate_metrics
 from vinterra.operators.ml import (
     build_search,
@@ -16,6 +17,7 @@ from vinterra.operators.ml import (
     fold_features,
     grid_size,
     make_estimator,
+    make_mlp_preprocessor,
     make_preprocessor,
     param_maps,
     probability_of,
@@ -178,3 +180,21 @@ def test_search_shares_fits_and_keeps_its_candidates(views, key, monkeypatch):
         assert got[1, 1] == pytest.approx(auc)
     assert all(0.4 < auc <= 1 for auc in got.values())
     assert len(ml.grid_candidates("rf")) == 24 and len(ml.grid_candidates("xgb", 200)) == 200 and len(ml.grid_candidates("hgb", 200)) == 4
+
+
+def test_ordinal_codes_stay_a_table(spark, tmp_out, monkeypatch):
+    # the distinct values of a column that grows with the rows are neither collected nor kept in the plan's metadata
+    train = spark.createDataFrame([(float(i), f"v{i:03d}", i % 2) for i in range(300)], "x double, c string, label int")
+    test = spark.createDataFrame([(0, 1.0, "v000"), (1, 1.0, "v299"), (2, 1.0, "new"), (3, 1.0, None)], "i int, x double, c string")
+    want = {0: 0.0, 1: 299.0, 2: -1.0, 3: -1.0}
+    codes = lambda df: {r["i"]: r["c__ord"] for r in df.select("i", "c__ord").collect()}
+    for stages in (make_preprocessor("rf", ["x"], ["c"]), make_mlp_preprocessor(["x"], ["c"])[0]):
+        model = Pipeline(stages=stages).fit(train)
+        out = model.transform(test)
+        assert codes(out) == want and len(out.schema.json()) < 3000
+    path = os.path.join(tmp_out, "codes")
+    save_model(model, path)
+    assert codes(PipelineModel.load(path).transform(test)) == want
+    monkeypatch.setattr(prep, "BROADCAST_BYTES", 100)  # a vocabulary that is not small is merged
+    out = model.transform(test)
+    assert codes(out) == want and "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
