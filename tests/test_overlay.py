@@ -90,3 +90,30 @@ def test_a_ring_of_boxes_leaves_a_hole_and_an_inner_box_goes(spark):
 def test_no_polygons(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert not O.dissolve_measures(df, "app", "poly_id").count() and not O.dissolve_rings(df, "app", "poly_id").count()
+
+
+def _scattered(rng, n, span):
+    return [box(round(rng.uniform(0, span), 3), round(rng.uniform(0, span), 3), round(rng.uniform(4, 9), 3), round(rng.uniform(4, 9), 3)) for _ in range(n)]
+
+
+def test_rounds_give_the_rings_of_one_round(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [("a", i, [r]) for i, r in enumerate(_scattered(rng, 14, 20))]
+    rows += [("b", i % 5, [r]) for i, r in enumerate(_scattered(rng, 7, 10))]  # keys of several rows
+    rows += [(None, None if i == 2 else i, [r]) for i, r in enumerate(_scattered(rng, 5, 10))]  # a null key
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = []
+    for fan in (4, 1000):
+        monkeypatch.setattr(O, "FAN", fan)
+        found.append(sorted(((str(g), sorted(ring)) for (g, _), ring in rings_of(O.dissolve_rings(df, "app", "poly_id")).items()), key=str))
+    assert found[0] == found[1]
+
+
+def test_deep_piles_do_not_cross_all_pairs(spark, monkeypatch):
+    rows = {}
+    monkeypatch.setattr(O, "as_table", lambda df, name, *p, write=O.as_table: rows.setdefault(name, []).append(out := write(df, name, *p)) or out)
+    piled = _scattered(random.Random(5), 240, 6)
+    measured = O.dissolve_measures(frame(spark, [("g", [b]) for b in piled]), "app", "poly_id").first()
+    lines = sum(t.count() for t in rows["overlay-lines"])
+    assert lines < 20 * 4 * len(piled)  # of all crossings there are more than that
+    assert len(rows["overlay-lines"]) == 2 and measured.area > 0

@@ -4,42 +4,52 @@ No polygon, group or ring is ever held by one task; all steps are joins and grou
 
 1. Rings become directed edges with the polygon's interior on their left (shells counter-clockwise,
    holes clockwise).
-2. Edges are split where edges of other polygons of their group cross or touch them; candidates meet in
+2. Polygons of a group are united in batches of ``FAN`` neighbours (by the Z-order of their boxes), the
+   unions again in batches, until one is left: what lies inside a union takes no part in the next round,
+   so polygons that lie ``d`` deep do not cost ``d`` crossings each.  Steps 3 and 4 are one round.
+3. Edges are split where edges of other polygons of their batch cross or touch them; candidates meet in
    the cells of a grid.
-3. Of pieces that coincide, one stays; if they run in both directions, there is interior on both sides
-   and none stays.  A piece also goes if its midpoint is inside another polygon of the group, which is
+4. Of pieces that coincide, one stays; if they run in both directions, there is interior on both sides
+   and none stays.  A piece also goes if its midpoint is inside another polygon of the batch, which is
    the parity of that polygon's edges to its right, counted in strips of the grid.
-4. What is left is the boundary.  Area, moments and perimeter are sums over it.  Rings come from
+5. What is left at last is the boundary.  Area, moments and perimeter are sums over it.  Rings come from
    pointer doubling: each piece is followed by the outgoing piece that turns most to the left, and knows
    after ``k`` rounds the smallest piece among the next ``2**k``, and how far away it is.
 
 Coordinates are plain numbers in one plane (project first).  Crossings are rounded to ``digits``
 decimals, so nearly parallel edges can shift by that much.  Rings without an area (points, lines) have
-no part in a union.  A null group is a group.
+no part in a union.  A null group is a group.  A polygon is known by its key; a group in which a key is null
+or that of several rows is united in one round, as such polygons have no interior of their own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vinterra.operators.encode import consecutive_index
 from vinterra.operators.polygons import _ring_sums
 from vinterra.session import as_table
 
 DIGITS = 6
 XY = ("x1", "y1", "x2", "y2")
+FAN = 16          # polygons or unions that are united in one batch
+Z_BITS = 16       # bits of a coordinate in the Z-order
 
 
 def ring_edges(polys: DataFrame, by: str, key: str, rings: str = "rings") -> DataFrame:
-    """``grp, poly, x1, y1, x2, y2``: directed edges, interior on the left; ``grp`` is never null."""
+    """``grp, poly, row, x1, y1, x2, y2``: directed edges, interior on the left; ``grp`` is never null."""
     group = F.coalesce(F.concat(F.lit("v"), F.col(by).cast("string")), F.lit("n"))
-    ring = polys.select(group.alias("grp"), F.col(key).alias("poly"), F.posexplode(rings).alias("r", "ring"))
+    ring = polys.select(group.alias("grp"), F.col(key).alias("poly"), F.monotonically_increasing_id().alias("row"), rings)
+    ring = ring.select("grp", "poly", "row", F.posexplode(rings).alias("r", "ring"))
     ring = ring.where(F.size("ring") > 3).withColumn("area", _ring_sums(F.col("ring"))["a2"])
     turned = F.when(F.col("r") == 0, F.col("area") < 0).otherwise(F.col("area") > 0)
     ends = F.transform(F.sequence(F.lit(1), F.size("ring") - 1), lambda i: F.struct(F.element_at("ring", i).alias("a"), F.element_at("ring", i + 1).alias("b")))
-    edges = ring.where("area != 0").withColumn("turned", turned).withColumn("ends", ends).select("grp", "poly", "turned", F.explode("ends").alias("e"))
+    edges = ring.where("area != 0").withColumn("turned", turned).withColumn("ends", ends).select("grp", "poly", "row", "turned", F.explode("ends").alias("e"))
     pick = lambda one, two: F.when(F.col("turned"), F.col(two)).otherwise(F.col(one))
-    out = edges.select("grp", "poly", pick("e.a.x", "e.b.x").alias("x1"), pick("e.a.y", "e.b.y").alias("y1"), pick("e.b.x", "e.a.x").alias("x2"), pick("e.b.y", "e.a.y").alias("y2"))
+    out = edges.select("grp", "poly", "row", pick("e.a.x", "e.b.x").alias("x1"), pick("e.a.y", "e.b.y").alias("y1"), pick("e.b.x", "e.a.x").alias("x2"), pick("e.b.y", "e.a.y").alias("y2"))
     return out.where("x1 != x2 or y1 != y2")
 
 
@@ -82,7 +92,14 @@ def split_edges(edges: DataFrame, cell: float, digits: int = DIGITS) -> DataFram
     """Edges (with ``id``) cut at all crossings with other polygons of their group: ``grp, poly, x1, y1, x2, y2``."""
     placed = edges.withColumn("cx", _span(F.col("x1"), F.col("x2"), cell)).withColumn("cy", _span(F.col("y1"), F.col("y2"), cell))
     one, two = (placed.select("grp", "cx", "cy", F.struct("id", "poly", *XY).alias(n)) for n in ("a", "b"))
-    pairs = one.join(two, ["grp", "cx", "cy"]).where("a.id < b.id and a.poly != b.poly")
+    low = lambda e, *c: F.least(*(F.col(f"{e}.{x}") for x in c))
+    high = lambda e, *c: F.greatest(*(F.col(f"{e}.{x}") for x in c))
+    near = F.lit(True)
+    for cx, c in (("cx", ("x1", "x2")), ("cy", ("y1", "y2"))):
+        # boxes meet, and this is the first cell that both reach
+        near &= (low("a", *c) <= high("b", *c)) & (low("b", *c) <= high("a", *c))
+        near &= F.floor(F.greatest(low("a", *c), low("b", *c)) / F.lit(cell)).cast("long") == F.col(cx)
+    pairs = one.join(two, ["grp", "cx", "cy"]).where("a.id < b.id and a.poly != b.poly").where(near)
     points = pairs.select("grp", "a", "b", F.explode(_touching_points(digits)).alias("p"))
     # a crossing is worked out once and given to both edges
     cuts = points.select("grp", F.explode(F.array("a", "b")).alias("e"), "p").select("grp", "e.*", "p.x", "p.y")
@@ -94,9 +111,55 @@ def split_edges(edges: DataFrame, cell: float, digits: int = DIGITS) -> DataFram
     return pieces.where("qx is not null").select("grp", "poly", *[F.col(c).alias(n) for c, n in zip(("px", "py", "qx", "qy"), XY)])
 
 
+def _z_order(x: Column, y: Column) -> Column:
+    """Bits of two whole numbers below ``2**Z_BITS`` in turn: neighbours in the plane get near numbers."""
+    bit = lambda v, i: F.shiftleft(F.shiftright(v, i).bitwiseAND(F.lit(1).cast("long")), 2 * i)
+    spread = lambda v: reduce(Column.bitwiseOR, (bit(v, i) for i in range(Z_BITS)))
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
+def placed_polygons(edges: DataFrame) -> DataFrame:
+    """``grp, poly, place, last``: the group's polygons numbered from 0 in Z-order, and the last number.  In a
+    group in which a key is null or that of several rows, all are 0."""
+    extent = edges.agg(*[f(F.least(*c) if f is F.min else F.greatest(*c)).alias(n) for n, f, c in (
+        ("x", F.min, ("x1", "x2")), ("y", F.min, ("y1", "y2")), ("x_to", F.max, ("x1", "x2")), ("y_to", F.max, ("y1", "y2")))]).first()
+    # edges of a closed ring start at all of its vertices
+    box = edges.groupBy("grp", "poly").agg(
+        ((F.min("x1") + F.max("x1")) / 2).alias("x"), ((F.min("y1") + F.max("y1")) / 2).alias("y"),
+        (F.col("poly").isNull() | (F.min("row") != F.max("row"))).alias("odd"),
+    )
+    steps = float((1 << Z_BITS) - 1)
+
+    def whole(c: str) -> Column:
+        low, high = extent[c] or 0.0, extent[f"{c}_to"] or 0.0
+        share = (F.col(c) - F.lit(low)) / F.lit(high - low if high > low else 1.0)
+        return F.least(F.greatest(F.floor(share * steps), F.lit(0)), F.lit(int(steps))).cast("long")
+
+    numbered = consecutive_index(box.withColumn("z", _z_order(whole("x"), whole("y"))), ["grp", "z", "poly"], "at")
+    groups = as_table(numbered.groupBy("grp").agg(F.min("at").alias("first"), F.max("at").alias("final"), F.max("odd").alias("odd")), "overlay-groups")
+    place = lambda at: F.when(F.col("odd"), F.lit(0)).otherwise(F.col(at) - F.col("first")).cast("long")
+    return numbered.drop("odd").join(groups, "grp").select("grp", "poly", place("at").alias("place"), place("final").alias("last"))
+
+
 def boundary(polys: DataFrame, by: str, key: str, rings: str = "rings", digits: int = DIGITS) -> DataFrame:
     """``grp, id, x1, y1, x2, y2``: the boundary of the union of each group's polygons, interior on the left."""
-    edges = as_table(ring_edges(polys, by, key, rings).withColumn("id", F.monotonically_increasing_id()), "overlay-edges")
+    edges = as_table(ring_edges(polys, by, key, rings), "overlay-rings")
+    placed = placed_polygons(edges).withColumnsRenamed({"grp": "g", "poly": "p"})
+    edges = edges.join(placed, (F.col("grp") == F.col("g")) & F.col("poly").eqNullSafe(F.col("p")))
+    edges = as_table(edges.select("grp", "poly", "place", "last", *XY, F.monotonically_increasing_id().alias("id")), "overlay-edges")
+    done = []
+    while True:
+        edges = _united(edges, digits)
+        done.append(edges.where("last = 0").select("grp", "id", *XY))
+        edges = edges.where("last > 0")
+        if edges.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def _united(edges: DataFrame, digits: int) -> DataFrame:
+    """One round: the boundaries of the unions of ``FAN`` polygons at consecutive places of a group, with the
+    place of each union (also its ``poly``)."""
+    edges = edges.withColumn("grp", F.struct("grp", F.floor(F.col("place") / FAN).cast("long").alias("place"), F.floor(F.col("last") / FAN).cast("long").alias("last")))
     cell = cell_size(edges)
     pieces = split_edges(edges, cell, digits)
     forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
@@ -112,8 +175,9 @@ def boundary(polys: DataFrame, by: str, key: str, rings: str = "rings", digits:
     crossed = mid.join(strips, ["grp", "strip"]).where(passes & ~F.array_contains("polys", F.col("poly"))).where(right)
     inside = crossed.groupBy("grp", "id", "poly").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("grp", "id").distinct()
     kept = lines.join(inside, ["grp", "id"], "left_anti")
-    directed = kept.select("grp", "id", *[F.when(F.col("forward"), F.col(end)).otherwise(F.col(other)).alias(n) for n, end, other in (("start", "low", "high"), ("end", "high", "low"))])
-    return as_table(directed.select("grp", "id", F.col("start.x").alias("x1"), F.col("start.y").alias("y1"), F.col("end.x").alias("x2"), F.col("end.y").alias("y2")), "overlay-boundary")
+    directed = kept.select("grp.*", F.col("grp.place").alias("poly"), "id", *[F.when(F.col("forward"), F.col(end)).otherwise(F.col(other)).alias(n) for n, end, other in (("start", "low", "high"), ("end", "high", "low"))])
+    ends = [F.col(c).alias(n) for c, n in zip(("start.x", "start.y", "end.x", "end.y"), XY)]
+    return as_table(directed.select("grp", "poly", "place", "last", *ends, "id"), "overlay-boundary")
 
 
 def boundary_rings(lines: DataFrame) -> DataFrame:
