@@ -198,3 +198,17 @@ def test_ordinal_codes_stay_a_table(spark, tmp_out, monkeypatch):
     monkeypatch.setattr(prep, "BROADCAST_BYTES", 100)  # a vocabulary that is not small is merged
     out = model.transform(test)
     assert codes(out) == want and "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_hot_slots_are_not_named_in_the_plan(spark, tmp_out):
+    rows = [(i, float(i), f"c{i % 40:02d}", int(i % 3 == 0), 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x double, c string, label int, weight double")
+    model = Pipeline(stages=make_preprocessor("lr", ["x"], ["c"]) + [make_estimator("lr", weight_sum=200.0)]).fit(df)
+    out = model.transform(df)
+    assert all(len(str(f.metadata)) < 100 for f in out.schema)  # it held a name per category
+    assert out.schema["features"].metadata["ml_attr"]["num_attrs"] == 41
+    assert [r.features.indices.tolist() for r in out.orderBy("id").limit(3).collect()] == [[0, 1], [0, 2], [0, 3]]
+    path = os.path.join(tmp_out, "onehot")
+    save_model(model, path)
+    score = lambda m: [r.p for r in m.transform(df).orderBy("id").select(probability_of().alias("p")).collect()]
+    assert score(PipelineModel.load(path)) == score(model)

@@ -24,10 +24,11 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols, HasOutputCols
+from pyspark.ml.param.shared import HasInputCols, HasOutputCol, HasOutputCols
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLWritable
 from pyspark.sql import DataFrame
@@ -146,6 +147,49 @@ class _CodesReader(DefaultParamsReader):
         return model
 
 
+class _OneHotParams(HasInputCols, HasOutputCol):
+    codeCols = Param(Params._dummy(), "codeCols", "columns of category codes, -1 for none", typeConverter=TypeConverters.toListString)
+    sizes = Param(Params._dummy(), "sizes", "categories of each code column", typeConverter=TypeConverters.toListInt)
+
+
+class OneHotAssembler(Estimator, _OneHotParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Numbers followed by a 0/1 slot per category, as a sparse vector; the code -1 has no slot.
+
+    ``OneHotEncoder`` and ``VectorAssembler`` name every slot in the metadata of every plan; here the vector
+    has its length only."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, codeCols=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> "OneHotAssemblerModel":
+        cols = self.getOrDefault(self.codeCols)
+        top = dataset.agg(*[F.max(c).alias(f"c{i}") for i, c in enumerate(cols)]).first() if cols else []
+        model = OneHotAssemblerModel()
+        return model._set(inputCols=self.getInputCols(), codeCols=cols, outputCol=self.getOutputCol(),
+                          sizes=[0 if t is None else int(t) + 1 for t in top])
+
+
+class OneHotAssemblerModel(Model, _OneHotParams, DefaultParamsReadable, DefaultParamsWritable):
+    def __init__(self):
+        super().__init__()
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        numbers, codes, sizes = self.getInputCols(), self.getOrDefault(self.codeCols), self.getOrDefault(self.sizes)
+        n = len(numbers)
+        starts = [n + sum(sizes[:i]) for i in range(len(sizes))]
+        width, places = n + sum(sizes), list(range(n))
+
+        @F.udf(VectorUDT())
+        def assembled(x, code):
+            at = [start + int(c) for start, c, size in zip(starts, code, sizes) if 0 <= c < size]
+            return SparseVector(width, places + at, [float("nan") if v is None else v for v in x] + [1.0] * len(at))
+
+        doubles = lambda cols: F.array(*[F.col(c).cast("double") for c in cols]).cast("array<double>")
+        return dataset.withColumn(self.getOutputCol(), assembled(doubles(numbers), doubles(codes)).alias("v", metadata={"ml_attr": {"num_attrs": width}}))
+
+
 # M11 ------------------------------------------------------------------------------------------
 def make_preprocessor(model_key: str, num_cols: Sequence[str] = NUM_FEATURES, cat_cols: Sequence[str] = CAT_FEATURES,
                       features: str = "features") -> list:
@@ -157,13 +201,10 @@ def make_preprocessor(model_key: str, num_cols: Sequence[str] = NUM_FEATURES, ca
     if model_key == "lr":
         idx = [f"{c}__idx" for c in cat_cols]
         scaled = [f"{c}__z" for c in num_cols]
-        onehot = [f"{c}__oh" for c in cat_cols]
         stages += [
-            StringIndexer(inputCols=list(cat_cols), outputCols=idx, stringOrderType="alphabetAsc", handleInvalid="keep"),
+            OrdinalIndexer(inputCols=list(cat_cols), outputCols=idx),
             PopulationScaler(inputCols=imputed, outputCols=scaled),
-            # the indexer's bucket of unseen values is the last index and is dropped -> all zeros
-            OneHotEncoder(inputCols=idx, outputCols=onehot, dropLast=True, handleInvalid="error"),
-            VectorAssembler(inputCols=scaled + onehot, outputCol=features, handleInvalid="keep"),
+            OneHotAssembler(inputCols=scaled, codeCols=idx, outputCol=features),
         ]
     else:
         # ordinal codes as plain numbers (no nominal metadata): trees split on
@@ -279,7 +320,7 @@ def build_search(model_key: str, grid_search: bool = True, search_type: str = "g
         return pipe
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_maps(model_key, est, search_type, n_iter, weight_sum=weight_sum),
-                        evaluator=evaluator, numFolds=CV_FOLDS, parallelism=parallelism, seed=RANDOM_STATE)
+                    evaluator=evaluator, numFolds=CV_FOLDS, parallelism=parallelism, seed=RANDOM_STATE)
     if fold_col:
         cv = cv.setFoldCol(fold_col)
     return cv
