@@ -212,3 +212,21 @@ def test_one_hot_slots_are_not_named_in_the_plan(spark, tmp_out):
     save_model(model, path)
     score = lambda m: [r.p for r in m.transform(df).orderBy("id").select(probability_of().alias("p")).collect()]
     assert score(PipelineModel.load(path)) == score(model)
+
+
+def test_search_prepares_each_fold_once(spark, monkeypatch):
+    from pyspark.ml.tuning import CrossValidator
+    from vinterra.operators import ml
+
+    rows = [(float(i % 17), "abc"[i % 3], int((i * 7) % 17 + i % 3 > 8), 1.0, i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "x double, c string, label int, weight double, fold int").coalesce(1)
+    monkeypatch.setattr(ml, "make_preprocessor", lambda key, make=make_preprocessor: make(key, ["x"], ["c"]))
+    fits = []
+    scaled = ml.PopulationScaler._fit
+    monkeypatch.setattr(ml.PopulationScaler, "_fit", lambda self, d: fits.append(1) or scaled(self, d))
+    cv = build_search("lr", weight_sum=160.0)
+    got = cv.fit(df)
+    assert len(fits) == 6  # five folds and the last fit; one per candidate and fold before
+    assert got.avgMetrics == pytest.approx(CrossValidator._fit(cv, df).avgMetrics, abs=1e-6)
+    with pytest.raises(ValueError):
+        cv.fit(df.where("fold < 4"))

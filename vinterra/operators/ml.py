@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol, HasOutputCols
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -309,6 +309,32 @@ def param_maps(model_key: str, est, search_type: str = "grid", n_iter: int = 50,
     return grid
 
 
+class FoldSearch(CrossValidator):
+    """``CrossValidator`` of a pipeline whose last stage alone is searched: every fold's preprocessing is fitted
+    once and its features are written once for all parameter maps.  Without a fold column, Spark's own search."""
+
+    def _fit(self, dataset: DataFrame) -> CrossValidatorModel:
+        pipe, maps, evaluator, fold_col = self.getEstimator(), self.getEstimatorParamMaps(), self.getEvaluator(), self.getFoldCol()
+        *stages, est = pipe.getStages()
+        if not fold_col or not all(p.parent == est.uid for m in maps for p in m):
+            return super()._fit(dataset)
+        views = as_table(fold_features(dataset, stages, fold_col, est.getFeaturesCol()), "fold-features", "fold", "part")
+        folds = sorted(r[0] for r in views.select("fold").distinct().collect())
+        if folds != list(range(self.getNumFolds())):
+            raise ValueError(f"rows of all folds 0 to {self.getNumFolds() - 1} are needed, found {folds}")
+
+        def scored(job):
+            fold, chosen = job
+            part = lambda name: views.where((F.col("fold") == fold) & (F.col("part") == name))
+            return evaluator.evaluate(est.fit(part("train"), chosen).transform(part("valid")))
+
+        with ThreadPool(min(self.getParallelism(), len(maps))) as pool:
+            rows = pool.map(inheritable_thread_target(dataset.sparkSession)(scored), [(f, m) for f in folds for m in maps], chunksize=1)
+        mean = [sum(rows[t :: len(maps)]) / len(folds) for t in range(len(maps))]
+        best = (max if evaluator.isLargerBetter() else min)(range(len(maps)), key=lambda t: mean[t])
+        return self._copyValues(CrossValidatorModel(pipe.fit(dataset, maps[best]), mean))
+
+
 def build_search(model_key: str, grid_search: bool = True, search_type: str = "grid", n_iter: int = 50,
                  fold_col: str | None = "fold", parallelism: int = 4, label: str = "label", weight_sum: float | None = None):
     """Pipeline (preprocessing + estimator), optionally wrapped in a 5-fold
@@ -319,7 +345,7 @@ def build_search(model_key: str, grid_search: bool = True, search_type: str = "g
     if not grid_search:
         return pipe
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_maps(model_key, est, search_type, n_iter, weight_sum=weight_sum),
+    cv = FoldSearch(estimator=pipe, estimatorParamMaps=param_maps(model_key, est, search_type, n_iter, weight_sum=weight_sum),
                     evaluator=evaluator, numFolds=CV_FOLDS, parallelism=parallelism, seed=RANDOM_STATE)
     if fold_col:
         cv = cv.setFoldCol(fold_col)
