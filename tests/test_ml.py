@@ -230,3 +230,11 @@ def test_search_prepares_each_fold_once(spark, monkeypatch):
     assert got.avgMetrics == pytest.approx(CrossValidator._fit(cv, df).avgMetrics, abs=1e-6)
     with pytest.raises(ValueError):
         cv.fit(df.where("fold < 4"))
+
+
+def test_forest_keeps_the_node_of_each_row(spark, views):
+    est = make_estimator("rf")
+    assert est.getCacheNodeIds()
+    train, small = views.where("fold = 0 and part = 'train'"), {est.numTrees: 5}
+    trees = [est.fit(train, {**small, est.cacheNodeIds: c}).toDebugString.split("\n", 1)[1] for c in (True, False)]
+    assert trees[0] == trees[1]
